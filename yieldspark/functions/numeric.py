@@ -26,14 +26,42 @@ def ratio(numerator: Column, denominator: Column) -> Column:
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
 
 
+def tenths_half_even_exact(value: Column) -> Column:
+    """Round ``value`` to tenths, ties to even, on the exact binary value.
+
+    This is how C/Python ``%.1f`` prints a double (0.45 → 0.5 but 0.35 → 0.3,
+    since the doubles nearest to them lie above and below the tie).  The exact
+    product ``value·10`` is ``p + e`` from TwoSum of ``value·8`` and
+    ``value·2`` (both exact power-of-two scalings); only when ``p`` sits
+    exactly on a ``.5`` tie does the sign of ``e`` decide.
+    """
+    a = value * F.lit(8.0)
+    b = value * F.lit(2.0)
+    p = a + b
+    bb = p - a
+    e = (a - (p - bb)) + (b - bb)
+    lower = F.floor(p).cast("double")
+    tie = (p - lower) == F.lit(0.5)
+    tenths = (
+        F.when(tie & (e > 0), lower + F.lit(1.0))
+        .when(tie & (e < 0), lower)
+        .otherwise(F.rint(p))
+    )
+    return tenths / F.lit(10.0)
+
+
 def percent_text(numerator: Column, denominator: Column) -> Column:
-    """``100·num/den`` printed with one decimal and a percent sign.
+    """``100·num/den`` printed with one decimal and a percent sign (``"12.3%"``).
 
-    ``bround`` before formatting reproduces the half-even printing of ``%.1f``
-    on binary doubles; Java's formatter alone rounds half up.
+    The percentage is first snapped to 9 decimals so the label does not depend
+    on the summation order of float numerators; it is then rounded like
+    ``%.1f`` rounds a double (half-even on the exact binary value), which
+    Java's formatter alone does not do.
     """
-    value = F.try_divide(F.lit(100.0) * numerator.cast("double"), denominator.cast("double"))
-    return F.format_string("%.1f%%", F.bround(value, 1))
+    value = F.round(
+        F.try_divide(F.lit(100.0) * numerator.cast("double"), denominator.cast("double")), 9
+    )
+    return F.format_string("%.1f%%", tenths_half_even_exact(value))
 
 
 def percent_2dp(rate: Column) -> Column:
