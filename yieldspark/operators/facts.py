@@ -388,12 +388,18 @@ def build(
     display_rows: list[rules.DisplayRow] | None = None,
     resolution: DataFrame | None = None,
     master: DataFrame | None = None,
+    materialize=None,
 ) -> FactPlan:
     """Plan the full fact build from source-shaped tables.
 
     ``resolution`` may be a materialized resolution table (see
     ``identity.resolve_keys``); without it each source resolves its own keys.
+    ``materialize(name, frame) -> frame`` is called on the intermediates that
+    several outputs reuse (annotated sources, per-wafer cohort, enriched
+    facts); a refresh job passes a function that writes them to the shared
+    checkpoint folder and reads them back, cutting the lineage there.
     """
+    keep = materialize or (lambda _name, frame: frame)
     display_rows = display_rows if display_rows is not None else rules.load_display_rows()
     rules.check_rules(display_rows)
     rules_df = rules.rules_frame(spark, display_rows)
@@ -407,6 +413,7 @@ def build(
             annotated[name] = identity.resolve_records(sources[name], aliases, kind, alias_column)
         else:
             annotated[name] = identity.annotate(sources[name], kind, alias_column, resolution)
+        annotated[name] = keep(f"annotated_{name}", annotated[name])
     resolved = {name: identity.resolved_only(df) for name, df in annotated.items()}
 
     insp = revisions.latest_inspection(resolved["wafer_inspection"])
@@ -428,13 +435,14 @@ def build(
     formation = revisions.process_per_wafer_stage(process, rules.FORMATION_STAGE)
     chip_w = revisions.chip_per_wafer(chips)
     parts["DEVICE_FORMATION"] = device_formation_rows(formation, chip_w)
-    cohort = final_cohort(
-        revisions.qualification_per_wafer(quals), chip_w, revisions.sorting_per_wafer(sorting), formation
+    cohort = keep(
+        "cohort",
+        final_cohort(revisions.qualification_per_wafer(quals), chip_w, revisions.sorting_per_wafer(sorting), formation),
     )
     parts["FINAL_CHIP_YIELD"] = final_chip_rows(cohort)
 
     all_rows = reduce(DataFrame.unionByName, parts.values())
-    enriched = enrich(all_rows, master, rules_df)
+    enriched = keep("enriched", enrich(all_rows, master, rules_df))
     return FactPlan(
         master=master,
         annotated=annotated,
