@@ -14,12 +14,11 @@ Double columns are rounded to 6 decimals in the final projection of both sides
 from __future__ import annotations
 
 from yieldspark import rules
-
-STRIP = r"regexp_replace(coalesce({e}, ''), '^\s+|\s+$', '', 'g')"
+from yieldspark.functions.text import WHITESPACE
 
 
 def _strip(expr: str) -> str:
-    return STRIP.format(e=expr)
+    return f"trim(coalesce({expr}, ''), '{WHITESPACE}')"
 
 
 def _norm(expr: str) -> str:

@@ -6,10 +6,10 @@ Plan shape, chosen for scale and skew:
   an alias is ambiguous exactly when ``min <> max``.  This is a plain hash
   aggregate with map-side partial aggregation (no distinct aggregation), so an
   alias owned by millions of rows still shuffles one partial row per task.
-* Resolution is computed once per **distinct** ``(source_kind, lookup alias)``,
-  not per record: detail tables carry hundreds of rows per alias, and the two
+* Resolution is computed once per **distinct** ``(source_kind, raw alias)``,
+  not per record (stripping and normalizing touch distinct values only): detail tables carry hundreds of rows per alias, and the two
   lookups (exact, then normalized) only ever touch the distinct keys.
-* Records then take one equi-join to the resolution table.  That table has
+* Records then take one equi-join on the raw alias to the resolution table.  That table has
   one row per key, so the join is N:1; AQE broadcasts it when its measured
   size is small and splits hot record partitions (skew join) otherwise.
 """
@@ -41,11 +41,12 @@ def alias_index(aliases: DataFrame, key_column: str) -> DataFrame:
 
 
 def resolve_keys(aliases: DataFrame, keys: DataFrame) -> DataFrame:
-    """Resolve distinct ``(source_kind, lookup_alias)`` keys.
+    """Resolve distinct ``(source_kind, raw_alias)`` keys.
 
-    Exact match first: one wafer → RESOLVED, several → AMBIGUOUS (and the
-    normalized lookup is *not* tried).  Otherwise the normalized alias is
-    looked up the same way; otherwise UNRESOLVED.
+    The raw alias is stripped (and normalized) here, once per distinct value,
+    never per record.  Exact match first: one wafer → RESOLVED, several →
+    AMBIGUOUS (and the normalized lookup is *not* tried).  Otherwise the
+    normalized alias is looked up the same way; otherwise UNRESOLVED.
     """
     exact = alias_index(aliases, "source_alias").select(
         "source_kind", "lookup_alias", F.col("min_id").alias("e_min"), F.col("max_id").alias("e_max")
@@ -57,7 +58,8 @@ def resolve_keys(aliases: DataFrame, keys: DataFrame) -> DataFrame:
         F.col("max_id").alias("n_max"),
     )
     joined = (
-        keys.join(exact, ["source_kind", "lookup_alias"], "left")
+        keys.withColumn("lookup_alias", lookup_alias(F.col("raw_alias")))
+        .join(exact, ["source_kind", "lookup_alias"], "left")
         .withColumn("normalized_key", normalize_alias(F.col("lookup_alias")))
         .join(normalized, ["source_kind", "normalized_key"], "left")
     )
@@ -76,31 +78,39 @@ def resolve_keys(aliases: DataFrame, keys: DataFrame) -> DataFrame:
     wafer = F.when(status == rules.RESOLVED, F.when(has_exact, F.col("e_min")).otherwise(F.col("n_min")))
     return joined.select(
         "source_kind",
-        "lookup_alias",
+        "raw_alias",
         status.alias("identity_status"),
         wafer.alias("physical_wafer_id"),
         method.alias("identity_method"),
     )
 
 
+def ref_key(column: Column) -> Column:
+    """Join key of a record's alias: the raw text, null folded into empty."""
+    return F.coalesce(column.cast("string"), F.lit(""))
+
+
 def lookup_keys(records: DataFrame, source_kind: str, alias_column: str) -> DataFrame:
-    """Distinct lookup keys of one source (partial-aggregated before the shuffle)."""
+    """Distinct raw aliases of one source (partial-aggregated before the shuffle)."""
     return records.select(
-        F.lit(source_kind).alias("source_kind"), lookup_alias(F.col(alias_column)).alias("lookup_alias")
+        F.lit(source_kind).alias("source_kind"), ref_key(F.col(alias_column)).alias("raw_alias")
     ).distinct()
 
 
 def annotate(records: DataFrame, source_kind: str, alias_column: str, resolution: DataFrame) -> DataFrame:
-    """Append identity_status, physical_wafer_id, identity_method to every record."""
+    """Append identity_status, physical_wafer_id, identity_method to every record.
+
+    One N:1 equi-join on the raw alias; no per-record string work.
+    """
     scoped = resolution.where(F.col("source_kind") == source_kind).select(
-        F.col("lookup_alias").alias("_lookup"), *RESOLUTION_COLUMNS
+        F.col("raw_alias").alias("_ref"), *RESOLUTION_COLUMNS
     )
     if "physical_wafer_id" in records.columns:
         records = records.drop("physical_wafer_id")
     return (
-        records.withColumn("_lookup", lookup_alias(F.col(alias_column)))
-        .join(scoped, "_lookup", "left")
-        .drop("_lookup")
+        records.withColumn("_ref", ref_key(F.col(alias_column)))
+        .join(scoped, "_ref", "left")
+        .drop("_ref")
         .withColumn(
             "identity_status", F.coalesce(F.col("identity_status"), F.lit(rules.UNRESOLVED))
         )

@@ -102,14 +102,18 @@ def wafer_base(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five aliases per wafer (plus one claimed inspection alias per 97 wafers).
+
+    Only the (kind, alias) pairs are exploded; the wafer attributes stay
+    outside the generator.
+    """
     base = wafer_base(spark, sf_dir)
     k = _ks()
-    master = [F.col(c) for c in schemas.MASTER_COLUMNS]
 
     def alias(kind: str, text: Column) -> Column:
-        return F.struct(F.lit(kind).alias("source_kind"), text.alias("source_alias"), *master)
+        return F.struct(F.lit(kind).alias("source_kind"), text.alias("source_alias"))
 
-    variants = [
+    variants = F.array(
         alias("MES", F.concat(F.lit("MES/"), k)),
         alias("INSPECTION", F.concat(F.lit("INSP-"), k)),
         alias("CHIP", F.concat(F.lit("SUB "), k)),
@@ -117,10 +121,17 @@ def identity_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
         alias("QUALIFICATION", F.concat(F.lit("QUAL-"), k)),
         # A second wafer claims the previous wafer's inspection alias.
         _when(_k() % 97 == 1, alias("INSPECTION", F.concat(F.lit("INSP-"), (_k() - 1).cast("string")))),
-    ]
-    exploded = base.select(F.explode(F.array(*variants)).alias("_v")).where(F.col("_v").isNotNull())
+    )
+    exploded = base.select(*schemas.MASTER_COLUMNS, F.explode(variants).alias("_v")).where(
+        F.col("_v").isNotNull()
+    )
     return schemas.conform(
-        exploded.select("_v.*").withColumn("normalized_alias", normalize_alias(F.col("source_alias"))),
+        exploded.select(
+            "_v.source_kind",
+            "_v.source_alias",
+            normalize_alias(F.col("_v.source_alias")).alias("normalized_alias"),
+            *schemas.MASTER_COLUMNS,
+        ),
         schemas.IDENTITY_ALIASES,
     )
 
@@ -373,24 +384,42 @@ def chip_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sorting_parameter_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three parameter rows per line item.
+
+    Only the small (parameter, value, limits) struct is exploded; the id and
+    alias strings are built outside the generator, so a consumer that needs a
+    few columns (e.g. the distinct aliases) never builds the others.
+    """
     li = _lineitem_detail(spark, sf_dir)
-    variants = []
-    for name, value_column, lower, upper in SORTING_PARAMETERS:
-        value = F.col(value_column).cast("double")
-        variants.append(
+    params = F.array(
+        *[
             F.struct(
-                F.concat(F.lit("SP-"), _chip_key(), F.lit(f"-{name}")).alias("parameter_record_id"),
-                F.concat(F.lit("SORT_"), _ks("l_orderkey")).alias("sorting_wafer_ref"),
-                F.col("l_linenumber").alias("chip_number"),
                 F.lit(name).alias("parameter"),
-                value.alias("value"),
+                F.col(value_column).cast("double").alias("value"),
                 F.lit(lower).alias("lower_limit"),
                 F.lit(upper).alias("upper_limit"),
-                ((F.lit(lower) <= value) & (value <= F.lit(upper))).alias("passed"),
-                _ts("l_shipdate").alias("measured_at"),
             )
-        )
-    return _explode_variants(li, variants, schemas.SORTING_PARAMETER_DETAIL)
+            for name, value_column, lower, upper in SORTING_PARAMETERS
+        ]
+    )
+    exploded = li.select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", F.explode(params).alias("_p")
+    )
+    value = F.col("_p.value")
+    return schemas.conform(
+        exploded.select(
+            F.concat(F.lit("SP-"), _chip_key(), F.lit("-"), F.col("_p.parameter")).alias("parameter_record_id"),
+            F.concat(F.lit("SORT_"), _ks("l_orderkey")).alias("sorting_wafer_ref"),
+            F.col("l_linenumber").alias("chip_number"),
+            F.col("_p.parameter").alias("parameter"),
+            value.alias("value"),
+            F.col("_p.lower_limit").alias("lower_limit"),
+            F.col("_p.upper_limit").alias("upper_limit"),
+            ((F.col("_p.lower_limit") <= value) & (value <= F.col("_p.upper_limit"))).alias("passed"),
+            _ts("l_shipdate").alias("measured_at"),
+        ),
+        schemas.SORTING_PARAMETER_DETAIL,
+    )
 
 
 BUILDERS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
