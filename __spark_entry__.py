@@ -240,6 +240,73 @@ def q_work_order_scoped_scan(spark, sf):
     return database.keyed_scan(src["sorting_parameter_detail"], keys, ["sorting_wafer_ref"])
 
 
+# --- publication, export and streaming ------------------------------------------------
+_STORES: dict[tuple[int, str], object] = {}
+
+
+def published_store(spark: SparkSession, sf: str):
+    """A version store holding one refresh of ``sf``, published by the R1 stream.
+
+    Source files land in a folder; the file-triggered stream runs the refresh
+    job, which publishes a validated version.  Built once per session and
+    scale factor, then shared by the queries that read published data.
+    """
+    from yieldspark.plans.publish import VersionStore
+    from yieldspark.plans.refresh import refresh
+    from yieldspark.schemas import WAFER_INVENTORY
+    from yieldspark.session import scratch_path
+    from yieldspark.streaming.incremental import start_incremental_refresh
+
+    key = (id(spark), sf)
+    if key not in _STORES:
+        work = scratch_path(spark, "published")
+        store = VersionStore(spark, f"{work}/store")
+        landing = f"{work}/landing/wafer_inventory"
+        dt.wafer_inventory(spark, sf).write.mode("overwrite").parquet(landing)
+        sources = _sources(spark, sf)
+        details = _sources(spark, sf, list(dt.schemas.DETAIL_SOURCES))
+        query = start_incremental_refresh(
+            spark, landing, f"{work}/checkpoint", lambda: refresh(spark, sources, details, store),
+            trigger_schema=WAFER_INVENTORY,
+        )
+        query.awaitTermination()
+        _STORES[key] = store
+    return _STORES[key]
+
+
+def q_published_yield_fact(spark, sf):
+    _, frames = published_store(spark, sf).load()
+    return frames["yield_fact"]
+
+
+def q_published_targeted_read(spark, sf):
+    return published_store(spark, sf).read_targeted("targeted_chip_detail", [DETAIL_WAFER])
+
+
+def q_version_catalog(spark, sf):
+    return published_store(spark, sf).version_catalog()
+
+
+def q_version_retention(spark, sf):
+    return published_store(spark, sf).retention_flags()
+
+
+def q_csv_export_roundtrip(spark, sf):
+    from yieldspark.plans.refresh import export_csv, read_csv_export
+    from yieldspark.session import scratch_path
+
+    records = q_cell_lineage(spark, sf)
+    path = export_csv(records, scratch_path(spark, "export") + "/" + views.export_file_name(CELL))
+    return read_csv_export(spark, path, records.schema)
+
+
+def q_stream_weekly_yield(spark, sf):
+    from yieldspark.session import scratch_path
+    from yieldspark.streaming.incremental import run_weekly_yield
+
+    return run_weekly_yield(spark, _facts(spark, sf), scratch_path(spark, "stream-weekly"))
+
+
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "alias_index_exact": q_alias_index("source_alias"),
@@ -291,6 +358,12 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "parameter_yield_summary": q_parameter_yield_summary,
         "jdbc_style_time_range_scan": q_time_range_scan,
         "work_order_scoped_scan": q_work_order_scoped_scan,
+        "published_yield_fact": q_published_yield_fact,
+        "published_targeted_read": q_published_targeted_read,
+        "version_catalog": q_version_catalog,
+        "version_retention": q_version_retention,
+        "csv_export_roundtrip": q_csv_export_roundtrip,
+        "stream_weekly_yield": q_stream_weekly_yield,
     }
 
 
@@ -370,7 +443,7 @@ def oracle_sql() -> dict[str, str]:
         product=FILTERED.product_family, wafer_size=FILTERED.wafer_size,
         start=FILTERED.start_date, end=FILTERED.end_date,
     )
-    return {
+    sql = {
         "alias_index_exact": O.with_ctes(
             "SELECT source_kind, lookup_alias, e_min AS min_id, e_max AS max_id, e_min <> e_max AS is_ambiguous FROM exact_idx"
         ),
@@ -511,3 +584,10 @@ def oracle_sql() -> dict[str, str]:
             "ON d.sorting_wafer_ref = k.source_alias"
         ).replace("SELECT d.*,", "SELECT d.parameter_record_id, d.sorting_wafer_ref, d.chip_number, d.parameter, round(d.value, 6) AS value, round(d.lower_limit, 6) AS lower_limit, round(d.upper_limit, 6) AS upper_limit, d.passed, d.measured_at,"),
     }
+    sql["published_yield_fact"] = sql["yield_fact"]
+    sql["published_targeted_read"] = O.with_ctes(
+        f"SELECT * FROM targeted_chip_detail WHERE physical_wafer_id = {O._q(DETAIL_WAFER)}"
+    )
+    sql["csv_export_roundtrip"] = sql["cell_lineage"]
+    sql["stream_weekly_yield"] = sql["prebuilt_trend"]
+    return sql

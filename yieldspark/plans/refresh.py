@@ -2,8 +2,8 @@
 
 Execution plan:
 
-1. **Resolve once.**  The alias table is staged; the distinct raw aliases of all five sources and both
-   of all sources and both detail tables are resolved in one pass; the
+1. **Resolve once.**  The alias table is staged; the distinct raw aliases
+   of all five sources and both detail tables are resolved in one pass; the
    resolution table and the wafer master are written to the staging folder.
 2. **Build facts** with lineage cuts at the reused intermediates: annotated
    sources (audit + facts), the final-yield cohort (facts + components) and
@@ -127,14 +127,18 @@ def export_csv(frame: DataFrame, path: str) -> str:
     """Write a population as CSV with a header.
 
     The export is written by the executors in parallel (one file per
-    partition); nothing is gathered on the driver.
+    partition); nothing is gathered on the driver.  Nulls are written as
+    ``\\N`` so that they stay distinct from empty text.
     """
-    frame.write.mode("overwrite").option("header", True).csv(path)
+    frame.write.mode("overwrite").option("header", True).option("nullValue", NULL_MARKER).csv(path)
     return path
 
 
+NULL_MARKER = "\\N"
+
+
 def read_csv_export(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return spark.read.schema(schema).option("header", True).option("nullValue", NULL_MARKER).csv(path)
 
 
 def titled_columns(frame: DataFrame) -> list[str]:
