@@ -48,6 +48,25 @@ def build_session(
     return spark
 
 
+RUNTIME_DEFAULTS = {
+    key: value
+    for key, value in SESSION_DEFAULTS.items()
+    if key.startswith("spark.sql.") and key != "spark.sql.parquet.compression.codec"
+}
+
+
+def prepare_session(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings the library relies on to an existing session.
+
+    Used when the session was built elsewhere: period labels assume a UTC
+    session time zone, and hot keys rely on adaptive skew-join splitting.
+    """
+    for key, value in RUNTIME_DEFAULTS.items():
+        spark.conf.set(key, value)
+    ensure_checkpoint_dir(spark)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
