@@ -309,6 +309,7 @@ def q_stream_weekly_yield(spark, sf):
 
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "flagship_chip_weekly_yield": q_flagship_chip_weekly_yield,
         "alias_index_exact": q_alias_index("source_alias"),
         "alias_index_normalized": q_alias_index("normalized_alias"),
         "identity_resolution_audit": q_identity_audit,
@@ -378,9 +379,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: wrap(fn) for name, fn in _queries().items()}
 
 
+def q_flagship_chip_weekly_yield(spark, sf):
+    """Identity resolution → latest revision → chip-inspection facts → weekly ratio of sums."""
+    src = _sources(spark, sf, ["identity_aliases", "chip_inspection_summary"])
+    aliases = src["identity_aliases"]
+    annotated = identity.resolve_records(src["chip_inspection_summary"], aliases, rules.CHIP, "chip_wafer_ref")
+    chips = revisions.latest_chip_summary(identity.resolved_only(annotated))
+    enriched = facts.enrich(facts.chip_inspection_rows(chips), identity.wafer_master(aliases), rules.rules_frame(spark))
+    return prepared.prebuilt_trend(facts.yield_fact(enriched))
+
+
 def entry(spark: SparkSession) -> DataFrame:
-    """Flagship: weekly ratio-of-sums yield per stage over the whole fact build."""
-    return queries()["prebuilt_trend"](spark, SMOKE_DIR)
+    """Flagship on sf0.001: weekly chip-inspection yield from raw aliased sources."""
+    return queries()["flagship_chip_weekly_yield"](spark, SMOKE_DIR)
 
 
 # --- DuckDB side --------------------------------------------------------------------
@@ -592,4 +603,10 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["csv_export_roundtrip"] = sql["cell_lineage"]
     sql["stream_weekly_yield"] = sql["prebuilt_trend"]
+    sql["flagship_chip_weekly_yield"] = O.with_ctes(
+        f"SELECT stage_code, stage_label, {O.week_label('event_time')} AS period, "
+        "round(sum(numerator), 6) AS numerator, round(sum(denominator), 6) AS denominator, "
+        "round(sum(numerator) / sum(denominator), 6) AS yield_rate FROM yield_fact "
+        "WHERE event_time IS NOT NULL AND stage_code = 'CHIP_INSPECTION' GROUP BY ALL"
+    )
     return sql
