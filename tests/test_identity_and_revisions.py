@@ -76,3 +76,22 @@ def test_audit_covers_every_record_before_dedup(spark):
     audit = identity.identity_audit({"wafer_inspection": annotated})
     assert audit.count() == 3
     assert audit.where(F.col("identity_status") == "UNRESOLVED").count() == 1
+
+
+def test_hot_alias_salting_gives_the_same_result(spark):
+    aliases = _aliases(spark, ("CHIP", "HOT", "W1"), ("CHIP", "C1", "W2"), ("CHIP", "AMB", "W3"), ("CHIP", "AMB", "W4"))
+    rows = [("HOT", f"H{i}") for i in range(2000)] + [("C1", "c1"), ("AMB", "a1"), ("NONE", "n1"), (None, "z1")]
+    records = spark.createDataFrame(rows, "ref string, record_id string").repartition(4)
+    resolution = identity.resolve_keys(aliases, identity.lookup_keys(records, "CHIP", "ref"))
+    assert resolution.where(F.col("raw_alias") == "HOT").collect()[0]["key_rows"] == 2000
+    policy = identity.HotKeyPolicy(fraction=0.1, min_rows=10, buckets=8)
+    plain = identity.annotate(records, "CHIP", "ref", resolution)
+    salted = identity.annotate(records, "CHIP", "ref", resolution, record_column="record_id", hot_keys=policy)
+    assert salted.columns == plain.columns
+    key = ["record_id", "identity_status", "physical_wafer_id", "identity_method"]
+    assert sorted(tuple(r[k] for k in key) for r in salted.collect()) == sorted(
+        tuple(r[k] for k in key) for r in plain.collect()
+    )
+    # The join is keyed on (alias, deterministic salt).
+    plan = salted._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "xxhash64" in plan

@@ -18,6 +18,7 @@ DETAIL_DATASETS = {
     "chip_detail": (rules.CHIP, "chip_wafer_ref"),
     "sorting_parameter_detail": (rules.SORTING, "sorting_wafer_ref"),
 }
+DETAIL_RECORD_COLUMNS = {"chip_detail": "chip_record_id", "sorting_parameter_detail": "parameter_record_id"}
 
 
 def detail_identity(dataset: str) -> tuple[str, str]:
@@ -48,21 +49,37 @@ def extract_targeted(detail: DataFrame, aliases: DataFrame, wafer_ids: DataFrame
     return detail.join(scope, detail[alias_column] == scope["_scope_alias"], "left_semi")
 
 
-def transform_targeted(detail: DataFrame, aliases: DataFrame, dataset: str, resolution: DataFrame | None = None) -> DataFrame:
+def transform_targeted(
+    detail: DataFrame,
+    aliases: DataFrame,
+    dataset: str,
+    resolution: DataFrame | None = None,
+    hot_keys: identity.HotKeyPolicy | None = None,
+) -> DataFrame:
     """Resolve detail rows and keep the RESOLVED ones (no audit rows)."""
     kind, alias_column = detail_identity(dataset)
     if resolution is None:
         annotated = identity.resolve_records(detail, aliases, kind, alias_column)
     else:
-        annotated = identity.annotate(detail, kind, alias_column, resolution)
+        annotated = identity.annotate(
+            detail, kind, alias_column, resolution,
+            record_column=DETAIL_RECORD_COLUMNS[dataset], hot_keys=hot_keys,
+        )
     return identity.resolved_only(annotated).drop("identity_method")
 
 
 def targeted_detail_table(
-    detail: DataFrame, aliases: DataFrame, wafer_ids: DataFrame, dataset: str, resolution: DataFrame | None = None
+    detail: DataFrame,
+    aliases: DataFrame,
+    wafer_ids: DataFrame,
+    dataset: str,
+    resolution: DataFrame | None = None,
+    hot_keys: identity.HotKeyPolicy | None = None,
 ) -> DataFrame:
     """Scoped extract then resolution."""
-    return transform_targeted(extract_targeted(detail, aliases, wafer_ids, dataset), aliases, dataset, resolution)
+    return transform_targeted(
+        extract_targeted(detail, aliases, wafer_ids, dataset), aliases, dataset, resolution, hot_keys
+    )
 
 
 def parameter_yield_summary(parameter_detail: DataFrame) -> DataFrame:

@@ -389,11 +389,14 @@ def build(
     resolution: DataFrame | None = None,
     master: DataFrame | None = None,
     materialize=None,
+    hot_keys: identity.HotKeyPolicy | None = None,
 ) -> FactPlan:
     """Plan the full fact build from source-shaped tables.
 
     ``resolution`` may be a materialized resolution table (see
     ``identity.resolve_keys``); without it each source resolves its own keys.
+    ``hot_keys`` salts aliases that hold a large share of a source's records
+    (needs a resolution table with ``key_rows``).
     ``materialize(name, frame) -> frame`` is called on the intermediates that
     several outputs reuse (annotated sources, per-wafer cohort, enriched
     facts); a refresh job passes a function that writes them to the shared
@@ -408,11 +411,13 @@ def build(
     master = master if master is not None else identity.wafer_master(aliases)
 
     annotated = {}
-    for name, (kind, alias_column, _record) in identity.SOURCE_IDENTITY.items():
+    for name, (kind, alias_column, record_column) in identity.SOURCE_IDENTITY.items():
         if resolution is None:
             annotated[name] = identity.resolve_records(sources[name], aliases, kind, alias_column)
         else:
-            annotated[name] = identity.annotate(sources[name], kind, alias_column, resolution)
+            annotated[name] = identity.annotate(
+                sources[name], kind, alias_column, resolution, record_column=record_column, hot_keys=hot_keys
+            )
         annotated[name] = keep(f"annotated_{name}", annotated[name])
     resolved = {name: identity.resolved_only(df) for name, df in annotated.items()}
 

@@ -16,6 +16,7 @@ Plan shape, chosen for scale and skew:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -76,9 +77,11 @@ def resolve_keys(aliases: DataFrame, keys: DataFrame) -> DataFrame:
         .otherwise(F.lit(rules.NO_MATCH_METHOD))
     )
     wafer = F.when(status == rules.RESOLVED, F.when(has_exact, F.col("e_min")).otherwise(F.col("n_min")))
+    rows = F.col("key_rows") if "key_rows" in keys.columns else F.lit(None).cast("bigint")
     return joined.select(
         "source_kind",
         "raw_alias",
+        rows.alias("key_rows"),
         status.alias("identity_status"),
         wafer.alias("physical_wafer_id"),
         method.alias("identity_method"),
@@ -91,26 +94,85 @@ def ref_key(column: Column) -> Column:
 
 
 def lookup_keys(records: DataFrame, source_kind: str, alias_column: str) -> DataFrame:
-    """Distinct raw aliases of one source (partial-aggregated before the shuffle)."""
-    return records.select(
+    """Distinct raw aliases of one source with their record counts.
+
+    One partial+final aggregation; the count later identifies hot aliases
+    without another pass over the records.
+    """
+    return records.groupBy(
         F.lit(source_kind).alias("source_kind"), ref_key(F.col(alias_column)).alias("raw_alias")
-    ).distinct()
+    ).agg(F.count(F.lit(1)).alias("key_rows"))
+
+
+@dataclass(frozen=True)
+class HotKeyPolicy:
+    """When and how to split hot aliases in the record ⋈ resolution join.
+
+    A key is hot when it holds at least ``fraction`` of a source's records
+    (and at least ``min_rows``); there can be at most ``1 / fraction`` such
+    keys, which bounds what is broadcast.  Hot keys are spread over
+    ``buckets`` salted join partitions.
+    """
 
+    fraction: float = 0.01
+    min_rows: int = 1_000_000
+    buckets: int = 64
 
-def annotate(records: DataFrame, source_kind: str, alias_column: str, resolution: DataFrame) -> DataFrame:
+
+def _salted_join(records: DataFrame, scoped: DataFrame, record_column: str, policy: HotKeyPolicy) -> DataFrame:
+    total = scoped.agg(F.sum("key_rows").alias("n")).collect()[0]["n"] or 0
+    threshold = max(policy.min_rows, int(policy.fraction * total))
+    # Bounded: at most 1/fraction keys can reach the threshold.
+    hot = scoped.where(F.col("key_rows") >= threshold).select("_ref", F.lit(policy.buckets).alias("_buckets"))
+    salted_records = (
+        records.join(F.broadcast(hot), "_ref", "left")
+        .withColumn(
+            "_salt",
+            F.when(
+                F.col("_buckets").isNotNull(),
+                F.pmod(F.xxhash64(F.col(record_column).cast("string")), F.col("_buckets")),
+            ).otherwise(F.lit(0)),
+        )
+        .drop("_buckets")
+    )
+    replicated = (
+        scoped.join(F.broadcast(hot), "_ref", "left")
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_buckets") - 1, F.lit(0)))))
+        .drop("_buckets")
+    )
+    return salted_records.join(replicated, ["_ref", "_salt"], "left").drop("_salt")
+
+
+def annotate(
+    records: DataFrame,
+    source_kind: str,
+    alias_column: str,
+    resolution: DataFrame,
+    *,
+    record_column: str | None = None,
+    hot_keys: HotKeyPolicy | None = None,
+) -> DataFrame:
     """Append identity_status, physical_wafer_id, identity_method to every record.
 
-    One N:1 equi-join on the raw alias; no per-record string work.
+    One N:1 equi-join on the raw alias; no per-record string work.  With a
+    ``hot_keys`` policy (and ``key_rows`` counts in the resolution table),
+    aliases that hold a large share of the records are salted so their rows
+    are joined by many tasks instead of one; without it, AQE's skew-join
+    splitting is relied on.
     """
+    rows = F.col("key_rows") if "key_rows" in resolution.columns else F.lit(None).cast("bigint")
     scoped = resolution.where(F.col("source_kind") == source_kind).select(
-        F.col("raw_alias").alias("_ref"), *RESOLUTION_COLUMNS
+        F.col("raw_alias").alias("_ref"), rows.alias("key_rows"), *RESOLUTION_COLUMNS
     )
     if "physical_wafer_id" in records.columns:
         records = records.drop("physical_wafer_id")
+    keyed = records.withColumn("_ref", ref_key(F.col(alias_column)))
+    if hot_keys is not None and record_column is not None:
+        joined = _salted_join(keyed, scoped, record_column, hot_keys)
+    else:
+        joined = keyed.join(scoped, "_ref", "left")
     return (
-        records.withColumn("_ref", ref_key(F.col(alias_column)))
-        .join(scoped, "_ref", "left")
-        .drop("_ref")
+        joined.drop("_ref", "key_rows")
         .withColumn(
             "identity_status", F.coalesce(F.col("identity_status"), F.lit(rules.UNRESOLVED))
         )
@@ -151,7 +213,9 @@ def all_lookup_keys(sources: dict[str, DataFrame], names=None) -> DataFrame:
     for name in names:
         kind, alias_column = (SOURCE_IDENTITY.get(name) or DETAIL_IDENTITY[name])[:2]
         parts.append(lookup_keys(sources[name], kind, alias_column))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return reduce(DataFrame.unionByName, parts).groupBy("source_kind", "raw_alias").agg(
+        F.sum("key_rows").alias("key_rows")
+    )
 
 
 def audit_rows(annotated: DataFrame, source_kind: str, alias_column: str, record_column: str) -> DataFrame:

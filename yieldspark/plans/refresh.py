@@ -45,8 +45,13 @@ def build_datasets(
     detail_sources: dict[str, DataFrame],
     display_rows: list[rules.DisplayRow] | None = None,
     stager: Stager | None = None,
+    hot_keys: identity.HotKeyPolicy | None = identity.HotKeyPolicy(),
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All eleven published datasets (lazy over staged intermediates) and statistics."""
+    """All eleven published datasets (lazy over staged intermediates) and statistics.
+
+    ``hot_keys`` salts aliases holding a large share of a source's records in
+    the record ⋈ resolution joins (counts come with the staged resolution).
+    """
     stage = stager or Stager(spark)
     # The alias table feeds both alias indexes, the master and both detail
     # scopes, so it is staged once; the other sources are read once for their
@@ -58,7 +63,9 @@ def build_datasets(
     resolution = stage("resolution", identity.resolve_keys(aliases, identity.all_lookup_keys(everything, key_names)))
     master = stage("master", identity.wafer_master(aliases))
 
-    plan = facts.build(spark, sources, display_rows, resolution=resolution, master=master, materialize=stage)
+    plan = facts.build(
+        spark, sources, display_rows, resolution=resolution, master=master, materialize=stage, hot_keys=hot_keys
+    )
     enriched = plan.enriched
     yield_fact = facts.yield_fact(enriched)
     failure_fact = facts.failure_fact(enriched)
@@ -75,10 +82,11 @@ def build_datasets(
         "prebuilt_trend": prepared.prebuilt_trend(yield_fact),
         "prebuilt_pareto": prepared.prebuilt_pareto(failure_fact),
         "targeted_chip_detail": detail.targeted_detail_table(
-            detail_sources["chip_detail"], aliases, wafers, "chip_detail", resolution
+            detail_sources["chip_detail"], aliases, wafers, "chip_detail", resolution, hot_keys
         ),
         "targeted_sorting_parameter_detail": detail.targeted_detail_table(
-            detail_sources["sorting_parameter_detail"], aliases, wafers, "sorting_parameter_detail", resolution
+            detail_sources["sorting_parameter_detail"], aliases, wafers, "sorting_parameter_detail", resolution,
+            hot_keys,
         ),
     }
     stats = prepared.refresh_statistics(master, enriched, plan.components, audit)

@@ -38,8 +38,26 @@ SORT_DISCOUNT_LIMIT = 0.095
 # ---------------------------------------------------------------------------
 
 
+def spread_small_input(spark: SparkSession, frame: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has task slots.
+
+    A small file with a single row group is one split, and every per-row step
+    fused into its scan (explodes, string building) would run in one task.  A
+    large input already has enough splits and is returned unchanged, so this
+    adds no shuffle at scale.  Column pruning and filters still reach the
+    scan below the repartition.
+    """
+    slots = spark.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() < slots:
+        return frame.repartition(slots)
+    return frame
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    frame = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if name in ("nation", "region"):
+        return frame
+    return spread_small_input(spark, frame)
 
 
 def _k() -> Column:
