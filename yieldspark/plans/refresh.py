@@ -17,6 +17,8 @@ Execution plan:
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,15 +41,26 @@ class Stager:
         return self.spark.read.parquet(path)
 
 
-def build_datasets(
+@dataclass
+class StagedBuild:
+    """Fact plan over staged intermediates, with the tables it was built from."""
+
+    plan: facts.FactPlan
+    aliases: DataFrame
+    resolution: DataFrame
+    master: DataFrame
+    detail_sources: dict[str, DataFrame]
+
+
+def stage_fact_build(
     spark: SparkSession,
     sources: dict[str, DataFrame],
     detail_sources: dict[str, DataFrame],
     display_rows: list[rules.DisplayRow] | None = None,
     stager: Stager | None = None,
     hot_keys: identity.HotKeyPolicy | None = identity.HotKeyPolicy(),
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All eleven published datasets (lazy over staged intermediates) and statistics.
+) -> StagedBuild:
+    """Resolve once and build the facts with lineage cuts at every reused step.
 
     ``hot_keys`` salts aliases holding a large share of a source's records in
     the record ⋈ resolution joins (counts come with the staged resolution).
@@ -62,15 +75,22 @@ def build_datasets(
     key_names = list(identity.SOURCE_IDENTITY) + list(detail_sources)
     resolution = stage("resolution", identity.resolve_keys(aliases, identity.all_lookup_keys(everything, key_names)))
     master = stage("master", identity.wafer_master(aliases))
-
     plan = facts.build(
         spark, sources, display_rows, resolution=resolution, master=master, materialize=stage, hot_keys=hot_keys
     )
+    return StagedBuild(plan, aliases, resolution, master, detail_sources)
+
+
+def datasets_of(build: StagedBuild, display_rows: list[rules.DisplayRow] | None = None,
+                hot_keys: identity.HotKeyPolicy | None = identity.HotKeyPolicy()) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The eleven published datasets (lazy over the staged build) and the statistics."""
+    plan, master, aliases, resolution = build.plan, build.master, build.aliases, build.resolution
     enriched = plan.enriched
     yield_fact = facts.yield_fact(enriched)
     failure_fact = facts.failure_fact(enriched)
     audit = identity.identity_audit(plan.annotated)
     wafers = master.select("physical_wafer_id")
+    details = build.detail_sources
     datasets = {
         "yield_fact": yield_fact,
         "failure_fact": failure_fact,
@@ -82,17 +102,29 @@ def build_datasets(
         "prebuilt_trend": prepared.prebuilt_trend(yield_fact),
         "prebuilt_pareto": prepared.prebuilt_pareto(failure_fact),
         "targeted_chip_detail": detail.targeted_detail_table(
-            detail_sources["chip_detail"], aliases, wafers, "chip_detail", resolution, hot_keys
+            details["chip_detail"], aliases, wafers, "chip_detail", resolution, hot_keys
         ),
         "targeted_sorting_parameter_detail": detail.targeted_detail_table(
-            detail_sources["sorting_parameter_detail"], aliases, wafers, "sorting_parameter_detail", resolution,
-            hot_keys,
+            details["sorting_parameter_detail"], aliases, wafers, "sorting_parameter_detail", resolution, hot_keys
         ),
     }
     stats = prepared.refresh_statistics(master, enriched, plan.components, audit)
     return datasets, stats
 
 
+def build_datasets(
+    spark: SparkSession,
+    sources: dict[str, DataFrame],
+    detail_sources: dict[str, DataFrame],
+    display_rows: list[rules.DisplayRow] | None = None,
+    stager: Stager | None = None,
+    hot_keys: identity.HotKeyPolicy | None = identity.HotKeyPolicy(),
+) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All eleven published datasets (lazy over staged intermediates) and statistics."""
+    build = stage_fact_build(spark, sources, detail_sources, display_rows, stager, hot_keys)
+    return datasets_of(build, display_rows, hot_keys)
+
+
 def refresh(
     spark: SparkSession,
     sources: dict[str, DataFrame],
