@@ -418,7 +418,12 @@ def build(
             annotated[name] = identity.annotate(
                 sources[name], kind, alias_column, resolution, record_column=record_column, hot_keys=hot_keys
             )
-        annotated[name] = keep(f"annotated_{name}", annotated[name])
+    keep_all = getattr(materialize, "all", None)
+    if keep_all is not None:
+        staged = keep_all({f"annotated_{name}": frame for name, frame in annotated.items()})
+        annotated = {name: staged[f"annotated_{name}"] for name in annotated}
+    else:
+        annotated = {name: keep(f"annotated_{name}", frame) for name, frame in annotated.items()}
     resolved = {name: identity.resolved_only(df) for name, df in annotated.items()}
 
     insp = revisions.latest_inspection(resolved["wafer_inspection"])

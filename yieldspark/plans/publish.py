@@ -17,6 +17,7 @@ the driver is bounded.
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
@@ -69,8 +70,9 @@ def load_policy(name: str) -> str:
 
 class VersionStore:
     def __init__(self, spark: SparkSession, root: str, *, retain_versions: int = 3,
-                 schema_version: int = SCHEMA_VERSION) -> None:
+                 schema_version: int = SCHEMA_VERSION, write_parallelism: int = 4) -> None:
         self.spark = spark
+        self.write_parallelism = write_parallelism
         self.root = root.rstrip("/")
         self.retain_versions = max(2, int(retain_versions))
         self.schema_version = schema_version
@@ -143,8 +145,7 @@ class VersionStore:
             raise ValueError(f"Version is missing required datasets: {missing}")
         version = self.next_version()
         published_at = datetime.now(timezone.utc).isoformat()
-        entries: dict[str, dict[str, Any]] = {}
-        for name, frame in datasets.items():
+        def write(name: str, frame: DataFrame) -> dict[str, Any]:
             path = self.dataset_path(version, name)
             observation = Observation(f"rows_{name}_{version}")
             observed = frame.observe(observation, F.count(F.lit(1)).alias("rows"))
@@ -152,12 +153,18 @@ class VersionStore:
                 # Cluster detail rows by wafer so a targeted read skips row groups.
                 observed = observed.sortWithinPartitions("physical_wafer_id")
             observed.write.mode("overwrite").option("compression", "zstd").parquet(path)
-            entries[name] = {
+            return {
                 "path": path,
                 "rows": int(observation.get["rows"]),
                 "columns": list(frame.columns),
                 "load_policy": load_policy(name),
             }
+
+        # Independent datasets are written as concurrent jobs; any failure
+        # raises here, before the version is made visible.
+        with ThreadPoolExecutor(max_workers=max(1, self.write_parallelism)) as pool:
+            futures = {name: pool.submit(write, name, frame) for name, frame in datasets.items()}
+            entries = {name: future.result() for name, future in futures.items()}
         if fail_after == "write":
             raise RuntimeError("Injected failure after the Parquet write")
         manifest = Manifest(version, published_at, entries, dict(statistics or {}), self.schema_version)

@@ -17,6 +17,7 @@ Execution plan:
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,17 +30,28 @@ from yieldspark.session import scratch_path
 
 
 class Stager:
-    """Write intermediates to a staging folder and read them back (lineage cut)."""
+    """Write intermediates to a staging folder and read them back (lineage cut).
 
-    def __init__(self, spark: SparkSession, root: str | None = None) -> None:
+    ``all`` stages independent frames as concurrent Spark jobs, so small
+    stages of different tables share the executors instead of running one
+    after another.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, parallelism: int = 4) -> None:
         self.spark = spark
         self.root = root or scratch_path(spark, "refresh-staging")
+        self.parallelism = parallelism
 
     def __call__(self, name: str, frame: DataFrame) -> DataFrame:
         path = f"{self.root}/{name}"
         frame.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def all(self, frames: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        with ThreadPoolExecutor(max_workers=max(1, self.parallelism)) as pool:
+            futures = {name: pool.submit(self, name, frame) for name, frame in frames.items()}
+            return {name: future.result() for name, future in futures.items()}
+
 
 @dataclass
 class StagedBuild:
@@ -73,8 +85,13 @@ def stage_fact_build(
     aliases = sources["identity_aliases"]
     everything = {**sources, **detail_sources}
     key_names = list(identity.SOURCE_IDENTITY) + list(detail_sources)
-    resolution = stage("resolution", identity.resolve_keys(aliases, identity.all_lookup_keys(everything, key_names)))
-    master = stage("master", identity.wafer_master(aliases))
+    staged = stage.all(
+        {
+            "resolution": identity.resolve_keys(aliases, identity.all_lookup_keys(everything, key_names)),
+            "master": identity.wafer_master(aliases),
+        }
+    )
+    resolution, master = staged["resolution"], staged["master"]
     plan = facts.build(
         spark, sources, display_rows, resolution=resolution, master=master, materialize=stage, hot_keys=hot_keys
     )
