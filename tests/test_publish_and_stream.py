@@ -124,3 +124,31 @@ def test_stream_drops_facts_behind_the_watermark(spark):
     # The January fact arrived after the watermark (March - 14 days) passed its week.
     assert periods == {"2026-03-02/2026-03-08"}
     assert F is not None
+
+
+def test_validation_rejects_broken_lineage_and_duplicate_ids(spark, store):
+    import dataclasses
+
+    from yieldspark.plans.publish import ValidationError
+
+    manifest = store.manifest(store.current_version())
+    lineage = spark.read.parquet(manifest.datasets["lineage"]["path"])
+    facts = spark.read.parquet(manifest.datasets["yield_fact"]["path"])
+    root = scratch_path(spark, "broken")
+    first_id = facts.orderBy("yield_record_id").first()["yield_record_id"]
+    lineage.where(F.col("yield_record_id") != first_id).write.parquet(f"{root}/lineage")
+    facts.unionByName(facts.limit(1)).write.parquet(f"{root}/facts")
+
+    def with_path(name, path, rows=None):
+        datasets = {k: dict(v) for k, v in manifest.datasets.items()}
+        datasets[name]["path"] = path
+        if rows is not None:
+            datasets[name]["rows"] = rows
+        return dataclasses.replace(manifest, datasets=datasets)
+
+    with pytest.raises(ValidationError):
+        store.validate(with_path("lineage", f"{root}/lineage"))
+    rows = manifest.datasets["yield_fact"]["rows"] + 1
+    with pytest.raises(ValidationError):
+        store.validate(with_path("yield_fact", f"{root}/facts", rows))
+    assert store.validate(manifest) is manifest

@@ -58,6 +58,10 @@ def resolve_keys(aliases: DataFrame, keys: DataFrame) -> DataFrame:
         F.col("min_id").alias("n_min"),
         F.col("max_id").alias("n_max"),
     )
+    if "key_rows" in keys.columns:
+        # Records per source kind: at most one row per kind (a fixed, small set).
+        totals = keys.groupBy("source_kind").agg(F.sum("key_rows").alias("kind_rows"))
+        keys = keys.join(F.broadcast(totals), "source_kind", "left")
     joined = (
         keys.withColumn("lookup_alias", lookup_alias(F.col("raw_alias")))
         .join(exact, ["source_kind", "lookup_alias"], "left")
@@ -78,10 +82,12 @@ def resolve_keys(aliases: DataFrame, keys: DataFrame) -> DataFrame:
     )
     wafer = F.when(status == rules.RESOLVED, F.when(has_exact, F.col("e_min")).otherwise(F.col("n_min")))
     rows = F.col("key_rows") if "key_rows" in keys.columns else F.lit(None).cast("bigint")
+    kind_rows = F.col("kind_rows") if "kind_rows" in keys.columns else F.lit(None).cast("bigint")
     return joined.select(
         "source_kind",
         "raw_alias",
         rows.alias("key_rows"),
+        kind_rows.alias("kind_rows"),
         status.alias("identity_status"),
         wafer.alias("physical_wafer_id"),
         method.alias("identity_method"),
@@ -110,7 +116,8 @@ class HotKeyPolicy:
 
     A key is hot when it holds at least ``fraction`` of a source's records
     (and at least ``min_rows``); there can be at most ``1 / fraction`` such
-    keys, which bounds what is broadcast.  Hot keys are spread over
+    keys, which bounds what is broadcast.  The per-source totals travel with
+    the resolution table, so no count is gathered on the driver.  Hot keys are spread over
     ``buckets`` salted join partitions.
     """
 
@@ -120,9 +127,10 @@ class HotKeyPolicy:
 
 
 def _salted_join(records: DataFrame, scoped: DataFrame, record_column: str, policy: HotKeyPolicy) -> DataFrame:
-    total = scoped.agg(F.sum("key_rows").alias("n")).collect()[0]["n"] or 0
-    threshold = max(policy.min_rows, int(policy.fraction * total))
-    # Bounded: at most 1/fraction keys can reach the threshold.
+    threshold = F.greatest(
+        F.lit(policy.min_rows), (F.lit(policy.fraction) * F.col("kind_rows")).cast("bigint")
+    )
+    # Bounded: at most 1/fraction keys of a kind can reach the threshold.
     hot = scoped.where(F.col("key_rows") >= threshold).select("_ref", F.lit(policy.buckets).alias("_buckets"))
     salted_records = (
         records.join(F.broadcast(hot), "_ref", "left")
@@ -160,9 +168,12 @@ def annotate(
     are joined by many tasks instead of one; without it, AQE's skew-join
     splitting is relied on.
     """
-    rows = F.col("key_rows") if "key_rows" in resolution.columns else F.lit(None).cast("bigint")
+    def counted(name: str) -> Column:
+        return F.col(name) if name in resolution.columns else F.lit(None).cast("bigint")
+
     scoped = resolution.where(F.col("source_kind") == source_kind).select(
-        F.col("raw_alias").alias("_ref"), rows.alias("key_rows"), *RESOLUTION_COLUMNS
+        F.col("raw_alias").alias("_ref"), counted("key_rows").alias("key_rows"),
+        counted("kind_rows").alias("kind_rows"), *RESOLUTION_COLUMNS
     )
     if "physical_wafer_id" in records.columns:
         records = records.drop("physical_wafer_id")
@@ -172,7 +183,7 @@ def annotate(
     else:
         joined = keyed.join(scoped, "_ref", "left")
     return (
-        joined.drop("_ref", "key_rows")
+        joined.drop("_ref", "key_rows", "kind_rows")
         .withColumn(
             "identity_status", F.coalesce(F.col("identity_status"), F.lit(rules.UNRESOLVED))
         )

@@ -221,23 +221,23 @@ class VersionStore:
         facts = read["yield_fact"]
         fact_checks = facts.agg(
             F.count(F.lit(1)).alias("rows"),
-            F.count_distinct("yield_record_id").alias("ids"),
             F.count_if(F.col("yield_record_id").isNull()).alias("null_ids"),
             F.count_if(~(F.col("denominator") > 0) | F.col("denominator").isNull()).alias("bad_den"),
         ).collect()[0]
         if fact_checks["rows"] != manifest.datasets["yield_fact"]["rows"]:
             raise ValidationError("yield_fact row count differs from the manifest")
-        if fact_checks["null_ids"] or fact_checks["ids"] != fact_checks["rows"]:
-            raise ValidationError("yield_record_id is not a unique non-null key")
+        if fact_checks["null_ids"]:
+            raise ValidationError("yield_record_id has nulls")
         if fact_checks["bad_den"]:
             raise ValidationError("yield_fact has non-positive denominators")
-        lineage = read["lineage"]
-        unmatched = (
-            facts.select("yield_record_id").join(lineage.select("yield_record_id"), "yield_record_id", "left_anti").limit(1).count()
-            + lineage.select("yield_record_id").join(facts.select("yield_record_id"), "yield_record_id", "left_anti").limit(1).count()
+        # One shuffle proves fact ids unique, lineage ids unique and the 1:1 match.
+        ids = facts.select("yield_record_id", F.lit(1).alias("f"), F.lit(0).alias("l")).unionByName(
+            read["lineage"].select("yield_record_id", F.lit(0).alias("f"), F.lit(1).alias("l"))
         )
-        if unmatched or lineage.count() != fact_checks["rows"]:
-            raise ValidationError("lineage is not 1:1 with yield_fact")
+        per_id = ids.groupBy("yield_record_id").agg(F.sum("f").alias("f"), F.sum("l").alias("l"))
+        broken = per_id.where((F.col("f") != 1) | (F.col("l") != 1)).limit(1).count()
+        if broken:
+            raise ValidationError("yield_record_id is not unique, or lineage is not 1:1 with yield_fact")
         return manifest
 
     # -- resolution and loading -------------------------------------------------
