@@ -172,3 +172,17 @@ def test_resolve_selection_rejects_label_columns():
     assert views.resolve_selection({"row": 3, "column_id": "2026-01"}, rows) is None
     sel = views.resolve_selection({"row": 0, "column_id": "2026-01"}, rows)
     assert (sel.stage_code, sel.period, sel.display_value) == ("SORTING", "2026-01", "90.0%")
+
+
+def test_cell_rejects_unknown_mode_and_matches_label_range(spark):
+    import pytest
+
+    rows = [("Y1", "S", "SORTING", "L", 90, "W", "WO", "L", 1, "F", "S", ts("2026-01-11 23:59:59"), 1.0, 1.0, 1.0, ""),
+            ("Y2", "S", "SORTING", "L", 90, "W", "WO", "L", 1, "F", "S", ts("2026-01-12 00:00:00"), 1.0, 1.0, 1.0, "")]
+    facts_df = spark.createDataFrame(rows, schemas.YIELD_FACT)
+    with pytest.raises(ValueError):
+        views.cell_population(facts_df, DashboardFilters(period_mode="Fortnight"), CellSelection("SORTING", "x"))
+    week = views.cell_population(facts_df, DashboardFilters(period_mode="Week"), CellSelection("SORTING", "2026-01-05/2026-01-11"))
+    assert [r["yield_record_id"] for r in week.collect()] == ["Y1"]
+    quarter = views.cell_population(facts_df, DashboardFilters(period_mode="Quarter"), CellSelection("SORTING", "2026Q1"))
+    assert quarter.count() == 2

@@ -7,11 +7,15 @@ zone, which the library fixes to UTC.
 
 from __future__ import annotations
 
+from datetime import date, datetime, timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from yieldspark.rules import PERIOD_MODES
 
+TRUNC_UNIT = {"Day": "day", "Week": "week", "Month": "month", "Quarter": "quarter", "Year": "year"}
+
 
 def check_mode(mode: str) -> str:
     if mode not in PERIOD_MODES:
@@ -44,3 +48,40 @@ def period_label(ts: Column, mode: str) -> Column:
     if mode == "Quarter":
         return quarter_label(ts)
     return F.date_format(ts, "yyyy")
+
+
+def period_start(ts: Column, mode: str) -> Column:
+    """Start of the period containing ``ts``: a compact, orderable grouping key.
+
+    Ordering starts is the same as ordering the (zero-padded) labels, so
+    views aggregate and rank on the start and format the label afterwards,
+    on aggregated rows only.
+    """
+    return F.date_trunc(TRUNC_UNIT[check_mode(mode)], ts)
+
+
+def label_of_start(start: Column, mode: str) -> Column:
+    """The period label of a period start (same text as ``period_label``)."""
+    return period_label(start, mode)
+
+
+def period_bounds(label: str, mode: str) -> tuple[datetime, datetime]:
+    """Half-open ``[start, end)`` instants of a period label (driver-side parameter parsing)."""
+    check_mode(mode)
+    if mode == "Day":
+        start = datetime.strptime(label, "%Y-%m-%d")
+        return start, start + timedelta(days=1)
+    if mode == "Week":
+        start = datetime.strptime(label.split("/")[0], "%Y-%m-%d")
+        return start, start + timedelta(days=7)
+    if mode == "Month":
+        start = datetime.strptime(label, "%Y-%m")
+        nxt = date(start.year + (start.month == 12), start.month % 12 + 1, 1)
+        return start, datetime(nxt.year, nxt.month, 1)
+    if mode == "Quarter":
+        year, quarter = int(label[:4]), int(label[5:])
+        start = datetime(year, 3 * quarter - 2, 1)
+        end = datetime(year + (quarter == 4), (3 * quarter) % 12 + 1, 1)
+        return start, end
+    year = int(label)
+    return datetime(year, 1, 1), datetime(year + 1, 1, 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from yieldspark import rules, schemas
 from yieldspark.functions.numeric import ratio
-from yieldspark.functions.periods import period_label
+from yieldspark.functions.periods import label_of_start, period_start
 
 
 def summary_stage_codes(display_rows: list[rules.DisplayRow] | None = None) -> list[str]:
@@ -38,15 +38,20 @@ def wafer_summary(master: DataFrame, facts: DataFrame, stage_codes: list[str]) -
 
 
 def prebuilt_trend(facts: DataFrame) -> DataFrame:
-    """Weekly Σnumerator, Σdenominator and their ratio per stage."""
-    labelled = facts.withColumn("period", period_label(F.col("event_time"), "Week")).where(
-        F.col("period").isNotNull()
+    """Weekly Σnumerator, Σdenominator and their ratio per stage.
+
+    Grouped on the Monday timestamp; the week label is formatted afterwards.
+    """
+    keyed = facts.withColumn("week_start", period_start(F.col("event_time"), "Week")).where(
+        F.col("week_start").isNotNull()
     )
-    grouped = labelled.groupBy("stage_code", "stage_label", "period").agg(
+    grouped = keyed.groupBy("stage_code", "stage_label", "week_start").agg(
         F.sum("numerator").alias("numerator"), F.sum("denominator").alias("denominator")
     )
     return schemas.conform(
-        grouped.withColumn("yield_rate", ratio(F.col("numerator"), F.col("denominator"))),
+        grouped.withColumn("period", label_of_start(F.col("week_start"), "Week")).withColumn(
+            "yield_rate", ratio(F.col("numerator"), F.col("denominator"))
+        ),
         schemas.PREBUILT_TREND,
     )
 
