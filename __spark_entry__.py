@@ -104,7 +104,7 @@ def _resolved(spark, sf, name):
 
 def _stage(part: str):
     def run(spark, sf):
-        return _plan(spark, sf).parts[part]
+        return _plan(spark, sf).parts[part].select(*facts.STAGE_ROW_COLUMNS)
 
     return run
 
@@ -140,7 +140,7 @@ def q_latest(name, fn):
 
 
 def q_stage_wafer_total(spark, sf):
-    return _plan(spark, sf).parts["WAFER_TOTAL"]
+    return _plan(spark, sf).parts["WAFER_TOTAL"].select(*facts.STAGE_ROW_COLUMNS)
 
 
 def q_wafer_summary(spark, sf):

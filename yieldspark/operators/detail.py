@@ -65,7 +65,7 @@ def transform_targeted(
             detail, kind, alias_column, resolution,
             record_column=DETAIL_RECORD_COLUMNS[dataset], hot_keys=hot_keys,
         )
-    return identity.resolved_only(annotated).drop("identity_method")
+    return identity.resolved_only(annotated).drop("identity_method", *identity.WAFER_ATTRIBUTES)
 
 
 def targeted_detail_table(

@@ -51,6 +51,8 @@ def stage_rows(
 ) -> DataFrame:
     stage_col = F.lit(stage) if isinstance(stage, str) else stage
     time_col = F.col(event_time) if isinstance(event_time, str) else event_time
+    # Wafer attributes ride along when the records already carry them.
+    attributes = [F.col(c) for c in identity.WAFER_ATTRIBUTES] if identity.carries_attributes(frame) else []
     return frame.select(
         stage_col.alias("stage_code"),
         F.col("physical_wafer_id"),
@@ -62,6 +64,7 @@ def stage_rows(
         record.cast("string").alias("source_record_id"),
         F.lit(rule).alias("transformation_rule"),
         method.alias("identity_method"),
+        *attributes,
     )
 
 
@@ -196,6 +199,12 @@ def wafer_total_rows(wafer_stage_rows: DataFrame) -> DataFrame:
             F.product(F.col("numerator") / F.col("denominator")).alias("wafer_yield"),
             F.max("event_time").alias("last_time"),
             F.bit_or(bit).alias("stage_mask"),
+            # Attributes are a function of the wafer; min() just carries them.
+            *(
+                [F.min(c).alias(c) for c in identity.WAFER_ATTRIBUTES]
+                if identity.carries_attributes(wafer_stage_rows)
+                else []
+            ),
         )
         .where(F.col("stage_mask") == full_mask)
     )
@@ -247,8 +256,9 @@ def final_cohort(
     ``physical_wafer_id``.  Wafers whose chip or sorting total is zero are
     dropped before dividing.
     """
+    attributes = list(identity.WAFER_ATTRIBUTES) if identity.carries_attributes(qualification_per_wafer) else []
     q = qualification_per_wafer.select(
-        "physical_wafer_id", "qualified_at", F.col("passed").alias("q_passed")
+        "physical_wafer_id", "qualified_at", F.col("passed").alias("q_passed"), *attributes
     )
     c = chip_per_wafer.select(
         "physical_wafer_id",
@@ -270,6 +280,7 @@ def final_cohort(
     total = F.col("c_total")
     components = joined.select(
         "physical_wafer_id",
+        *attributes,
         F.col("qualified_at").alias("event_time"),
         total.alias("total_chips"),
         (F.col("c_good") / total).alias("chip_inspection"),
@@ -305,7 +316,10 @@ def final_chip_rows(cohort: DataFrame) -> DataFrame:
 
 def final_component_fact(cohort: DataFrame, master: DataFrame) -> DataFrame:
     """Per-wafer components of the final chip yield."""
-    joined = cohort.join(master.select("physical_wafer_id", "work_order", "product_family"), "physical_wafer_id")
+    if identity.carries_attributes(cohort):
+        joined = cohort
+    else:
+        joined = cohort.join(master.select("physical_wafer_id", "work_order", "product_family"), "physical_wafer_id")
     return schemas.conform(
         joined.withColumn("final_chip_yield", F.col("final_good") / F.col("total_chips")),
         schemas.FINAL_COMPONENT_FACT,
@@ -322,10 +336,14 @@ def enrich(rows: DataFrame, master: DataFrame, rules_df: DataFrame) -> DataFrame
     """Guard, then attach wafer attributes and display rules.
 
     The rules table has one row per configured stage (fixed, tiny), so it is
-    broadcast; the master join is a wafer-keyed equi-join left to the planner.
+    broadcast.  When the rows already carry the wafer attributes (a staged
+    resolution joined with the master) there is no master join; otherwise it
+    is a wafer-keyed equi-join left to the planner.
     """
     guarded = guard(rows)
-    joined = guarded.join(master, "physical_wafer_id").join(
+    if not identity.carries_attributes(guarded):
+        guarded = guarded.join(master, "physical_wafer_id")
+    joined = guarded.join(
         F.broadcast(rules_df.select("stage_code", "section", "stage_label", "display_order")), "stage_code"
     )
     return joined.select(

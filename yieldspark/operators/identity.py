@@ -26,6 +26,21 @@ from yieldspark import rules
 from yieldspark.functions.text import lookup_alias, normalize_alias
 
 RESOLUTION_COLUMNS = ("identity_status", "physical_wafer_id", "identity_method")
+WAFER_ATTRIBUTES = ("work_order", "lot_id", "wafer_number", "product_family", "wafer_size")
+
+
+def with_wafer_attributes(resolution: DataFrame, master: DataFrame) -> DataFrame:
+    """Attach the resolved wafer's master attributes to each resolution row.
+
+    The resolution has one row per distinct alias, far fewer than the records;
+    joining the master here lets every annotated record carry its wafer's
+    attributes, so the facts need no join with the master later.
+    """
+    return resolution.join(master.select("physical_wafer_id", *WAFER_ATTRIBUTES), "physical_wafer_id", "left")
+
+
+def carries_attributes(frame: DataFrame) -> bool:
+    return all(c in frame.columns for c in WAFER_ATTRIBUTES)
 
 
 def alias_index(aliases: DataFrame, key_column: str) -> DataFrame:
@@ -171,9 +186,10 @@ def annotate(
     def counted(name: str) -> Column:
         return F.col(name) if name in resolution.columns else F.lit(None).cast("bigint")
 
+    attributes = list(WAFER_ATTRIBUTES) if carries_attributes(resolution) else []
     scoped = resolution.where(F.col("source_kind") == source_kind).select(
         F.col("raw_alias").alias("_ref"), counted("key_rows").alias("key_rows"),
-        counted("kind_rows").alias("kind_rows"), *RESOLUTION_COLUMNS
+        counted("kind_rows").alias("kind_rows"), *RESOLUTION_COLUMNS, *attributes
     )
     if "physical_wafer_id" in records.columns:
         records = records.drop("physical_wafer_id")

@@ -87,7 +87,10 @@ def stage_fact_build(
     key_names = list(identity.SOURCE_IDENTITY) + list(detail_sources)
     staged = stage.all(
         {
-            "resolution": identity.resolve_keys(aliases, identity.all_lookup_keys(everything, key_names)),
+            "resolution": identity.with_wafer_attributes(
+                identity.resolve_keys(aliases, identity.all_lookup_keys(everything, key_names)),
+                identity.wafer_master(aliases),
+            ),
             "master": identity.wafer_master(aliases),
         }
     )
