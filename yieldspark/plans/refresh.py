@@ -21,7 +21,6 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from yieldspark import rules, schemas
 from yieldspark.operators import detail, facts, identity, prepared
@@ -208,4 +207,4 @@ def titled_columns(frame: DataFrame) -> list[str]:
     return [c.replace("_", " ").title() for c in frame.columns]
 
 
-__all__ = ["refresh", "build_datasets", "Stager", "truth_metadata", "export_csv", "F"]
+__all__ = ["refresh", "build_datasets", "stage_fact_build", "datasets_of", "Stager", "truth_metadata", "export_csv"]
