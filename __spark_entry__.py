@@ -315,6 +315,16 @@ def q_version_retention(spark, sf):
     return published_store(spark, sf).retention_flags()
 
 
+def q_validate_version(spark, sf):
+    """B3 on the current version, then its manifest rows (one per dataset)."""
+    store = published_store(spark, sf)
+    version = store.current_version()
+    store.validate(store.manifest(version))
+    return store.catalog().where(F.col("version") == version).select(
+        "version", "dataset", "rows", "load_policy", "status"
+    )
+
+
 def q_csv_export_roundtrip(spark, sf):
     from yieldspark.plans.refresh import export_csv, read_csv_export
     from yieldspark.session import scratch_path
@@ -387,6 +397,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "published_targeted_read": q_published_targeted_read,
         "version_catalog": q_version_catalog,
         "version_retention": q_version_retention,
+        "validate_version": q_validate_version,
         "csv_export_roundtrip": q_csv_export_roundtrip,
         "stream_weekly_yield": q_stream_weekly_yield,
     }
@@ -627,6 +638,30 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["csv_export_roundtrip"] = sql["cell_lineage"]
     sql["stream_weekly_yield"] = sql["prebuilt_trend"]
+    counted = {
+        "yield_fact": "SELECT count(*) FROM yield_fact",
+        "failure_fact": "SELECT count(*) FROM failure_fact",
+        "lineage": "SELECT count(*) FROM lineage",
+        "identity_audit": "SELECT count(*) FROM identity_audit",
+        "wafer_summary": "SELECT count(*) FROM master",
+        "final_component_fact": "SELECT count(*) FROM final_component_fact",
+        "filter_domains": "SELECT count(DISTINCT CASE WHEN product_family IS NOT NULL THEN 'p' END) "
+        "+ count(DISTINCT CASE WHEN wafer_size IS NOT NULL THEN 's' END) FROM master",
+        "prebuilt_trend": f"SELECT count(*) FROM (SELECT DISTINCT stage_code, stage_label, {O.week_label('event_time')} "
+        "FROM yield_fact WHERE event_time IS NOT NULL)",
+        "prebuilt_pareto": "SELECT count(*) FROM (SELECT DISTINCT stage_code, stage_label, failure_family "
+        "FROM failure_fact WHERE failure_family IS NOT NULL)",
+        "targeted_chip_detail": "SELECT count(*) FROM targeted_chip_detail",
+        "targeted_sorting_parameter_detail": "SELECT count(*) FROM targeted_sorting_detail",
+    }
+    policy = {"targeted_chip_detail": "targeted", "targeted_sorting_parameter_detail": "targeted"}
+    sql["validate_version"] = O.with_ctes(
+        " UNION ALL ".join(
+            f"SELECT CAST(1 AS BIGINT) AS version, '{name}' AS dataset, CAST(({query}) AS BIGINT) AS rows, "
+            f"'{policy.get(name, 'common')}' AS load_policy, 'VALIDATED' AS status"
+            for name, query in counted.items()
+        )
+    )
     sql["flagship_chip_weekly_yield"] = O.with_ctes(
         f"SELECT stage_code, stage_label, {O.week_label('event_time')} AS period, "
         "round(sum(numerator), 6) AS numerator, round(sum(denominator), 6) AS denominator, "
