@@ -152,3 +152,25 @@ def test_validation_rejects_broken_lineage_and_duplicate_ids(spark, store):
     with pytest.raises(ValidationError):
         store.validate(with_path("yield_fact", f"{root}/facts", rows))
     assert store.validate(manifest) is manifest
+
+
+def test_incremental_refresh_runs_only_when_files_land(spark):
+    from yieldspark.streaming.incremental import start_incremental_refresh
+
+    work = scratch_path(spark, "r1")
+    landing, ckpt = f"{work}/landing", f"{work}/ckpt"
+    calls = []
+
+    def run():
+        start_incremental_refresh(
+            spark, landing, ckpt, lambda: calls.append(1), trigger_schema=spark.range(0).schema
+        ).awaitTermination()
+
+    spark.range(3).write.mode("append").parquet(landing)
+    run()
+    assert len(calls) == 1
+    run()  # nothing new landed
+    assert len(calls) == 1
+    spark.range(2).write.mode("append").parquet(landing)
+    run()
+    assert len(calls) == 2
