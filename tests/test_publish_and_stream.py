@@ -174,3 +174,14 @@ def test_incremental_refresh_runs_only_when_files_land(spark):
     spark.range(2).write.mode("append").parquet(landing)
     run()
     assert len(calls) == 2
+
+
+def test_targeted_reader_counts_queries_and_scope(spark, store):
+    from yieldspark.plans.publish import TargetedDetailReader
+
+    reader = TargetedDetailReader(store)
+    assert reader.chip_detail(["W1", "W1", "W2"]).count() == 6
+    assert (reader.query_count, reader.last_scope_size) == (1, 2)
+    scope = spark.createDataFrame([("W1",), ("W1",)], "physical_wafer_id string")
+    assert reader.sorting_parameters(scope).count() == 2
+    assert (reader.query_count, reader.last_scope_size) == (2, 1)

@@ -326,3 +326,31 @@ class VersionStore:
 def statistics_dict(stats: DataFrame) -> dict[str, int]:
     """The (statistic, value) table as a dict (five rows)."""
     return {r["statistic"]: int(r["value"]) for r in stats.collect()}
+
+
+class TargetedDetailReader:
+    """Chip / parameter detail reads for a wafer scope, with usage counters.
+
+    ``query_count`` counts reads; ``last_scope_size`` is the number of distinct
+    wafer ids of the last read (a list is counted on the driver, a DataFrame
+    scope with a distributed distinct count).
+    """
+
+    def __init__(self, store: VersionStore) -> None:
+        self.store = store
+        self.query_count = 0
+        self.last_scope_size = 0
+
+    def chip_detail(self, wafer_ids, version: int | None = None) -> DataFrame:
+        return self._read("targeted_chip_detail", wafer_ids, version)
+
+    def sorting_parameters(self, wafer_ids, version: int | None = None) -> DataFrame:
+        return self._read("targeted_sorting_parameter_detail", wafer_ids, version)
+
+    def _read(self, dataset: str, wafer_ids, version: int | None) -> DataFrame:
+        self.query_count += 1
+        if isinstance(wafer_ids, DataFrame):
+            self.last_scope_size = wafer_ids.select("physical_wafer_id").distinct().count()
+        else:
+            self.last_scope_size = len(set(wafer_ids))
+        return self.store.read_targeted(dataset, wafer_ids, version)
