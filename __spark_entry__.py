@@ -25,6 +25,13 @@ from yieldspark.plans import views  # noqa: E402
 from yieldspark.plans.views import CellSelection, DashboardFilters  # noqa: E402
 from yieldspark.sources import driver_tables as dt  # noqa: E402
 
+# The training-data operators and their pipeline, where that subpackage is installed.
+try:
+    import corpus_pipeline
+    from yieldspark.llm import queries as llm_queries
+except ImportError:
+    corpus_pipeline = llm_queries = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # --- fixed query parameters ----------------------------------------------------
@@ -411,7 +418,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     def wrap(fn):
         return lambda spark, sf_dir: compare_ready(fn(prepare_session(spark), sf_dir))
 
-    return {name: wrap(fn) for name, fn in _queries().items()}
+    found = {name: wrap(fn) for name, fn in _queries().items()}
+    if llm_queries is not None:
+        found |= llm_queries.queries() | {"pipeline": corpus_pipeline.run}
+    return found
 
 
 def q_flagship_chip_weekly_yield(spark, sf):
@@ -668,4 +678,6 @@ def oracle_sql() -> dict[str, str]:
         "round(sum(numerator) / sum(denominator), 6) AS yield_rate FROM yield_fact "
         "WHERE event_time IS NOT NULL AND stage_code = 'CHIP_INSPECTION' GROUP BY ALL"
     )
+    if llm_queries is not None:
+        sql |= llm_queries.oracle_sql()
     return sql
