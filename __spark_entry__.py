@@ -29,7 +29,9 @@ from yieldspark.sources import driver_tables as dt  # noqa: E402
 try:
     import corpus_pipeline
     from yieldspark.llm import queries as llm_queries
-except ImportError:
+except ModuleNotFoundError as missing:
+    if missing.name not in ("corpus_pipeline", "yieldspark.llm"):
+        raise
     corpus_pipeline = llm_queries = None
 
 SMOKE_DIR = "/root/testdata/sf0.001"
