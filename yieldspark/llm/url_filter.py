@@ -41,8 +41,9 @@ class Level:
 
     def places(self, key: Column) -> Column:
         """The bits of a key."""
-        a, b = F.xxhash64(key, F.lit(self.salt)), F.xxhash64(key, F.lit(-1 - self.salt))
-        return F.transform(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda i: F.pmod(a + b * i, F.lit(self.bits).cast("long")))
+        m = F.lit(self.bits).cast("long")
+        a, b = F.pmod(F.xxhash64(key, F.lit(self.salt)), m), F.pmod(F.xxhash64(key, F.lit(-1 - self.salt)), m)
+        return F.transform(F.sequence(F.lit(0), F.lit(self.hashes - 1)), lambda i: F.pmod(a + b * i, m))
 
     def holds(self, key: Column) -> Column:
         words = F.split(F.lit(",".join(map(str, self.words))), ",").cast("array<bigint>")  # folded to a constant
@@ -58,7 +59,7 @@ def _level(keys: DataFrame, n: int, hashes: int, salt: int) -> Level:
     rows = (
         keys.select(F.explode(level.places(F.col("key"))).alias("p"))
         .groupBy(word.alias("w"))
-        .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("b"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
         .collect()  # at most bits / 64 rows
     )
     level.words = [0] * (level.bits // 64)
