@@ -12,10 +12,10 @@ from __future__ import annotations
 
 import os
 import re
-import struct
 import zlib
 from bisect import bisect_left, insort
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
@@ -30,18 +30,26 @@ WINDOW = 2048
 OPEN, LEAST_CUT, MERGED = 16, 32, 64
 #: The id that ends a document.
 END = 1
-TABLE_SIZE = 700_000
+TABLE_SIZE = 1_000_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Characters that str.split() takes for white space and the vocabulary's word pattern doesn't.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
 _SPACES = re.compile(r"[\t\n\x0b\f\r \x85\xa0  -     　]+")
 
 
+#: Words of a text in Latin letters, after lowering: the vocabulary's word pattern with its classes written out.
+_LETTERS, _NUMBERS = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+_LATIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+")
+
+
 class WordIds:
     """Ids of texts as little-endian bytes, by a bounded table of the words met; the vocabulary's library encodes new words.
 
     White space never lies inside a token of this vocabulary and is dropped,
-    so a text's ids are those of its words in turn.
+    so a text's ids are those of its words in turn.  A text in Latin letters,
+    which normalisation only lowers, is cut into the vocabulary's own words,
+    and new ones are encoded many at a time: the last token of each carries
+    the end mark.  Other texts are cut at white space.
     """
 
     def __init__(self, name: str):
@@ -52,21 +60,50 @@ class WordIds:
         self.library = Tokenizer.from_file(public_tokenizers.path(name))
         self.library.no_truncation()
         self.library.no_padding()
+        vocab = self.library.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
         self.table: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        return [w for w in _SPACES.split(text) if w] if _SEPARATORS.search(text) else text.split()
+        self.parts: dict[str, bytes] = {}
+
+    def _cut(self, text: str) -> tuple[list[str], bool]:
+        """Words of a text, and whether they are the vocabulary's own."""
+        if _SEPARATORS.search(text):
+            return [w for w in _SPACES.split(text) if w], False
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return text.split(), False
+        if self.special.search(text):
+            return text.split(), False
+        return _LATIN.findall(text.lower()), True
+
+    def _learn_parts(self, new: list[str]) -> None:
+        lines = [new[i : i + 500] for i in range(0, len(new), 500)]
+        for line, e in zip(lines, self.library.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype="<u4")
+            ends = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            raw = ids.tobytes()
+            self.parts.update(zip(line, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def _learn_words(self, new: list[str]) -> None:
+        for i in range(0, len(new), 1000):
+            part = new[i : i + 1000]
+            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.table[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.table) > TABLE_SIZE:
             self.table = {}
-        table, cut = self.table, [self.words(t) for t in texts]
-        new = list({w for words in cut for w in words if w not in table})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for w, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                table[w] = struct.pack(f"<{len(ids)}I", *ids) if len(ids := e.ids) != 1 else ids[0].to_bytes(4, "little")
-        return [b"".join([table[w] for w in words]) for words in cut]
+        if len(self.parts) > TABLE_SIZE:
+            self.parts = {}
+        cut = [self._cut(t) for t in texts]
+        self._learn_parts(list(set().union(*[w for w, own in cut if own]).difference(self.parts)))
+        self._learn_words(list(set().union(*[w for w, own in cut if not own]).difference(self.table)))
+        part, word = self.parts.__getitem__, self.table.__getitem__
+        return [b"".join(map(part if own else word, words)) for words, own in cut]
 
 
 _IDS: dict[str, WordIds] = {}
