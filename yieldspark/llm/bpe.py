@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_characters, text_chunks
+from .common import byte_characters, keep_only, text_chunks
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Words and pieces of texts that a worker keeps; the table is emptied when it is full.
@@ -205,7 +205,7 @@ class ByteBpe:
         if len(self.words) > TABLE_SIZE:
             self.words = {}
         table = self.words
-        new = {p for pieces in texts for p in pieces if p not in table}
+        new = set().union(*texts).difference(table)
         split = {p: WORDS.findall(p) for p in new if p not in self.special}
         self.learn({w for ws in split.values() for w in ws if w not in table})
         for p in new:
@@ -257,6 +257,7 @@ def _batches(texts: Iterable[str], limit: int = 2_000_000) -> Iterable[list[str]
 
 def _digests(name: str):
     def run(batches):
+        keep_only("bpe", _MODELS.clear)
         bpe = model(name)
         for batch in batches:
             ids, counts, id_sums, text_sums = [], [], [], []
@@ -266,7 +267,7 @@ def _digests(name: str):
                 cut = [bpe.segments(t) for t in texts]
                 known = bpe.know(cut)
                 for pieces in cut:
-                    got = [known[p] for p in pieces]
+                    got = list(map(known.__getitem__, pieces))
                     counts.append(sum(g[0] for g in got))
                     id_sums.append(hashlib.sha256(",".join([g[1] for g in got]).encode()).hexdigest())
                     raw = b"".join([g[2] for g in got])
@@ -295,6 +296,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, ids)``: the encoded texts themselves."""
 
     def run(batches):
+        keep_only("bpe", _MODELS.clear)
         bpe = model(vocabulary)
         for batch in batches:
             rows = list(text_chunks(batch, ["doc_id", "text"]))
@@ -310,6 +312,7 @@ def decode_texts(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """``(doc_id, text)`` from ``(doc_id, ids)``; null ids give an empty text."""
 
     def run(batches):
+        keep_only("bpe", _MODELS.clear)
         bpe = model(vocabulary)
         for batch in batches:
             rows = list(text_chunks(batch, ["doc_id", "ids"]))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +56,17 @@ def fresh(taken: list[str], wish: str) -> str:
     return name
 
 
+_TABLES: list[tuple[str, Callable[[], None]]] = []
+
+
+def keep_only(owner: str, drop: Callable[[], None]) -> None:
+    """Called in a worker by an operator that keeps tables between tasks: drops those of the operator that ran there before."""
+    if _TABLES and _TABLES[0][0] != owner:
+        _TABLES.pop()[1]()
+    if not _TABLES:
+        _TABLES.append((owner, drop))
+
+
 def text_chunks(batch, columns: list[str]) -> Iterator[tuple]:
     """Rows of an Arrow batch as Python tuples in the order of ``columns``."""
     return zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)

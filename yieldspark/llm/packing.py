@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import keep_only, text_chunks, written
 
 VOCABULARY = "word_bpe_49k.json"
 WINDOW = 2048
@@ -162,6 +162,7 @@ def _first_pass(vocabulary: str, window: int, limit: int, least: int, columns: l
     schema = pa.schema([(c, pa.int64()) for c in [*columns, "part"]])
 
     def run(batches):
+        keep_only("packing", _IDS.clear)
         ids, part = word_ids(vocabulary), TaskContext.get().partitionId()
         state, emitted = OpenWindows(window, limit), 0
         base = part << 32

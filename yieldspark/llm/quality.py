@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import keep_only, text_chunks
 
 #: Rated documents used for fitting at most; parts fitted side by side; hash buckets; documents of a part that a bucket needs.
 SAMPLE, SHARDS, BUCKETS, LEAST_DOCS = 20_000, 2, 2**18, 5
@@ -34,7 +34,7 @@ PREFIX, SHAPE_SCALE = 5, 8.0
 GRADES = 3
 #: A document stays if it has the top grade with at least this probability.
 KEEP = 0.5
-TABLE_SIZE = 500_000
+TABLE_SIZE = 250_000
 _SHAPE = str.maketrans({**dict.fromkeys(map(chr, range(ord("a"), ord("z") + 1)), "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "9")})
 _PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
@@ -102,6 +102,7 @@ class Features:
 
 
 def _features(batches):
+    keep_only("quality", lambda: None)
     features = Features()
     for batch in batches:
         out = [(g, s, *features.of(t or "")) for _, t, g, s in text_chunks(batch, ["doc_id", "text", "grade", "shard"])]
@@ -204,6 +205,7 @@ def _score(weights: dict[int, float], cuts: list[float], keep: float):
     model = OrdinalModel(weights, cuts)
 
     def run(batches):
+        keep_only("quality", lambda: None)
         table: dict[str, tuple[tuple, float]] = {}
         get = weights.get
         for batch in batches:

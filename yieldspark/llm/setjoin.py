@@ -1,14 +1,14 @@
 """N-gram Jaccard join with set-relation skipping (operator 7).
 
 Every document is the set of its distinct word shingles, ordered by one order
-of all shingles: rare first, by a count of all documents' shingles in a fixed
-number of buckets.  Two sets link when their Jaccard similarity reaches the
+of all shingles: rare first, by the counts of all documents' shingles in a
+fixed number of buckets.  Two sets link when their Jaccard similarity reaches the
 threshold; a linked pair shares a shingle of both sets' prefixes.
 
 * Equal sets are one class; only its smallest document takes part.
 * The index has a list of ``(set, size, position)`` for every prefix shingle.
-  Within a list, sets of like size are compared with the list's leader, the
-  smallest of them: a number of pairs that is linear in the list.
+  Within a list, of the sets of like size the one with most company in all its
+  lists leads; each set is compared with the leader it shares most lists with.
 * Sets linked by then are related, so the answers of one are derived from the
   other's.  Lists whose sets are all related are skipped.  The others are read
   by blocks of like size and position; a pair of blocks is skipped when all
@@ -25,21 +25,23 @@ Shingles are 64-bit hashes.
 from __future__ import annotations
 
 import struct
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_chunks, written
+from .common import keep_only, text_chunks, written
 from .components import connected_components
 
-#: Buckets of the shingle counts (fixed, so their size is bounded) and 64-bit words of a parity bitmap.
-BUCKETS, WORDS64 = 2**20, 16
-#: A bucket orders a shingle behind others only from so many times the mean count on.
-FREQUENT = 2.0
-TABLE_SIZE = 600_000
+#: Buckets of the shingle counts (fixed, so their size is bounded), slices in which they are added up, 64-bit words of a parity bitmap.
+BUCKETS, SLICES, WORDS64 = 2**22, 1024, 16
+#: Bits of the map of documents whose sets are compared, which saves reading the others (fixed as well).
+WANTED = 2**24
+TABLE_SIZE = 400_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -72,27 +74,35 @@ def shingles(text: str | None, n: int) -> np.ndarray:
 
 def _count_buckets(n: int):
     def run(batches):
-        counts = np.zeros(BUCKETS, np.int64)
+        keep_only("setjoin", _TABLE.clear)
+        counts = np.zeros(BUCKETS, np.uint32)
         for batch in batches:
             for (text,) in text_chunks(batch, ["text"]):
-                if len(s := shingles(text, n)):
-                    counts += np.bincount((s & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
-                    if len(s) <= BUCKETS // 8:
-                        np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        at = np.flatnonzero(counts)
-        for i in range(0, len(at), 100_000):
-            part = at[i : i + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(counts[part], pa.int64())], names=["bucket", "n"])
+                s = shingles(text, n)
+                np.add.at(counts, (s & np.uint64(BUCKETS - 1)).astype(np.int64), np.uint32(1))
+        parts = [(i, zlib.compress(x.tobytes(), 1)) for i, x in enumerate(np.split(counts, SLICES)) if x.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([p[1] for p in parts], pa.binary())], names=["slice", "counts"])
 
     return run
 
 
-def frequent_buckets(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets that count well above the mean, with their counts: at most ``BUCKETS / FREQUENT`` of them."""
-    counts = written(docs.select(F.col("text").cast("string")).mapInArrow(_count_buckets(n), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")), "shingle-buckets")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    rows = counts.where(F.col("n") > FREQUENT * max(1.0, total / BUCKETS)).toPandas()
-    return rows["bucket"].to_numpy(np.int64), rows["n"].to_numpy(np.int64)
+def _add_slices(key: tuple, parts: pd.DataFrame) -> pd.DataFrame:
+    total = np.zeros(BUCKETS // SLICES, np.uint64)
+    for raw in parts["counts"]:
+        total += np.frombuffer(zlib.decompress(raw), np.uint32)
+    return pd.DataFrame({"slice": [key[0]], "counts": [zlib.compress(np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes(), 1)]})
+
+
+def bucket_counts(docs: DataFrame, n: int) -> np.ndarray:
+    """How many documents' shingles each bucket holds, over all documents: one array of ``BUCKETS`` numbers.
+
+    Every task counts into an array of that size and hands it on in slices.
+    """
+    parts = docs.select(F.col("text").cast("string")).mapInArrow(_count_buckets(n), "slice long, counts binary")
+    counts = np.zeros((SLICES, BUCKETS // SLICES), np.uint32)
+    for r in parts.groupBy("slice").applyInPandas(_add_slices, "slice long, counts binary").collect():
+        counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), np.uint32)
+    return counts.ravel()
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -103,11 +113,14 @@ def prefix_size(n: int, percent: int) -> int:
 _PROFILE = "uid long, doc_id long, n_shingles long, digest binary, bitmap array<long>, prefix array<long>"
 
 
-def _profiles(n: int, percent: int, frequent):
+def _digest(s: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(s.tobytes()) + struct.pack("<I", len(s) & 0xFFFFFFFF)
+
+
+def _profiles(n: int, percent: int, counts):
     def run(batches):
-        at, count = frequent.value
-        level = np.zeros(BUCKETS, np.int64)
-        level[at] = count
+        keep_only("setjoin", _TABLE.clear)
+        level = counts.value
         for batch in batches:
             out = []
             for uid, doc, text in text_chunks(batch, ["uid", "doc_id", "text"]):
@@ -118,7 +131,7 @@ def _profiles(n: int, percent: int, frequent):
                 bits = np.bincount((s >> np.uint64(40)).astype(np.int64) & (64 * WORDS64 - 1), minlength=64 * WORDS64) & 1
                 order = np.lexsort((s, level[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
                 out.append((
-                    uid, doc, len(s), xxhash.xxh3_128_digest(s.tobytes()) + struct.pack("<I", len(s) & 0xFFFFFFFF),
+                    uid, doc, len(s), _digest(s),
                     np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64),
                     s[order[: prefix_size(len(s), percent)]].view(np.int64),
                 ))
@@ -131,24 +144,36 @@ def _profiles(n: int, percent: int, frequent):
     return run
 
 
-def _sets(n: int):
+def _sets(n: int, wanted):
+    """Sets of the rows whose place is in the map, each set once a task."""
+
     def run(batches):
+        keep_only("setjoin", _TABLE.clear)
+        places, seen = wanted.value, set()
         for batch in batches:
-            rows = list(text_chunks(batch, ["id", "text"]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([shingles(r[1], n).view(np.int64) for r in rows], pa.list_(pa.int64()))],
-                names=["id", "items"],
-            )
+            out = []
+            use = places[batch.column(batch.schema.get_field_index("place")).to_numpy(zero_copy_only=False)]
+            for (text,) in text_chunks(batch.filter(pa.array(use)), ["text"]):
+                s = shingles(text, n)
+                if len(s) and (d := _digest(s)) not in seen:
+                    seen.add(d)
+                    out.append((d, s.view(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.list_(pa.int64()))], names=["digest", "items"])
 
     return run
 
 
+def _place(doc_id):
+    return F.pmod(F.xxhash64(doc_id, F.lit(7)), F.lit(WANTED))
+
+
 class JaccardJoin:
     """One join: ``classes()`` gives each document's component."""
 
     def __init__(self, docs: DataFrame, n: int, percent: int):
         self.n, self.percent = n, percent
-        self.docs = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        self.spark = docs.sparkSession
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     # -- conditions on pairs (x, y) --------------------------------------------------
     def _needed(self, x, y):
@@ -159,52 +184,77 @@ class JaccardJoin:
         return 100 * inter >= self.percent * (x + y - inter)
 
     def _verified(self, pairs: DataFrame, label: str) -> DataFrame:
-        """Pairs ``(a, b)`` with their sizes and their intersection; both sets are read from the texts once."""
-        ids = written(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), "pair-ids")
-        texts = self.docs.join(self.reps.select("uid", F.col("doc_id").alias("id")).join(ids, "id", "left_semi"), "uid").select("id", "text")
-        sets = written(texts.mapInArrow(_sets(self.n), "id long, items array<long>"), "pair-sets")
+        """Pairs ``(a, b)`` of class ids with their sizes and their intersection.
+
+        The texts are read again, but only the wanted documents' sets are made
+        and dealt out; those are known by a map of fixed size.
+        """
+        ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
+        ids = written(self.reps.select("uid", "doc_id", "digest").join(ids, "uid", "left_semi"), "pair-ids")
+        wanted = np.zeros(WANTED, bool)
+        place = _place("doc_id")
+        word = F.floor(place / 64).alias("w")
+        for r in ids.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, 7), {WANTED}) % 64 as int))")).alias("bits")).toLocalIterator():
+            bits = r["bits"] & (2**64 - 1)
+            wanted[64 * r["w"] + np.flatnonzero([bits >> i & 1 for i in range(64)])] = True
+        sets = (
+            self.docs.select("text", place.alias("place"))
+            .mapInArrow(_sets(self.n, self.spark.sparkContext.broadcast(wanted)), "digest binary, items array<long>")
+            .join(ids.select("uid", "digest"), "digest")
+            .groupBy("uid")
+            .agg(F.first("items").alias("items"))
+        )
+        sets = written(sets, "pair-sets")
         got = (
-            pairs.join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b")
+            pairs.join(sets.select(F.col("uid").alias("a"), F.col("items").alias("x")), "a")
+            .join(sets.select(F.col("uid").alias("b"), F.col("items").alias("y")), "b")
             .select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("inter"))
         )
         return written(got, label)
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that their parity bitmaps don't rule out."""
-        side = lambda k: self.reps.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bitmap").alias(f"m_{k}"))
+        side = lambda k: self.reps.select(F.col("uid").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bitmap").alias(f"m_{k}"))
         differ = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.where(F.col("n_a") + F.col("n_b") - 2 * self._needed(F.col("n_a"), F.col("n_b")) >= differ).select("a", "b")
 
     # -- the join --------------------------------------------------------------------
     def profiles(self) -> DataFrame:
-        frequent = self.docs.sparkSession.sparkContext.broadcast(frequent_buckets(self.docs, self.n))
-        return written(self.docs.mapInArrow(_profiles(self.n, self.percent, frequent), _PROFILE), "shingle-profiles")
+        counts = self.spark.sparkContext.broadcast(bucket_counts(self.docs, self.n))
+        rows = self.docs.withColumn("uid", F.monotonically_increasing_id())
+        return written(rows.mapInArrow(_profiles(self.n, self.percent, counts), _PROFILE), "shingle-profiles")
 
     def _lists(self) -> DataFrame:
         """Index entries of prefix shingles that several sets have."""
         entries = self.reps.select(
-            F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")
+            F.col("uid").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")
         ).withColumn("size_class", F.floor(F.log("n") / F.lit(float(np.log(100.0 / self.percent)))).cast("int"))
-        shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1").select("token")
+        shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
         return written(entries.join(shared, "token"), "index-lists")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
-        """Profiles of all rows with ``rep`` (their class's smallest document), and components of the reps that link."""
+        """Profiles of all rows with their class's ``uid`` and ``rep`` (its smallest document), and components of the classes that link."""
         profiles = self.profiles()
         reps = profiles.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("r"))
-        reps = written(reps.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.uid").alias("uid")), "set-classes")
-        self.reps = written(profiles.join(reps.select("uid"), "uid", "left_semi"), "set-reps")
+        classes = written(reps.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.uid").alias("uid")), "set-classes")
+        self.reps = written(profiles.join(classes.select("uid"), "uid", "left_semi"), "set-reps")
         lists = self._lists()
 
-        # Related sets: each compared with the leader of its list.
-        leaders = lists.groupBy("token", "size_class").agg(F.min(F.struct("n", "id")).alias("lead"), F.count("*").alias("m")).where("m > 1")
+        # Related sets: each compared with one leader of its lists, a set that many others share lists with.
+        degree = lists.groupBy("id").agg(F.sum("m").alias("degree"))
+        leaders = (
+            lists.join(degree, "id")
+            .groupBy("token", "size_class")
+            .agg(F.max(F.struct("degree", (-F.col("n")).alias("less"), (-F.col("id")).alias("first"))).alias("lead"), F.count("*").alias("k"))
+            .where("k > 1")
+            .select("token", "size_class", (-F.col("lead.first")).alias("a"), (-F.col("lead.less")).alias("n_a"))
+        )
         stars = (
-            lists.join(leaders.select("token", "size_class", F.col("lead.id").alias("a"), F.col("lead.n").alias("n_a")), ["token", "size_class"])
-            .where((F.col("a") != F.col("id")) & (100 * F.col("n_a") >= self.percent * F.col("n")))
-            .select("a", F.col("id").alias("b"))
-            .distinct()
+            lists.join(leaders, ["token", "size_class"])
+            .where((F.col("a") != F.col("id")) & (100 * F.least("n_a", "n") >= self.percent * F.greatest("n_a", "n")))
+            .groupBy(F.col("id").alias("b"), "a").agg(F.count("*").alias("shared"))
+            .groupBy("b").agg(F.max_by("a", F.struct("shared", "a")).alias("a"))  # the leader it shares most with
         )
         checked = self._verified(written(self._plausible(stars), "star-pairs"), "star-answers")
         linked = checked.where(self._links(F.col("inter"), F.col("na"), F.col("nb")))
@@ -216,7 +266,10 @@ class JaccardJoin:
         pairs = written(self._plausible(self._block_pairs(lists, related)), "block-pairs")
         more = self._answers(pairs, leader)
         edges = linked.select("a", "b").unionByName(more)
-        return profiles.join(reps.select("digest", "rep"), "digest", "left"), connected_components(edges)
+        found = connected_components(edges).select(F.col("node").alias("uid"), F.col("component").alias("root"))
+        least = found.join(classes, "uid").groupBy("root").agg(F.min("rep").alias("component"))
+        named = found.join(least, "root").select("uid", "component")
+        return profiles.drop("uid").join(classes, "digest", "left"), named
 
     def _block_pairs(self, lists: DataFrame, related: DataFrame) -> DataFrame:
         """Pairs of unrelated sets that share a prefix shingle and that sizes and positions allow, block by block."""
@@ -273,7 +326,10 @@ class JaccardJoin:
             ),
             "derived-answers",
         )
-        rest = self._verified(known.where("answer is null").select("a", "b").distinct(), "pair-answers")
+        open_pairs = known.where("answer is null").select("a", "b").distinct()
+        if open_pairs.isEmpty():
+            return known.where("answer").select("a", "b")
+        rest = self._verified(open_pairs, "pair-answers")
         found = rest.where(self._links(F.col("inter"), F.col("na"), F.col("nb"))).select("a", "b")
         return known.where("answer").select("a", "b").unionByName(found)
 
@@ -287,8 +343,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
     their text.  Other columns are ignored; an empty table gives no rows.
     """
     rows, components = JaccardJoin(docs, n, percent).run()
-    of = components.select(F.col("node").alias("rep"), "component")
-    return rows.join(of, "rep", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    return rows.join(components, "uid", "left").select("doc_id", "n_shingles", F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import cut_at_blanks
-from .common import text_chunks, written
+from .common import keep_only, text_chunks, written
 
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 1024
@@ -57,7 +57,7 @@ class Counter:
         if len(self.table) > TABLE_SIZE:
             self.table = {}
         table = self.table
-        new = list({p for pieces in cuts for p in pieces if p not in table})
+        new = list(set().union(*cuts).difference(table))
         for i in range(0, len(new), 20_000):
             table.update(zip(new[i : i + 20_000], self.sizes(new[i : i + 20_000]), strict=True))
         return table
@@ -65,7 +65,7 @@ class Counter:
     def counts(self, texts: list[str]) -> list[int]:
         cuts = [self.cut(t) for t in texts]
         table = self.learn(cuts)
-        return [sum([table[p] for p in pieces]) for pieces in cuts]
+        return [sum(map(table.__getitem__, pieces)) for pieces in cuts]
 
     def boundaries(self, text: str, start: int) -> tuple[int, list[int], list[int]]:
         """Tokens of a chunk; its stable boundaries (offsets in the document) and the tokens before each."""
@@ -99,6 +99,7 @@ def _read(name: str, size: int, overlap: int):
     whole = name.endswith(".model")
 
     def run(batches):
+        keep_only("token_counts", _COUNTERS.clear)
         count = counter(name)
         for batch in batches:
             rows = [(u, d, t or "") for u, d, t in text_chunks(batch, ["uid", "doc_id", "text"])]
@@ -118,6 +119,7 @@ def _encode(name: str, overlap: int):
     names = [c.split()[0] for c in _ENCODED.split(", ")]
 
     def run(batches):
+        keep_only("token_counts", _COUNTERS.clear)
         count = counter(name)
         for batch in batches:
             out = []
