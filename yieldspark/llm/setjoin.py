@@ -200,9 +200,10 @@ class JaccardJoin:
         sets = (
             self.docs.select("text", place.alias("place"))
             .mapInArrow(_sets(self.n, self.spark.sparkContext.broadcast(wanted)), "digest binary, items array<long>")
+            .groupBy("digest")
+            .agg(F.first("items").alias("items"))  # first, so that the join needs no other shuffle of the sets
             .join(ids.select("uid", "digest"), "digest")
-            .groupBy("uid")
-            .agg(F.first("items").alias("items"))
+            .select("uid", "items")
         )
         sets = written(sets, "pair-sets")
         got = (
