@@ -190,7 +190,7 @@ class JaccardJoin:
         and dealt out; those are known by a map of fixed size.
         """
         ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        ids = written(self.reps.select("uid", "doc_id", "digest").join(ids, "uid", "left_semi"), "pair-ids")
+        ids = written(self.rows.select("uid", "doc_id", "digest").join(ids, "uid", "left_semi"), "pair-ids")
         wanted = np.zeros(WANTED, bool)
         place = _place("doc_id")
         word = F.floor(place / 64).alias("w")
@@ -215,7 +215,7 @@ class JaccardJoin:
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that their parity bitmaps don't rule out."""
-        side = lambda k: self.reps.select(F.col("uid").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bitmap").alias(f"m_{k}"))
+        side = lambda k: self.rows.select(F.col("uid").alias(k), F.col("n_shingles").alias(f"n_{k}"), F.col("bitmap").alias(f"m_{k}"))
         differ = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
         both = pairs.join(side("a"), "a").join(side("b"), "b")
         return both.where(F.col("n_a") + F.col("n_b") - 2 * self._needed(F.col("n_a"), F.col("n_b")) >= differ).select("a", "b")
@@ -226,9 +226,10 @@ class JaccardJoin:
         rows = self.docs.withColumn("uid", F.monotonically_increasing_id())
         return written(rows.mapInArrow(_profiles(self.n, self.percent, counts), _PROFILE), "shingle-profiles")
 
-    def _lists(self) -> DataFrame:
-        """Index entries of prefix shingles that several sets have."""
-        entries = self.reps.select(
+    def _lists(self, classes: DataFrame) -> DataFrame:
+        """Index entries of prefix shingles that several sets have, one row of each set taking part."""
+        reps = self.rows.select("uid", "n_shingles", "prefix").join(classes.select("uid"), "uid", "left_semi")
+        entries = reps.select(
             F.col("uid").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")
         ).withColumn("size_class", F.floor(F.log("n") / F.lit(float(np.log(100.0 / self.percent)))).cast("int"))
         shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
@@ -239,8 +240,8 @@ class JaccardJoin:
         profiles = self.profiles()
         reps = profiles.where("digest is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "uid")).alias("r"))
         classes = written(reps.select("digest", F.col("r.doc_id").alias("rep"), F.col("r.uid").alias("uid")), "set-classes")
-        self.reps = written(profiles.join(classes.select("uid"), "uid", "left_semi"), "set-reps")
-        lists = self._lists()
+        self.rows = profiles  # joined by uid only, so a column is read without the other rows of its set being taken out
+        lists = self._lists(classes)
 
         # Related sets: each compared with one leader of its lists, a set that many others share lists with.
         degree = lists.groupBy("id").agg(F.sum("m").alias("degree"))
