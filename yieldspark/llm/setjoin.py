@@ -227,12 +227,16 @@ class JaccardJoin:
         return written(rows.mapInArrow(_profiles(self.n, self.percent, counts), _PROFILE), "shingle-profiles")
 
     def _lists(self, classes: DataFrame) -> DataFrame:
-        """Index entries of prefix shingles that several sets have, one row of each set taking part."""
+        """Index entries of prefix shingles that several rows have, one row of each set taking part.
+
+        The rows are counted with their repetitions, which spares moving the
+        prefixes twice; a list left with one set gives no pair.
+        """
         reps = self.rows.select("uid", "n_shingles", "prefix").join(classes.select("uid"), "uid", "left_semi")
         entries = reps.select(
             F.col("uid").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")
         ).withColumn("size_class", F.floor(F.log("n") / F.lit(float(np.log(100.0 / self.percent)))).cast("int"))
-        shared = entries.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
+        shared = self.rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
         return written(entries.join(shared, "token"), "index-lists")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
