@@ -9,7 +9,7 @@ from yieldspark import schemas
 from yieldspark.plans import refresh as R
 from yieldspark.plans.publish import VersionStore
 from yieldspark.session import scratch_path
-from yieldspark.streaming.incremental import read_weekly_yield, run_weekly_yield
+from yieldspark.streaming.incremental import read_weekly_yield, run_weekly_yield, start_weekly_yield
 
 
 def tiny_details(spark):
@@ -41,14 +41,45 @@ def test_publish_is_validated_and_targeted_data_not_loaded(store):
     assert manifest.datasets["yield_fact"]["rows"] == frames["yield_fact"].count()
 
 
-@pytest.mark.parametrize("stage", ["extract", "transform", "write", "validate"])
-def test_injected_failure_keeps_current_version(spark, store, stage):
+@pytest.mark.parametrize("step", ["validate", "_append_catalog"])
+def test_failed_publication_keeps_current_version(spark, store, monkeypatch, step):
+    def broken(*_):
+        raise RuntimeError(step)
+
     before = store.current_version()
+    monkeypatch.setattr(store, step, broken)
     with pytest.raises(RuntimeError):
-        R.refresh(spark, tiny_sources(spark), tiny_details(spark), store, fail_after=stage)
+        R.refresh(spark, tiny_sources(spark), tiny_details(spark), store)
     assert store.current_version() == before
 
 
+def test_unreadable_catalog_is_not_taken_for_an_empty_store(spark):
+    s = VersionStore(spark, scratch_path(spark, "unreadable"))
+    assert s.next_version() == 1  # nothing there yet
+    spark.range(1).selectExpr("'x' value").write.text(s.catalog_path)
+    with pytest.raises(Exception, match="(?i)parquet|FAILED_READ_FILE"):
+        s.next_version()
+
+
+def test_new_checkpoint_over_one_sink_gives_the_newest_sums(spark):
+    work = scratch_path(spark, "two-checkpoints")
+
+    def facts(first, good):
+        rows = [(f"Y{first + i}", "S", "SORTING", "Sorting", 90, "W", "WO", "L", 1, "F", "S", ts("2026-01-06 10:00:00"), g, 1.0, g, "")
+                for i, g in enumerate(good)]
+        return spark.createDataFrame(rows, schemas.YIELD_FACT)
+
+    def run(checkpoint):
+        start_weekly_yield(spark, f"{work}/facts", f"{work}/sink", f"{work}/{checkpoint}", max_files_per_trigger=1).awaitTermination()
+        return [(r["numerator"], r["denominator"]) for r in read_weekly_yield(spark, f"{work}/sink").collect()]
+
+    facts(0, [1.0]).coalesce(1).write.mode("append").parquet(f"{work}/facts")
+    facts(1, [1.0]).coalesce(1).write.mode("append").parquet(f"{work}/facts")
+    assert run("one") == [(2.0, 2.0)]
+    facts(2, [0.0]).coalesce(1).write.mode("append").parquet(f"{work}/facts")
+    assert run("two") == [(2.0, 3.0)]  # its batch ids begin at 0 again
+
+
 def test_new_version_pointer_and_retention(spark, store):
     manifest = R.refresh(spark, tiny_sources(spark), tiny_details(spark), store)
     assert store.current_version() == manifest.version
@@ -176,12 +207,7 @@ def test_incremental_refresh_runs_only_when_files_land(spark):
     assert len(calls) == 2
 
 
-def test_targeted_reader_counts_queries_and_scope(spark, store):
-    from yieldspark.plans.publish import TargetedDetailReader
-
-    reader = TargetedDetailReader(store)
-    assert reader.chip_detail(["W1", "W1", "W2"]).count() == 6
-    assert (reader.query_count, reader.last_scope_size) == (1, 2)
+def test_targeted_read_takes_lists_and_frames(spark, store):
+    assert store.read_targeted("targeted_chip_detail", ["W1", "W1", "W2"]).count() == 6
     scope = spark.createDataFrame([("W1",), ("W1",)], "physical_wafer_id string")
-    assert reader.sorting_parameters(scope).count() == 2
-    assert (reader.query_count, reader.last_scope_size) == (2, 1)
+    assert store.read_targeted("targeted_sorting_parameter_detail", scope).count() == 2

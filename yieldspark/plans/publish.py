@@ -2,7 +2,7 @@
 
 Layout under one root (any Hadoop-compatible URI; all IO goes through Spark):
 
-* ``versions/version=<n>/<dataset>/``  Parquet (zstd) per dataset;
+* ``versions/version=<n>-<unique>/<dataset>/``  Parquet (zstd) per dataset;
 * ``catalog/``  append-only Parquet, one row per dataset of a *validated*
   version (the manifest), with row counts, columns and statistics;
 * ``pointer/``  append-only Parquet, one row per switch of the current version.
@@ -17,11 +17,13 @@ the driver is bounded.
 from __future__ import annotations
 
 import json
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 from typing import Any
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,9 +83,6 @@ class VersionStore:
     def version_path(self, version: int) -> str:
         return f"{self.root}/versions/version={version}"
 
-    def dataset_path(self, version: int, name: str) -> str:
-        return f"{self.version_path(version)}/{name}"
-
     @property
     def catalog_path(self) -> str:
         return f"{self.root}/catalog"
@@ -96,7 +95,9 @@ class VersionStore:
     def _read_or_empty(self, path: str, schema: T.StructType) -> DataFrame:
         try:
             return self.spark.read.schema(schema).parquet(path)
-        except Exception:  # noqa: BLE001 - a store without any publication yet
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise  # only a store without any publication yet is empty
             return self.spark.createDataFrame([], schema)
 
     def catalog(self) -> DataFrame:
@@ -137,22 +138,28 @@ class VersionStore:
         return int(row["v"] or 0) + 1
 
     # -- publish ------------------------------------------------------------------
-    def publish(self, datasets: dict[str, DataFrame], statistics: dict[str, Any] | None = None,
-                *, fail_after: str | None = None) -> Manifest:
+    def publish(self, datasets: dict[str, DataFrame], statistics: dict[str, Any] | None = None) -> Manifest:
         """B2: write every dataset of a new version, validate it, then make it current."""
         missing = sorted(set(schemas.REQUIRED_DATASETS) - set(datasets))
         if missing:
             raise ValueError(f"Version is missing required datasets: {missing}")
         version = self.next_version()
         published_at = datetime.now(timezone.utc).isoformat()
+        # A folder of its own: two publications that take the same number don't meet in one.
+        root = f"{self.version_path(version)}-{uuid.uuid4().hex[:12]}"
+
         def write(name: str, frame: DataFrame) -> dict[str, Any]:
-            path = self.dataset_path(version, name)
-            observation = Observation(f"rows_{name}_{version}")
-            observed = frame.observe(observation, F.count(F.lit(1)).alias("rows"))
+            path = f"{root}/{name}"
+            out = frame
             if name in schemas.TARGETED_DATASETS:
-                # Cluster detail rows by wafer so a targeted read skips row groups.
-                observed = observed.sortWithinPartitions("physical_wafer_id")
-            observed.write.mode("overwrite").option("compression", "zstd").parquet(path)
+                # Range-cluster detail rows by wafer so a targeted read skips files and row
+                # groups; the record id splits a wafer that holds many rows.
+                keys = ["physical_wafer_id", schemas.TARGETED_RECORD_COLUMNS[name]]
+                out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
+            # Observed last: the range exchange reads its input twice, which would count rows twice.
+            observation = Observation(f"rows_{name}_{version}")
+            out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
+            out.write.mode("errorifexists").option("compression", "zstd").parquet(path)
             return {
                 "path": path,
                 "rows": int(observation.get["rows"]),
@@ -165,12 +172,8 @@ class VersionStore:
         with ThreadPoolExecutor(max_workers=max(1, self.write_parallelism)) as pool:
             futures = {name: pool.submit(write, name, frame) for name, frame in datasets.items()}
             entries = {name: future.result() for name, future in futures.items()}
-        if fail_after == "write":
-            raise RuntimeError("Injected failure after the Parquet write")
         manifest = Manifest(version, published_at, entries, dict(statistics or {}), self.schema_version)
         self.validate(manifest)
-        if fail_after == "validate":
-            raise RuntimeError("Injected failure after validation")
         self._append_catalog(manifest)
         self.set_pointer(version)
         return manifest
@@ -218,6 +221,9 @@ class VersionStore:
                 raise ValidationError(f"Row count is invalid: {name}")
         if int(manifest.datasets["yield_fact"]["rows"]) == 0:
             raise ValidationError("A validated version cannot have an empty yield population")
+        for name, meta in manifest.datasets.items():
+            if name != "yield_fact" and read[name].count() != int(meta["rows"]):
+                raise ValidationError(f"{name} row count differs from the manifest")
         facts = read["yield_fact"]
         fact_checks = facts.agg(
             F.count(F.lit(1)).alias("rows"),
@@ -326,31 +332,3 @@ class VersionStore:
 def statistics_dict(stats: DataFrame) -> dict[str, int]:
     """The (statistic, value) table as a dict (five rows)."""
     return {r["statistic"]: int(r["value"]) for r in stats.collect()}
-
-
-class TargetedDetailReader:
-    """Chip / parameter detail reads for a wafer scope, with usage counters.
-
-    ``query_count`` counts reads; ``last_scope_size`` is the number of distinct
-    wafer ids of the last read (a list is counted on the driver, a DataFrame
-    scope with a distributed distinct count).
-    """
-
-    def __init__(self, store: VersionStore) -> None:
-        self.store = store
-        self.query_count = 0
-        self.last_scope_size = 0
-
-    def chip_detail(self, wafer_ids, version: int | None = None) -> DataFrame:
-        return self._read("targeted_chip_detail", wafer_ids, version)
-
-    def sorting_parameters(self, wafer_ids, version: int | None = None) -> DataFrame:
-        return self._read("targeted_sorting_parameter_detail", wafer_ids, version)
-
-    def _read(self, dataset: str, wafer_ids, version: int | None) -> DataFrame:
-        self.query_count += 1
-        if isinstance(wafer_ids, DataFrame):
-            self.last_scope_size = wafer_ids.select("physical_wafer_id").distinct().count()
-        else:
-            self.last_scope_size = len(set(wafer_ids))
-        return self.store.read_targeted(dataset, wafer_ids, version)

@@ -150,8 +150,6 @@ def refresh(
     detail_sources: dict[str, DataFrame],
     store: VersionStore,
     display_rows: list[rules.DisplayRow] | None = None,
-    *,
-    fail_after: str | None = None,
 ) -> Manifest:
     """B1: extract → transform → detail → publish; the current version changes only on success."""
     # wafer_inventory is part of the common extract but no stage reads it.
@@ -159,14 +157,8 @@ def refresh(
     missing = [n for n in needed if n not in sources]
     if missing:
         raise ValueError(f"Missing source tables: {missing}")
-    if fail_after == "extract":
-        raise RuntimeError("Injected failure after extraction")
     datasets, stats = build_datasets(spark, sources, detail_sources, display_rows)
-    if fail_after == "transform":
-        raise RuntimeError("Injected failure after transformation")
-    statistics = statistics_dict(stats)
-    storage_failure = fail_after if fail_after in {"write", "validate"} else None
-    return store.publish(datasets, statistics, fail_after=storage_failure)
+    return store.publish(datasets, statistics_dict(stats))
 
 
 def truth_metadata(store: VersionStore, version: int | None = None) -> dict:

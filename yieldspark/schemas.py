@@ -230,6 +230,11 @@ COMMON_DATASETS = (
     "prebuilt_pareto",
 )
 TARGETED_DATASETS = ("targeted_chip_detail", "targeted_sorting_parameter_detail")
+# The record id column of each.
+TARGETED_RECORD_COLUMNS = {
+    "targeted_chip_detail": "chip_record_id",
+    "targeted_sorting_parameter_detail": "parameter_record_id",
+}
 REQUIRED_DATASETS = COMMON_DATASETS + TARGETED_DATASETS
 
 # Declared columns of each published dataset (wafer_summary: master columns
