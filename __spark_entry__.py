@@ -68,7 +68,7 @@ def _sources(spark: SparkSession, sf: str, names=None) -> dict[str, DataFrame]:
     return dt.source_tables(spark, sf, names)
 
 
-_BUILDS: dict[tuple[int, str], object] = {}
+_BUILDS: dict[tuple[str, str], object] = {}
 
 
 def staged_build(spark: SparkSession, sf: str):
@@ -82,7 +82,7 @@ def staged_build(spark: SparkSession, sf: str):
     from yieldspark.plans.refresh import Stager, stage_fact_build
     from yieldspark.session import scratch_path
 
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _BUILDS:
         details = _sources(spark, sf, list(dt.schemas.DETAIL_SOURCES))
         _BUILDS[key] = stage_fact_build(
@@ -241,7 +241,8 @@ def q_targeted_sorting_detail(spark, sf):
 
 
 def q_detail_first_500(spark, sf):
-    frame, _ = detail.detail_view("CHIP_INSPECTION", q_targeted_chip_detail(spark, sf), None)
+    table = q_targeted_chip_detail(spark, sf).where(F.col("physical_wafer_id") == DETAIL_WAFER)
+    frame, _ = detail.detail_view("CHIP_INSPECTION", table, None)
     return frame.orderBy(*detail.CHIP_VIEW_COLUMNS).limit(rules.DETAIL_ROW_LIMIT)
 
 
@@ -274,7 +275,7 @@ def q_work_order_scoped_scan(spark, sf):
 
 
 # --- publication, export and streaming ------------------------------------------------
-_STORES: dict[tuple[int, str], object] = {}
+_STORES: dict[tuple[str, str], object] = {}
 
 
 def published_store(spark: SparkSession, sf: str):
@@ -290,7 +291,7 @@ def published_store(spark: SparkSession, sf: str):
     from yieldspark.session import scratch_path
     from yieldspark.streaming.incremental import start_incremental_refresh
 
-    key = (id(spark), sf)
+    key = (spark.sparkContext.applicationId, sf)
     if key not in _STORES:
         work = scratch_path(spark, "published")
         store = VersionStore(spark, f"{work}/store")
@@ -316,14 +317,6 @@ def q_published_targeted_read(spark, sf):
     return published_store(spark, sf).read_targeted("targeted_chip_detail", [DETAIL_WAFER])
 
 
-def q_version_catalog(spark, sf):
-    return published_store(spark, sf).version_catalog()
-
-
-def q_version_retention(spark, sf):
-    return published_store(spark, sf).retention_flags()
-
-
 def q_validate_version(spark, sf):
     """B3 on the current version, then its manifest rows (one per dataset)."""
     store = published_store(spark, sf)
@@ -404,8 +397,6 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "work_order_scoped_scan": q_work_order_scoped_scan,
         "published_yield_fact": q_published_yield_fact,
         "published_targeted_read": q_published_targeted_read,
-        "version_catalog": q_version_catalog,
-        "version_retention": q_version_retention,
         "validate_version": q_validate_version,
         "csv_export_roundtrip": q_csv_export_roundtrip,
         "stream_weekly_yield": q_stream_weekly_yield,
@@ -622,6 +613,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "detail_first_500": O.with_ctes(
             "SELECT physical_wafer_id, chip_number, x, y, passed, failure_family, tested_at FROM targeted_chip_detail "
+            f"WHERE physical_wafer_id = {O._q(DETAIL_WAFER)} "
             "ORDER BY physical_wafer_id, chip_number, x, y, passed, failure_family, tested_at LIMIT 500"
         ),
         "wafer_sorting_detail": O.with_ctes(

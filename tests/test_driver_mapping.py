@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from conftest import SF0001
 from pyspark.sql import functions as F
@@ -80,6 +82,6 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_an_oracle_or_is_rows_only():
-    rows_only = {"version_catalog", "version_retention"}
-    assert set(E.queries()) - set(E.oracle_sql()) == rows_only
+    factory = {q for q in E.queries() if not re.match(r"op\d+_|pipeline$", q)}  # the others have tests of their own
+    assert factory <= set(E.oracle_sql())
     assert set(E.oracle_sql()) <= set(E.queries())

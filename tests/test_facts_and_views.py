@@ -166,12 +166,11 @@ def test_empty_inputs_give_typed_empty_outputs(spark):
     assert (kpis["numerator"], kpis["denominator"], kpis["yield_pct"], kpis["physical_wafers"]) == (0.0, 0.0, 0.0, 0)
 
 
-def test_resolve_selection_rejects_label_columns():
-    rows = [{"stage_code": "SORTING", "stage_label": "S", "section": "P", "2026-01": "90.0%"}]
-    assert views.resolve_selection({"row": 0, "column_id": "stage_label"}, rows) is None
-    assert views.resolve_selection({"row": 3, "column_id": "2026-01"}, rows) is None
-    sel = views.resolve_selection({"row": 0, "column_id": "2026-01"}, rows)
-    assert (sel.stage_code, sel.period, sel.display_value) == ("SORTING", "2026-01", "90.0%")
+def test_select_cell_takes_only_cells_of_the_matrix(spark):
+    long = spark.createDataFrame([("SORTING", "2026-01", 0.9), ("SORTING", "2026-02", 0.8)], "stage_code string, period string, yield_rate double")
+    assert [r["yield_rate"] for r in views.select_cell(long, "SORTING", "2026-01").collect()] == [0.9]
+    assert views.select_cell(long, "SORTING", "stage_label").count() == 0
+    assert views.select_cell(long, "CHIP_INSPECTION", "2026-01").count() == 0
 
 
 def test_cell_rejects_unknown_mode_and_matches_label_range(spark):

@@ -26,7 +26,7 @@ def tiny_details(spark):
 
 @pytest.fixture(scope="module")
 def store(spark):
-    s = VersionStore(spark, scratch_path(spark, "test-store"), retain_versions=2)
+    s = VersionStore(spark, scratch_path(spark, "test-store"))
     R.refresh(spark, tiny_sources(spark), tiny_details(spark), s)
     return s
 
@@ -80,13 +80,10 @@ def test_new_checkpoint_over_one_sink_gives_the_newest_sums(spark):
     assert run("two") == [(2.0, 3.0)]  # its batch ids begin at 0 again
 
 
-def test_new_version_pointer_and_retention(spark, store):
+def test_new_version_becomes_current(spark, store):
     manifest = R.refresh(spark, tiny_sources(spark), tiny_details(spark), store)
     assert store.current_version() == manifest.version
-    flags = {r["version"]: r["keep"] for r in store.retention_flags().collect()}
-    assert flags[manifest.version] and sum(flags.values()) <= 2
-    assert store.load_if_newer(manifest.version) is None
-    assert store.load_if_newer(1)[0] == manifest.version
+    assert store.load()[0] == manifest.version
 
 
 def test_bad_pointer_falls_back_to_newest_valid(store):

@@ -1,4 +1,4 @@
-"""Versioned publication of the prepared datasets.
+"""Versioned publication of the prepared datasets.
 
 Layout under one root (any Hadoop-compatible URI; all IO goes through Spark):
 
@@ -24,7 +24,7 @@ from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,12 +71,11 @@ def load_policy(name: str) -> str:
 
 
 class VersionStore:
-    def __init__(self, spark: SparkSession, root: str, *, retain_versions: int = 3,
+    def __init__(self, spark: SparkSession, root: str, *,
                  schema_version: int = SCHEMA_VERSION, write_parallelism: int = 4) -> None:
         self.spark = spark
         self.write_parallelism = write_parallelism
         self.root = root.rstrip("/")
-        self.retain_versions = max(2, int(retain_versions))
         self.schema_version = schema_version
 
     # -- paths ------------------------------------------------------------------
@@ -107,16 +106,6 @@ class VersionStore:
     def pointer_log(self) -> DataFrame:
         return self._read_or_empty(self.pointer_path, POINTER_SCHEMA)
 
-    def version_catalog(self) -> DataFrame:
-        """One row per validated version, newest first, with dataset count and rows."""
-        return (
-            self.catalog()
-            .where(F.col("status") == VALIDATED)
-            .groupBy("version", "published_at", "schema_version")
-            .agg(F.count(F.lit(1)).alias("datasets"), F.sum("rows").alias("total_rows"))
-            .orderBy(F.desc("version"))
-        )
-
     def _valid_versions(self) -> list[int]:
         """Versions whose catalog lists every required dataset (bounded by publications)."""
         cat = self.catalog().where(
@@ -285,19 +274,6 @@ class VersionStore:
         }
         return version, frames
 
-    def load_if_newer(self, active_version: int | None) -> tuple[int, dict[str, DataFrame]] | None:
-        """The current version when it differs from ``active_version``; else None."""
-        try:
-            version = self.current_version()
-        except FileNotFoundError:
-            return None
-        if active_version is not None and version == active_version:
-            return None
-        try:
-            return self.load(version)
-        except Exception:  # noqa: BLE001 - keep the active version on a failed reload
-            return None
-
     def read_targeted(self, dataset: str, wafer_ids, version: int | None = None) -> DataFrame:
         """Detail rows of the given wafers from one version.
 
@@ -316,18 +292,6 @@ class VersionStore:
             return frame.limit(0)
         return frame.where(F.col("physical_wafer_id").isin(ids))
 
-    def retention_flags(self) -> DataFrame:
-        """Per validated version, whether it is kept (newest K, and the pointer target)."""
-        try:
-            current = self.current_version()
-        except FileNotFoundError:
-            current = -1
-        versions = self.version_catalog().select("version", "published_at")
-        rank = F.row_number().over(Window.orderBy(F.desc("version")))
-        return versions.withColumn("rank", rank).withColumn(
-            "keep", (F.col("rank") <= self.retain_versions) | (F.col("version") == current)
-        )
-
 
 def statistics_dict(stats: DataFrame) -> dict[str, int]:
     """The (statistic, value) table as a dict (five rows)."""
