@@ -1,7 +1,6 @@
 from __future__ import annotations
 
 import sys
-from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -9,8 +8,6 @@ import pytest
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-SF0001 = "/root/testdata/sf0.001"
-
 
 @pytest.fixture(scope="session")
 def spark():
@@ -25,18 +22,3 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
-
-
-def ts(text: str) -> datetime:
-    return datetime.fromisoformat(text)
-
-
-def alias_rows(*rows):
-    """(kind, alias, wafer) triples → identity_aliases rows with fixed attributes."""
-    from yieldspark.functions.text import WHITESPACE
-
-    out = []
-    for kind, alias, wafer in rows:
-        normalized = alias.strip(WHITESPACE).replace(" ", "").replace("_", "-").upper()
-        out.append((kind, alias, normalized, wafer, "WO-1", "LOT-1", 1, "FAM", "SIZE"))
-    return out

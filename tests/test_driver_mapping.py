@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pytest
-from conftest import SF0001
+from factory_support import SF0001
 from pyspark.sql import functions as F
 
 import __spark_entry__ as E

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-from conftest import alias_rows, ts
+from factory_support import alias_rows, ts
 from pyspark.sql import functions as F
 
 from yieldspark import rules, schemas

@@ -1,7 +1,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import ts
+from factory_support import ts
 from pyspark.sql import functions as F
 from test_facts_and_views import tiny_sources
 
