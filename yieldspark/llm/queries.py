@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, packing, pii, quality, setjoin, token_counts, topk, url_filter, warc
+from . import bpe, embed_dedup, lexical, packing, pii, quality, setjoin, token_counts, topk, url_filter, warc
 from .common import prepare, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,11 @@ def _urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, url_filter.mobile_hosts(pages))
 
 
+def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prepare(spark)
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe_round_trip": _on("documents", bpe.token_digests),
@@ -43,6 +48,7 @@ def queries() -> dict[str, Query]:
         "op8_ordinal_quality": _quality,
         "op9_warc_round_trip": _on("pages", warc.archive_round_trip),
         "op10_url_filter": _urls,
+        "op11_lexical_search": _lexical,
     }
 
 
@@ -59,6 +65,14 @@ def _components(nodes: str, links: str) -> str:
 reach AS (SELECT id, min(r) AS component FROM walk GROUP BY id)"""
 
 
+def _terms(text: str) -> str:
+    """The terms of a text as a list."""
+    return (
+        rf"list_filter(string_split_regex(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        rf"'[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
     return {
@@ -110,4 +124,15 @@ m AS (SELECT h.page_id, arg_max(rule_host || rule_path, length(rule_host || rule
       FROM h JOIN r ON (h.host = rule_host OR ends_with(h.host, '.' || rule_host)) AND starts_with(h.path, rule_path) GROUP BY h.page_id)
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.v, CASE WHEN h.host LIKE 'm.%' THEN 'block' ELSE 'allow' END) AS verdict
 FROM h LEFT JOIN m ON m.page_id = h.page_id""",
+        "op11_lexical_search": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_terms("text")} AS terms FROM documents),
+s AS (SELECT count(*) AS docs, sum(len(terms)) AS total FROM d WHERE len(terms) > 0),
+q AS (SELECT DISTINCT item_id, unnest({_terms("text")}) AS term FROM benchmark),
+p AS (SELECT r, doc_id, len(terms) AS n, unnest(terms) AS term FROM d),
+t AS (SELECT r, doc_id, n, term, count(*) AS tf FROM p WHERE term IN (SELECT term FROM q) GROUP BY r, doc_id, n, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM t, s GROUP BY term),
+f AS (SELECT q.item_id, t.r, t.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1000 * t.tf + 8 * (10 + (90 * t.n * s.docs) // s.total)))) AS BIGINT) AS score
+      FROM q JOIN t ON t.term = q.term JOIN w ON w.term = q.term, s GROUP BY q.item_id, t.r, t.doc_id),
+o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0)
+SELECT * FROM o WHERE rank <= 10""",
     }
