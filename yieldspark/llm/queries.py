@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embed_dedup, lexical, packing, pii, quality, setjoin, token_counts, topk, url_filter, warc
+from . import bpe, chat, embed_dedup, lexical, packing, pii, quality, setjoin, token_counts, topk, url_filter, warc, whitening
 from .common import prepare, table, written
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +36,15 @@ def _lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+#: A conversation whose texts hold marks of common templates.
+PROBE = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = table(prepare(spark), sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversation_digests(told.unionByName(spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_bpe_round_trip": _on("documents", bpe.token_digests),
@@ -49,6 +58,8 @@ def queries() -> dict[str, Query]:
         "op9_warc_round_trip": _on("pages", warc.archive_round_trip),
         "op10_url_filter": _urls,
         "op11_lexical_search": _lexical,
+        "op12_embedding_whitening": _on("embeddings", whitening.whitened),
+        "op13_chat_format": _chat,
     }
 
 
@@ -74,6 +85,7 @@ def _terms(text: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
+    probe = ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in PROBE)
     rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in url_filter.RULES)
     return {
         "op2_exact_top_k": f"""
@@ -135,4 +147,14 @@ f AS (SELECT q.item_id, t.r, t.doc_id, CAST(sum(w.w * ((1000000000 * t.tf) // (1
       FROM q JOIN t ON t.term = q.term JOIN w ON w.term = q.term, s GROUP BY q.item_id, t.r, t.doc_id),
 o AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM f WHERE score > 0)
 SELECT * FROM o WHERE rank <= 10""",
+        "op13_chat_format": rf"""
+WITH a AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL VALUES {probe}),
+t AS (SELECT conv_id, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS own, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM a),
+l AS (SELECT *, length(role) + 2 * len(regexp_extract_all(role, '[%>\n]')) AS role_chars, length(text) + len(regexp_extract_all(text, '<\\*/?turn')) AS text_chars FROM t)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(CASE WHEN role = 'assistant' THEN length(text) END), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn NULLS FIRST, role, text), '')) AS loss_sha256,
+  CAST(sum(6 + role_chars + 2 + text_chars + 8) AS BIGINT) AS formatted_chars
+FROM l GROUP BY conv_id, own""",
     }
