@@ -116,7 +116,7 @@ def branches(messages: DataFrame, per_tree: int | None = None) -> DataFrame:
     Messages on a cycle of replies, or below one, are on no path.
     """
     depths, jumps = _doubled(messages)
-    answered = messages.where("tree is not null").select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
+    answered = messages.where("tree is not null and node is not null").select("tree", F.col("parent").alias("node")).where("node is not null").distinct()
     order = Window.partitionBy("tree").orderBy(F.desc(F.col("total") / (F.col("depth") + 1)), F.desc("depth"), "node")
     leaves = depths.join(answered, ["tree", "node"], "left_anti").withColumn("branch", F.row_number().over(order))
     if per_tree is not None:

@@ -69,7 +69,7 @@ def _sums(batches):
 
 def _deviations(x: np.ndarray, n: int, sums: list[int]) -> np.ndarray:
     """``n * x - S``: long where that can't overflow, else Python's whole numbers."""
-    wide = len(x) and int(np.abs(x).max()) * n + max(map(abs, sums), default=0) >= 2**62
+    wide = x.size and int(np.abs(x).max()) * n + max(map(abs, sums), default=0) >= 2**62
     return x.astype(object) * n - np.array(sums, object) if wide else x * np.int64(n) - np.array(sums, np.int64)
 
 
