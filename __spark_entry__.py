@@ -22,7 +22,7 @@ import duckdb_oracle as O  # noqa: E402
 from yieldspark import rules  # noqa: E402
 from yieldspark.operators import detail, facts, identity, prepared, revisions  # noqa: E402
 from yieldspark.plans import views  # noqa: E402
-from yieldspark.plans.views import CellSelection, DashboardFilters  # noqa: E402
+from yieldspark.plans.views import Cell, Scope  # noqa: E402
 from yieldspark.sources import driver_tables as dt  # noqa: E402
 
 # The training-data operators and their pipeline, where that subpackage is installed.
@@ -37,14 +37,11 @@ except ModuleNotFoundError as missing:
 SMOKE_DIR = "/root/testdata/sf0.001"
 
 # --- fixed query parameters ----------------------------------------------------
-CELL = CellSelection(stage_code="CHIP_INSPECTION", period="1995-06")
-CELL_FILTERS = DashboardFilters(period_mode="Month")
-PARETO_CELL = CellSelection(stage_code="WAFER_INSPECTION", period="1995-06")
-FILTERED = DashboardFilters(
-    product_family="BUILDING", wafer_size="EUROPE", start_date="1994-01-01", end_date="1996-12-31",
-    period_mode="Quarter",
-)
-WIDE_FILTERS = DashboardFilters(start_date="1995-01-01", end_date="1995-12-31", period_mode="Month")
+CELL = Cell("CHIP_INSPECTION", "Month", "1995-06")
+PARETO_CELL = Cell("WAFER_INSPECTION", "Month", "1995-06")
+FILTERED = Scope({"product_family": "BUILDING", "wafer_size": "EUROPE"}, "1994-01-01", "1996-12-31")
+FILTERED_MODE = "Quarter"
+WIDE_YEAR = Scope(start="1995-01-01", end="1995-12-31")
 WIDE_PERIODS = [f"1995-{m:02d}" for m in range(1, 13)]
 DETAIL_WAFER = "PHY-0000007"
 RANGE_START, RANGE_END = "1995-01-01 00:00:00", "1995-07-01 00:00:00"
@@ -170,50 +167,47 @@ def q_refresh_statistics(spark, sf):
 
 def q_matrix(mode):
     def run(spark, sf):
-        return views.matrix_long(_facts(spark, sf), DashboardFilters(period_mode=mode))
+        return views.matrix_long(_facts(spark, sf), mode)
 
     return run
 
 
 def q_matrix_filtered(spark, sf):
-    return views.matrix_long(_facts(spark, sf), FILTERED)
+    return views.matrix_long(_facts(spark, sf), FILTERED_MODE, FILTERED)
 
 
 def q_matrix_wide_month(spark, sf):
     fact_df = _facts(spark, sf)
-    periods = views.displayed_periods(fact_df, WIDE_FILTERS, rules.DEFAULT_MAX_PERIODS)
-    long = views.matrix_long(fact_df, WIDE_FILTERS)
+    periods = views.displayed_periods(fact_df, "Month", WIDE_YEAR, rules.DEFAULT_MAX_PERIODS)
+    long = views.matrix_long(fact_df, "Month", WIDE_YEAR)
     return views.matrix_wide(long, rules.rules_frame(spark), periods)
 
 
 def q_cell_population(spark, sf):
-    return views.cell_population(_facts(spark, sf), CELL_FILTERS, CELL).drop("period")
+    return views.cell_population(published(spark, sf, "yield_fact"), CELL).select(*dt.schemas.YIELD_FACT.fieldNames())
 
 
 def q_cell_kpis(spark, sf):
-    return views.cell_kpis(_facts(spark, sf), CELL_FILTERS, CELL)
+    return views.cell_kpis(published(spark, sf, "yield_fact"), CELL)
 
 
 def q_cell_pareto(top_n):
     def run(spark, sf):
-        return views.cell_pareto(_failures(spark, sf), CELL_FILTERS, PARETO_CELL, top_n)
+        return views.cell_pareto(published(spark, sf, "failure_fact"), PARETO_CELL, top_n=top_n)
 
     return run
 
 
 def q_cell_trend(spark, sf):
-    return views.cell_trend(_facts(spark, sf), CELL_FILTERS, CELL.stage_code)
+    return views.cell_trend(published(spark, sf, "yield_fact"), CELL.mode, CELL.stage_code)
 
 
 def q_cell_scatter(spark, sf):
-    return views.cell_scatter(_facts(spark, sf), CELL_FILTERS, CELL)
+    return views.cell_scatter(published(spark, sf, "yield_fact"), CELL)
 
 
 def q_cell_lineage(spark, sf):
-    plan = _plan(spark, sf)
-    return views.population_records(
-        facts.yield_fact(plan.enriched), facts.lineage(plan.enriched), CELL_FILTERS, CELL
-    )
+    return views.population_records(published(spark, sf, "yield_fact"), published(spark, sf, "lineage"), CELL)
 
 
 def q_filter_options(spark, sf):
@@ -241,92 +235,161 @@ def q_targeted_sorting_detail(spark, sf):
 
 
 def q_detail_first_500(spark, sf):
-    table = q_targeted_chip_detail(spark, sf).where(F.col("physical_wafer_id") == DETAIL_WAFER)
-    frame, _ = detail.detail_view("CHIP_INSPECTION", table, None)
+    from yieldspark.plans.refresh import wafer_detail
+
+    frame, _ = wafer_detail(spark, published_root(spark, sf), "CHIP_INSPECTION", DETAIL_WAFER)
     return frame.orderBy(*detail.CHIP_VIEW_COLUMNS).limit(rules.DETAIL_ROW_LIMIT)
 
 
 def q_wafer_sorting_detail(spark, sf):
-    table = q_targeted_sorting_detail(spark, sf).where(F.col("physical_wafer_id") == DETAIL_WAFER)
-    frame, _ = detail.detail_view("SORTING", None, table)
-    return frame
+    from yieldspark.plans.refresh import wafer_detail
+
+    return wafer_detail(spark, published_root(spark, sf), "SORTING", DETAIL_WAFER)[0]
 
 
 def q_parameter_yield_summary(spark, sf):
-    return detail.parameter_yield_summary(q_targeted_sorting_detail(spark, sf))
+    return detail.parameter_yield_summary(published(spark, sf, "targeted_sorting_parameter_detail"))
 
 
-def q_time_range_scan(spark, sf):
-    from yieldspark.sources import database
+# --- stored sources, publication, export and streaming ------------------------------------
+def _once(make):
+    """A folder that a query set-up fills, made once per session and scale factor."""
+    made: dict[tuple[str, str], str] = {}
 
-    return database.time_range_scan(dt.process_results(spark, sf), "completed_at", RANGE_START, RANGE_END)
+    def get(spark: SparkSession, sf: str) -> str:
+        key = (spark.sparkContext.applicationId, sf)
+        if key not in made:
+            made[key] = make(spark, sf)
+        return made[key]
 
+    return get
 
-def q_work_order_scoped_scan(spark, sf):
-    from yieldspark.sources import database
 
-    src = _sources(spark, sf, ["identity_aliases", "sorting_parameter_detail"])
-    aliases = src["identity_aliases"]
-    # Keys: the SORTING aliases of wafers of the work orders of one product family.
-    keys = aliases.where(
-        (F.col("source_kind") == rules.SORTING) & (F.col("product_family") == "MACHINERY")
-    ).select(F.col("work_order"), F.col("source_alias").alias("sorting_wafer_ref"))
-    return database.keyed_scan(src["sorting_parameter_detail"], keys, ["sorting_wafer_ref"])
+@_once
+def stored_sources(spark: SparkSession, sf: str) -> str:
+    """The source tables written as a user would keep them."""
+    from yieldspark.session import scratch_path
+    from yieldspark.sources import stored
+
+    root = scratch_path(spark, "sources")
+    stored.write_sources(_sources(spark, sf), root)
+    return root
 
 
-# --- publication, export and streaming ------------------------------------------------
-_STORES: dict[tuple[str, str], object] = {}
+@_once
+def published_root(spark: SparkSession, sf: str) -> str:
+    """One publication of a full refresh of ``sf``."""
+    from yieldspark.plans.publish import publish
+    from yieldspark.plans.refresh import datasets_of
+    from yieldspark.session import scratch_path
 
+    root = scratch_path(spark, "published") + "/version=1"
+    publish(spark, datasets_of(staged_build(spark, sf)), root)
+    return root
 
-def published_store(spark: SparkSession, sf: str):
-    """A version store holding one refresh of ``sf``, published by the R1 stream.
 
-    Source files land in a folder; the file-triggered stream runs the refresh
-    job, which publishes a validated version.  Built once per session and
-    scale factor, then shared by the queries that read published data.
-    """
-    from yieldspark.plans.publish import VersionStore
-    from yieldspark.plans.refresh import refresh
-    from yieldspark.schemas import WAFER_INVENTORY
+def published(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    from yieldspark.plans.publish import read
+
+    return read(spark, published_root(spark, sf), name)
+
+
+_DELTAS: dict[tuple[str, str], object] = {}
+
+
+def delta_store(spark: SparkSession, sf: str):
+    """A delta store that was started with the first revisions; the later ones landed as files in the R1 stream."""
+    from yieldspark.plans import delta
     from yieldspark.session import scratch_path
-    from yieldspark.streaming.incremental import start_incremental_refresh
+    from yieldspark.streaming.incremental import start_delta_refresh
 
     key = (spark.sparkContext.applicationId, sf)
-    if key not in _STORES:
-        work = scratch_path(spark, "published")
-        store = VersionStore(spark, f"{work}/store")
-        landing = f"{work}/landing/wafer_inventory"
-        dt.wafer_inventory(spark, sf).write.mode("overwrite").parquet(landing)
+    if key not in _DELTAS:
+        work = scratch_path(spark, "delta")
+        store = delta.DeltaStore(f"{work}/store", buckets=4)
         sources = _sources(spark, sf)
-        details = _sources(spark, sf, list(dt.schemas.DETAIL_SOURCES))
-        query = start_incremental_refresh(
-            spark, landing, f"{work}/checkpoint", lambda: refresh(spark, sources, details, store),
-            trigger_schema=WAFER_INVENTORY,
-        )
-        query.awaitTermination()
-        _STORES[key] = store
-    return _STORES[key]
+        revised = [name for name, frame in sources.items() if "revision" in frame.columns]
+        delta.start(spark, store, sources | {name: sources[name].where("revision = 1") for name in revised})
+        for name in revised:
+            sources[name].where("revision > 1").write.parquet(f"{work}/landing/{name}")
+            start_delta_refresh(spark, store, name, f"{work}/landing/{name}", f"{work}/checkpoint/{name}").awaitTermination()
+        _DELTAS[key] = store
+    return _DELTAS[key]
+
+
+def q_incremental(project):
+    def run(spark, sf):
+        from yieldspark.plans import delta
+
+        return project(delta.enriched(spark, delta_store(spark, sf)))
+
+    return run
+
+
+def q_stored_sources_yield_fact(spark, sf):
+    from yieldspark.sources import stored
+
+    read = stored.read_sources(spark, stored_sources(spark, sf))
+    return facts.yield_fact(facts.build(spark, read).enriched)
+
+
+def q_time_range_scan(spark, sf):
+    from yieldspark.sources import database, stored
+
+    rows = stored.read_source(spark, f"{stored_sources(spark, sf)}/process_results", "process_results")
+    return database.time_range_scan(rows, "completed_at", RANGE_START, RANGE_END)
+
+
+def q_work_order_scoped_scan(spark, sf):
+    from yieldspark.session import scratch_path
+    from yieldspark.sources import database
+
+    src = _sources(spark, sf, ["identity_aliases", "sorting_parameter_detail"])
+    aliases = src["identity_aliases"]
+    path = scratch_path(spark, "by-work-order")
+    database.store_by_work_order(src["sorting_parameter_detail"], aliases, rules.SORTING, "sorting_wafer_ref", path)
+    # Work orders and SORTING references of the wafers of one product family.
+    keys = aliases.where(
+        (F.col("source_kind") == rules.SORTING) & (F.col("product_family") == "MACHINERY")
+    ).select("work_order", F.col("source_alias").alias("sorting_wafer_ref"))
+    return database.work_order_scan(spark.read.parquet(path), keys, "sorting_wafer_ref")
 
 
 def q_published_yield_fact(spark, sf):
-    _, frames = published_store(spark, sf).load()
-    return frames["yield_fact"]
+    return published(spark, sf, "yield_fact").select(*dt.schemas.YIELD_FACT.fieldNames())
 
 
 def q_published_targeted_read(spark, sf):
-    return published_store(spark, sf).read_targeted("targeted_chip_detail", [DETAIL_WAFER])
+    from yieldspark.plans.publish import read_wafers
+
+    return read_wafers(spark, published_root(spark, sf), "targeted_chip_detail", [DETAIL_WAFER])
 
 
 def q_validate_version(spark, sf):
-    """B3 on the current version, then its manifest rows (one per dataset)."""
-    store = published_store(spark, sf)
-    version = store.current_version()
-    store.validate(store.manifest(version))
-    return store.catalog().where(F.col("version") == version).select(
-        "version", "dataset", "rows", "load_policy", "status"
+    """B3 on the publication, then the rows of each dataset."""
+    from yieldspark.plans import publish
+
+    root = published_root(spark, sf)
+    publish.check(spark, root, publish.counts(spark, root))
+    rows = spark.read.option("basePath", root.rsplit("/", 1)[0]).parquet(f"{root}/{publish.SUMMARY}").where("entry = 'rows'")
+    targeted = F.col("name").isin(list(dt.schemas.TARGETED_DATASETS))
+    return rows.select(
+        F.col("version").cast("long").alias("version"),
+        F.col("name").alias("dataset"),
+        F.col("value").alias("rows"),
+        F.when(targeted, "targeted").otherwise("common").alias("load_policy"),
+        F.lit("VALIDATED").alias("status"),
     )
 
 
+def q_published_statistics(spark, sf):
+    """The statistics that were counted while the datasets were written."""
+    from yieldspark.plans import publish
+
+    found = publish.summary(spark, published_root(spark, sf)).where("entry = 'statistic'")
+    return found.select(F.col("name").alias("statistic"), "value")
+
+
 def q_csv_export_roundtrip(spark, sf):
     from yieldspark.plans.refresh import export_csv, read_csv_export
     from yieldspark.session import scratch_path
@@ -340,7 +403,10 @@ def q_stream_weekly_yield(spark, sf):
     from yieldspark.session import scratch_path
     from yieldspark.streaming.incremental import run_weekly_yield
 
-    return run_weekly_yield(spark, _facts(spark, sf), scratch_path(spark, "stream-weekly"))
+    # Files hold facts of all times, one file a batch, so most weeks get late facts.
+    return run_weekly_yield(
+        spark, _facts(spark, sf), scratch_path(spark, "stream-weekly"), files=5, max_files_per_trigger=1, fold_every=3
+    )
 
 
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -398,6 +464,11 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "published_yield_fact": q_published_yield_fact,
         "published_targeted_read": q_published_targeted_read,
         "validate_version": q_validate_version,
+        "published_statistics": q_published_statistics,
+        "incremental_yield_fact": q_incremental(facts.yield_fact),
+        "incremental_failure_fact": q_incremental(facts.failure_fact),
+        "incremental_lineage": q_incremental(facts.lineage),
+        "stored_sources_yield_fact": q_stored_sources_yield_fact,
         "csv_export_roundtrip": q_csv_export_roundtrip,
         "stream_weekly_yield": q_stream_weekly_yield,
     }
@@ -489,10 +560,10 @@ def oracle_sql() -> dict[str, str]:
     wide_cols = ", ".join(
         f"coalesce(max(cell_text) FILTER (WHERE period = '{p}'), '—') AS \"{p}\"" for p in WIDE_PERIODS
     )
-    wide_where = O.filter_sql(start=WIDE_FILTERS.start_date, end=WIDE_FILTERS.end_date)
+    wide_where = O.filter_sql(start=WIDE_YEAR.start, end=WIDE_YEAR.end)
     filtered_where = O.filter_sql(
-        product=FILTERED.product_family, wafer_size=FILTERED.wafer_size,
-        start=FILTERED.start_date, end=FILTERED.end_date,
+        product=FILTERED.values["product_family"], wafer_size=FILTERED.values["wafer_size"],
+        start=FILTERED.start, end=FILTERED.end,
     )
     sql = {
         "alias_index_exact": O.with_ctes(
@@ -641,6 +712,10 @@ def oracle_sql() -> dict[str, str]:
         f"SELECT * FROM targeted_chip_detail WHERE physical_wafer_id = {O._q(DETAIL_WAFER)}"
     )
     sql["csv_export_roundtrip"] = sql["cell_lineage"]
+    sql["published_statistics"] = sql["refresh_statistics"]
+    sql["incremental_yield_fact"] = sql["stored_sources_yield_fact"] = sql["yield_fact"]
+    sql["incremental_failure_fact"] = sql["failure_fact"]
+    sql["incremental_lineage"] = sql["lineage"]
     sql["stream_weekly_yield"] = sql["prebuilt_trend"]
     counted = {
         "yield_fact": "SELECT count(*) FROM yield_fact",

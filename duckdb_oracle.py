@@ -5,7 +5,7 @@ SQL here, on the same driver tables.  The SQL is written from the yield model
 directly (window ``QUALIFY`` for latest rows, ``count(DISTINCT)`` for cohort
 completeness, ``UNION ALL`` for variant rows), so it does not share logic with
 the Spark plans it checks.  All CTEs live in one prefix; DuckDB only evaluates
-those a query references.
+those a query references, and :func:`with_ctes` puts no others into its text.
 
 Double columns are rounded to 6 decimals in the final projection of both sides
 (float sums depend on the summation order), timestamps are wall-clock UTC.
@@ -13,6 +13,8 @@ Double columns are rounded to 6 decimals in the final projection of both sides
 
 from __future__ import annotations
 
+import re
+
 from yieldspark import rules
 from yieldspark.functions.text import WHITESPACE
 
@@ -33,6 +35,12 @@ def R(col: str, alias: str | None = None) -> str:
     return f"round({col}, 6) AS {alias or col.split('.')[-1]}"
 
 
+def _key(stage: str, kind: str, record: str, *parts: str) -> str:
+    """The fact id of a stage row; ``stage`` and ``kind`` are SQL expressions."""
+    texts = [f"replace(replace(coalesce(CAST({x} AS VARCHAR), ''), '%', '%25'), ':', '%3A')" for x in (kind, record, *parts)]
+    return f"'YF:' || {stage} || ':' || " + " || ':' || ".join(texts) + " AS fact_key"
+
+
 def _rules_values() -> str:
     rows = ",\n    ".join(
         f"({_q(s)}, {_q(c)}, {_q(l)}, {o}, {_q(rules.ASSUMPTIONS.get(c, rules.DEFAULT_ASSUMPTION))})"
@@ -61,7 +69,7 @@ def _annotate(name: str, kind: str, alias_col: str) -> str:
 _PROCESS_STAGES = "(VALUES (1, 'SURFACE_PREPARATION'), (2, 'PATTERN_SEPARATION'), (3, 'PROTECTIVE_FINISH'), (4, 'DEVICE_FORMATION')) st(s, stage_code)"
 _ELIGIBLE = ", ".join(_q(c) for _, c, _, _ in rules.DEFAULT_DISPLAY_ROWS if c != "DEVICE_FORMATION")
 _WAFER_STAGES = ", ".join(_q(c) for c in rules.WAFER_STAGE_CODES)
-_STAGE_COLS = "stage_code, physical_wafer_id, event_time, numerator, denominator, failure_family, source_kind, source_record_id, transformation_rule, identity_method"
+_STAGE_COLS = "stage_code, physical_wafer_id, event_time, numerator, denominator, failure_family, source_kind, source_record_id, transformation_rule, identity_method, fact_key"
 
 
 def _rule(key: str) -> str:
@@ -224,39 +232,45 @@ form_w AS (SELECT * FROM proc_res WHERE stage_code = 'DEVICE_FORMATION' QUALIFY
 s_wafer_inspection AS (
   SELECT 'WAFER_INSPECTION' AS stage_code, physical_wafer_id, inspection_at AS event_time,
          CAST(sites_good AS DOUBLE) AS numerator, CAST(sites_inspected AS DOUBLE) AS denominator, failure_family,
-         'INSPECTION' AS source_kind, record_id AS source_record_id, {_rule('WAFER_INSPECTION')} AS transformation_rule, identity_method
+         'INSPECTION' AS source_kind, record_id AS source_record_id, {_rule('WAFER_INSPECTION')} AS transformation_rule, identity_method,
+         {_key("'WAFER_INSPECTION'", "'INSPECTION'", 'record_id', 'inspection_wafer_ref', 'revision')}
   FROM insp_latest
 ),
 s_process AS (
   SELECT stage_code, physical_wafer_id, completed_at AS event_time,
          CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS numerator, 1.0::DOUBLE AS denominator, failure_family,
-         'MES' AS source_kind, record_id AS source_record_id, {_rule('PROCESS')} AS transformation_rule, identity_method
+         'MES' AS source_kind, record_id AS source_record_id, {_rule('PROCESS')} AS transformation_rule, identity_method,
+         {_key('stage_code', "'MES'", 'record_id', 'mes_wafer_ref', 'completed_at')}
   FROM proc_res WHERE stage_code IN ({_ELIGIBLE})
 ),
 s_chip_inspection AS (
   SELECT 'CHIP_INSPECTION' AS stage_code, physical_wafer_id, tested_at AS event_time,
          CAST(good_chips AS DOUBLE) AS numerator, CAST(total_chips AS DOUBLE) AS denominator, dominant_failure AS failure_family,
-         'CHIP' AS source_kind, record_id AS source_record_id, {_rule('CHIP_INSPECTION')} AS transformation_rule, identity_method
+         'CHIP' AS source_kind, record_id AS source_record_id, {_rule('CHIP_INSPECTION')} AS transformation_rule, identity_method,
+         {_key("'CHIP_INSPECTION'", "'CHIP'", 'record_id', 'chip_wafer_ref', 'revision')}
   FROM chip_latest
 ),
 s_auto_outlier AS (
   SELECT 'AUTO_OUTLIER' AS stage_code, physical_wafer_id, tested_at AS event_time,
          CAST(total_chips - ol AS DOUBLE) AS numerator, CAST(total_chips AS DOUBLE) AS denominator,
          CASE WHEN ol > 0 THEN {_q(rules.AUTO_OUTLIER_FAMILY)} ELSE '' END AS failure_family,
-         'CHIP' AS source_kind, record_id AS source_record_id, {_rule('AUTO_OUTLIER')} AS transformation_rule, identity_method
+         'CHIP' AS source_kind, record_id AS source_record_id, {_rule('AUTO_OUTLIER')} AS transformation_rule, identity_method,
+         {_key("'AUTO_OUTLIER'", "'CHIP'", 'record_id', 'chip_wafer_ref', 'revision')}
   FROM (SELECT *, CASE WHEN TRY_CAST(string_split(physical_wafer_id, '-')[-1] AS BIGINT) % 11 = 0 THEN 1 ELSE 0 END AS ol FROM chip_latest)
 ),
 s_sorting AS (
   SELECT 'SORTING' AS stage_code, physical_wafer_id, process_completed_at AS event_time,
          CAST(good_chips AS DOUBLE) AS numerator, CAST(total_chips AS DOUBLE) AS denominator, failure_family,
-         'SORTING' AS source_kind, record_id AS source_record_id, {_rule('SORTING')} AS transformation_rule, identity_method
+         'SORTING' AS source_kind, record_id AS source_record_id, {_rule('SORTING')} AS transformation_rule, identity_method,
+         {_key("'SORTING'", "'SORTING'", 'record_id', 'sorting_wafer_ref', 'channel')}
   FROM sort_res
 ),
 s_qualification AS (
   SELECT 'QUALIFICATION' AS stage_code, physical_wafer_id, qualified_at AS event_time,
          CASE WHEN passed THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS numerator, 1.0::DOUBLE AS denominator,
          CASE WHEN passed THEN '' ELSE {_q(rules.QUALIFICATION_HOLD)} END AS failure_family,
-         'QUALIFICATION' AS source_kind, record_id AS source_record_id, {_rule('QUALIFICATION')} AS transformation_rule, identity_method
+         'QUALIFICATION' AS source_kind, record_id AS source_record_id, {_rule('QUALIFICATION')} AS transformation_rule, identity_method,
+         {_key("'QUALIFICATION'", "'QUALIFICATION'", 'record_id', 'qualification_wafer_ref', 'channel', 'revision')}
   FROM qual_latest
 ),
 wafer_total_src AS (
@@ -270,7 +284,8 @@ s_wafer_total AS (
   SELECT 'WAFER_TOTAL' AS stage_code, physical_wafer_id, t AS event_time, y AS numerator, 1.0::DOUBLE AS denominator,
          CASE WHEN y < 1 THEN {_q(rules.WAFER_TOTAL_LOSS)} ELSE '' END AS failure_family,
          'PREPARED' AS source_kind, 'WAFER-TOTAL-' || physical_wafer_id AS source_record_id,
-         {_rule('WAFER_TOTAL')} AS transformation_rule, {_q(rules.WAFER_COHORT_METHOD)} AS identity_method
+         {_rule('WAFER_TOTAL')} AS transformation_rule, {_q(rules.WAFER_COHORT_METHOD)} AS identity_method,
+         {_key("'WAFER_TOTAL'", "'PREPARED'", "'WAFER-TOTAL-' || physical_wafer_id")}
   FROM wafer_total_src
 ),
 s_device_formation AS (
@@ -278,7 +293,8 @@ s_device_formation AS (
          CASE WHEN coalesce(f.passed, false) THEN CAST(c.total_chips AS DOUBLE)
               ELSE greatest(0.0::DOUBLE, CAST(c.total_chips AS DOUBLE) - 9) END AS numerator,
          CAST(c.total_chips AS DOUBLE) AS denominator, f.failure_family,
-         'MES' AS source_kind, f.record_id AS source_record_id, {_rule('DEVICE_FORMATION')} AS transformation_rule, f.identity_method
+         'MES' AS source_kind, f.record_id AS source_record_id, {_rule('DEVICE_FORMATION')} AS transformation_rule, f.identity_method,
+         {_key("'DEVICE_FORMATION'", "'MES'", 'f.record_id')}
   FROM form_w f JOIN chip_w c ON f.physical_wafer_id = c.physical_wafer_id
 ),
 cohort_src AS (
@@ -302,7 +318,8 @@ s_final_chip_yield AS (
   SELECT 'FINAL_CHIP_YIELD' AS stage_code, physical_wafer_id, event_time, final_good AS numerator, total_chips AS denominator,
          CASE WHEN final_good < total_chips THEN {_q(rules.FINAL_COMPONENT_LOSS)} ELSE '' END AS failure_family,
          'PREPARED' AS source_kind, 'FINAL-' || physical_wafer_id AS source_record_id,
-         {_rule('FINAL_CHIP_YIELD')} AS transformation_rule, {_q(rules.FINAL_COHORT_METHOD)} AS identity_method
+         {_rule('FINAL_CHIP_YIELD')} AS transformation_rule, {_q(rules.FINAL_COHORT_METHOD)} AS identity_method,
+         {_key("'FINAL_CHIP_YIELD'", "'PREPARED'", "'FINAL-' || physical_wafer_id")}
   FROM cohort
 ),
 stage_all AS (
@@ -317,7 +334,7 @@ stage_all AS (
   UNION ALL SELECT {_STAGE_COLS} FROM s_final_chip_yield
 ),
 enriched AS (
-  SELECT 'YF:' || s.stage_code || ':' || s.source_record_id AS yield_record_id,
+  SELECT s.fact_key AS yield_record_id,
          r.section, s.stage_code, r.stage_label, r.display_order,
          s.physical_wafer_id, m.work_order, m.lot_id, m.wafer_number, m.product_family, m.wafer_size,
          s.event_time, s.numerator, s.denominator, s.numerator / s.denominator AS yield_rate,
@@ -359,10 +376,25 @@ targeted_sorting_detail AS (
 )"""
 
 
+def _named(ctes: str) -> dict[str, str]:
+    """The CTEs by name, in order; each begins a line with ``name AS (``."""
+    starts = [*re.finditer(r"^(\w+) AS \(", ctes, re.M)]
+    ends = [m.start() for m in starts[1:]] + [len(ctes)]
+    return {m.group(1): ctes[m.start() : end].rstrip().rstrip(",") for m, end in zip(starts, ends, strict=True)}
+
+
 def with_ctes(select: str, extra: str | None = None) -> str:
-    """The shared CTE prefix, optional extra CTEs, then the final SELECT."""
-    more = f",\n{extra.strip()}" if extra else ""
-    return f"WITH {CTES.strip()}{more}\n{select}"
+    """The shared CTEs that the SELECT needs, directly or through others, then optional extra CTEs and the SELECT."""
+    named = _named(CTES)
+    needed: set[str] = set()
+    open_ = [select, extra or ""]
+    while open_:
+        words = set(re.findall(r"\w+", open_.pop()))
+        for name in words & named.keys() - needed:
+            needed.add(name)
+            open_.append(named[name])
+    parts = [text for name, text in named.items() if name in needed] + ([extra.strip()] if extra else [])
+    return ("WITH " + ",\n".join(parts) + "\n" if parts else "") + select
 
 
 def week_label(t: str) -> str:

@@ -8,7 +8,7 @@ from yieldspark.functions.numeric import percent_text, round_half_even
 from yieldspark.functions.periods import period_label
 from yieldspark.operators import facts, prepared
 from yieldspark.plans import views
-from yieldspark.plans.views import CellSelection, DashboardFilters
+from yieldspark.plans.views import Cell, Scope
 
 
 def tiny_sources(spark, *, sorting_for_w2=True, zero_total_w3=False):
@@ -112,7 +112,7 @@ def test_week_edges_and_period_modes(spark):
 
 def test_end_date_is_inclusive_of_the_whole_day(spark):
     frame = spark.createDataFrame([(ts("2026-01-11 23:59:59"),), (ts("2026-01-12 00:00:00"),)], "event_time timestamp")
-    kept = views.filtered(frame, DashboardFilters(start_date="2026-01-11", end_date="2026-01-11")).count()
+    kept = views.filtered(frame, Scope(start="2026-01-11", end="2026-01-11")).count()
     assert kept == 1
 
 
@@ -132,7 +132,7 @@ def _failures(spark, rows):
 
 def test_top_n_share_is_within_top_n_and_nulls_excluded(spark):
     fails = _failures(spark, [("A", 5.0), ("B", 3.0), ("C", 2.0), (None, 100.0)])
-    out = views.cell_pareto(fails, DashboardFilters(period_mode="Month"), CellSelection("SORTING", "2026-01"), top_n=2)
+    out = views.cell_pareto(fails, Cell("SORTING", "Month", "2026-01"), top_n=2)
     rows = out.collect()
     assert [r["failure_family"] for r in rows] == ["A", "B"]
     assert rows[-1]["cumulative_share"] == 1.0
@@ -140,8 +140,7 @@ def test_top_n_share_is_within_top_n_and_nulls_excluded(spark):
 
 def test_size_filter_does_not_narrow_failures(spark):
     fails = _failures(spark, [("A", 5.0)])
-    filters = DashboardFilters(wafer_size="150 mm", period_mode="Month")
-    out = views.cell_pareto(fails, filters, CellSelection("SORTING", "2026-01"))
+    out = views.cell_pareto(fails, Cell("SORTING", "Month", "2026-01"), Scope({"wafer_size": "150 mm"}))
     assert out.count() == 1
 
 
@@ -151,18 +150,18 @@ def test_matrix_keeps_last_n_periods_and_ratio_of_sums(spark):
         rows.append((f"Y{day}", "Wafer Process", "SORTING", "S", 90, "W", "WO", "L", 1, "F", "S",
                      ts(f"2026-01-0{day} 10:00:00"), float(day), 10.0, day / 10.0, ""))
     frame = spark.createDataFrame(rows, schemas.YIELD_FACT)
-    out = views.matrix_long(frame, DashboardFilters(period_mode="Day"), max_periods=2).orderBy("period").collect()
+    out = views.matrix_long(frame, "Day", max_periods=2).orderBy("period").collect()
     assert [r["period"] for r in out] == ["2026-01-04", "2026-01-05"]
-    total = views.matrix_long(frame, DashboardFilters(period_mode="Year")).collect()[0]
+    total = views.matrix_long(frame, "Year").collect()[0]
     assert total["yield_rate"] == 15.0 / 50.0
 
 
 def test_empty_inputs_give_typed_empty_outputs(spark):
     empty_facts = spark.createDataFrame([], schemas.YIELD_FACT)
     empty_fail = spark.createDataFrame([], schemas.FAILURE_FACT)
-    assert views.matrix_long(empty_facts, DashboardFilters()).count() == 0
+    assert views.matrix_long(empty_facts, "Week").count() == 0
     assert prepared.prebuilt_pareto(empty_fail).columns == schemas.PREBUILT_PARETO.fieldNames()
-    kpis = views.cell_kpis(empty_facts, DashboardFilters(), CellSelection("SORTING", "x")).collect()[0]
+    kpis = views.cell_kpis(empty_facts, Cell("SORTING", "Week", "x")).collect()[0]
     assert (kpis["numerator"], kpis["denominator"], kpis["yield_pct"], kpis["physical_wafers"]) == (0.0, 0.0, 0.0, 0)
 
 
@@ -180,8 +179,30 @@ def test_cell_rejects_unknown_mode_and_matches_label_range(spark):
             ("Y2", "S", "SORTING", "L", 90, "W", "WO", "L", 1, "F", "S", ts("2026-01-12 00:00:00"), 1.0, 1.0, 1.0, "")]
     facts_df = spark.createDataFrame(rows, schemas.YIELD_FACT)
     with pytest.raises(ValueError):
-        views.cell_population(facts_df, DashboardFilters(period_mode="Fortnight"), CellSelection("SORTING", "x"))
-    week = views.cell_population(facts_df, DashboardFilters(period_mode="Week"), CellSelection("SORTING", "2026-01-05/2026-01-11"))
+        views.cell_population(facts_df, Cell("SORTING", "Fortnight", "x"))
+    week = views.cell_population(facts_df, Cell("SORTING", "Week", "2026-01-05/2026-01-11"))
     assert [r["yield_record_id"] for r in week.collect()] == ["Y1"]
-    quarter = views.cell_population(facts_df, DashboardFilters(period_mode="Quarter"), CellSelection("SORTING", "2026Q1"))
+    quarter = views.cell_population(facts_df, Cell("SORTING", "Quarter", "2026Q1"))
     assert quarter.count() == 2
+
+
+def test_one_record_id_in_two_spellings_gives_two_facts(spark):
+    sources = tiny_sources(spark)
+    t0 = ts("2026-01-05 08:00:00")
+    more = spark.createDataFrame(
+        [("insp_W1", "WI-W1", t0, 25, 21, "", 1), (" INSP-W1", "WI-W1", t0, 25, 22, "", 1), ("INSP:W1", "W%1", t0, 25, 23, "", 1)],
+        schemas.WAFER_INSPECTION,
+    )
+    sources["wafer_inspection"] = sources["wafer_inspection"].unionByName(more)
+    ids = [r[0] for r in facts.yield_fact(facts.build(spark, sources).enriched).where("stage_code = 'WAFER_INSPECTION'").select("yield_record_id").collect()]
+    assert len(ids) == len(set(ids)) == 5
+    parts = spark.createDataFrame([("a:b", "c"), ("a", "b:c"), ("a%3Ab", "c"), (None, "c"), ("", "c")], "x string, y string")
+    keys = [r[0] for r in parts.select(facts.fact_key(F.lit("S"), F.col("x"), F.col("y"))).collect()]
+    assert len(set(keys)) == 4  # null and empty are one
+
+
+def test_filters_on_other_columns_are_refused(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        views.filtered(spark.createDataFrame([], schemas.YIELD_FACT), Scope({"lot_id": "L"}))

@@ -5,7 +5,6 @@ from datetime import datetime
 import pytest
 
 from yieldspark.functions.periods import period_bounds
-from yieldspark.sources.driver_tables import spread_small_input
 
 
 @pytest.mark.parametrize(
@@ -28,11 +27,3 @@ def test_period_bounds_rejects_bad_input():
         period_bounds("not-a-month", "Month")
     with pytest.raises(ValueError):
         period_bounds("1995", "Fortnight")
-
-
-def test_small_input_is_spread_and_large_input_is_left_alone(spark):
-    slots = spark.sparkContext.defaultParallelism
-    small = spark.range(10).coalesce(1)
-    assert spread_small_input(spark, small).rdd.getNumPartitions() == slots
-    large = spark.range(10).repartition(slots * 2)
-    assert spread_small_input(spark, large) is large

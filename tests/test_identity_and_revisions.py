@@ -84,7 +84,7 @@ def test_hot_alias_salting_gives_the_same_result(spark):
     records = spark.createDataFrame(rows, "ref string, record_id string").repartition(4)
     resolution = identity.resolve_keys(aliases, identity.lookup_keys(records, "CHIP", "ref"))
     assert resolution.where(F.col("raw_alias") == "HOT").collect()[0]["key_rows"] == 2000
-    policy = identity.HotKeyPolicy(fraction=0.1, min_rows=10, buckets=8)
+    policy = identity.HotKeyPolicy(fraction=0.1, buckets=8)
     plain = identity.annotate(records, "CHIP", "ref", resolution)
     salted = identity.annotate(records, "CHIP", "ref", resolution, record_column="record_id", hot_keys=policy)
     assert salted.columns == plain.columns

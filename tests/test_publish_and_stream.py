@@ -1,15 +1,17 @@
 from __future__ import annotations
 
 import pytest
-from factory_support import ts
+from factory_support import alias_rows, plan_of, scan_of, ts
 from pyspark.sql import functions as F
 from test_facts_and_views import tiny_sources
 
 from yieldspark import schemas
+from yieldspark.operators import facts, prepared
+from yieldspark.plans import delta, publish, views
 from yieldspark.plans import refresh as R
-from yieldspark.plans.publish import VersionStore
+from yieldspark.plans.views import Cell, Scope
 from yieldspark.session import scratch_path
-from yieldspark.streaming.incremental import read_weekly_yield, run_weekly_yield, start_weekly_yield
+from yieldspark.streaming.incremental import read_late, read_weekly_yield, run_weekly_yield, start_delta_refresh, start_weekly_yield
 
 
 def tiny_details(spark):
@@ -25,186 +27,238 @@ def tiny_details(spark):
 
 
 @pytest.fixture(scope="module")
-def store(spark):
-    s = VersionStore(spark, scratch_path(spark, "test-store"))
-    R.refresh(spark, tiny_sources(spark), tiny_details(spark), s)
-    return s
+def root(spark):
+    path = scratch_path(spark, "test-publication")
+    R.refresh(spark, tiny_sources(spark), tiny_details(spark), path)
+    return path
 
 
-def test_publish_is_validated_and_targeted_data_not_loaded(store):
-    version, frames = store.load()
-    assert version == 1
+# --- publication -------------------------------------------------------------------
+def test_publication_is_checked_and_detail_is_read_by_name_only(spark, root):
+    frames = publish.load(spark, root)
     assert set(frames) == set(schemas.COMMON_DATASETS)
-    manifest = store.manifest(version)
-    assert manifest.status == "VALIDATED"
-    assert manifest.statistics["physical_wafers"] == 3
-    assert manifest.datasets["yield_fact"]["rows"] == frames["yield_fact"].count()
+    assert publish.counts(spark, root)["yield_fact"] == frames["yield_fact"].count()
+    known = {r["name"]: r["value"] for r in publish.summary(spark, root).where("entry = 'statistic'").collect()}
+    plan = facts.build(spark, tiny_sources(spark))
+    from yieldspark.operators import identity
 
+    want = prepared.refresh_statistics(plan.master, plan.enriched, plan.components, identity.identity_audit(plan.annotated))
+    assert known == {r["statistic"]: r["value"] for r in want.collect()}
 
-@pytest.mark.parametrize("step", ["validate", "_append_catalog"])
-def test_failed_publication_keeps_current_version(spark, store, monkeypatch, step):
+
+def test_a_failed_check_leaves_no_complete_publication(spark, monkeypatch):
     def broken(*_):
-        raise RuntimeError(step)
+        raise publish.CheckFailed("x")
 
-    before = store.current_version()
-    monkeypatch.setattr(store, step, broken)
-    with pytest.raises(RuntimeError):
-        R.refresh(spark, tiny_sources(spark), tiny_details(spark), store)
-    assert store.current_version() == before
+    path = scratch_path(spark, "failed")
+    monkeypatch.setattr(publish, "check", broken)
+    with pytest.raises(publish.CheckFailed):
+        R.refresh(spark, tiny_sources(spark), tiny_details(spark), path)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        publish.load(spark, path)
 
 
-def test_unreadable_catalog_is_not_taken_for_an_empty_store(spark):
-    s = VersionStore(spark, scratch_path(spark, "unreadable"))
-    assert s.next_version() == 1  # nothing there yet
-    spark.range(1).selectExpr("'x' value").write.text(s.catalog_path)
-    with pytest.raises(Exception, match="(?i)parquet|FAILED_READ_FILE"):
-        s.next_version()
+def test_a_folder_is_never_overwritten(spark, root):
+    before = publish.counts(spark, root)
+    with pytest.raises(Exception, match="(?i)exists"):
+        R.refresh(spark, tiny_sources(spark), tiny_details(spark), root)
+    assert publish.counts(spark, root) == before
 
 
-def test_new_checkpoint_over_one_sink_gives_the_newest_sums(spark):
-    work = scratch_path(spark, "two-checkpoints")
+def test_missing_dataset_is_rejected(spark):
+    with pytest.raises(ValueError):
+        publish.publish(spark, {"yield_fact": spark.createDataFrame([], schemas.YIELD_FACT)}, scratch_path(spark, "none"))
+
+
+def test_check_finds_lost_lineage_repeated_ids_and_lost_rows(spark, root):
+    rows = publish.counts(spark, root)
+
+    def with_changed(name, change):
+        path = scratch_path(spark, "changed")
+        for other in schemas.REQUIRED_DATASETS:
+            frame = publish.read(spark, root, other)
+            frame = change(frame) if other == name else frame
+            by = publish.LAYOUTS.get(other, publish.Layout()).partition_by
+            (frame.write.partitionBy(*by) if by else frame.write).parquet(f"{path}/{other}")
+        return path
+
+    first_id = publish.read(spark, root, "yield_fact").orderBy("yield_record_id").first()["yield_record_id"]
+    lost = with_changed("lineage", lambda f: f.where(F.col("yield_record_id") != first_id))
+    with pytest.raises(publish.CheckFailed, match="rows counted"):
+        publish.check(spark, lost, rows)
+    with pytest.raises(publish.CheckFailed, match="once in both"):
+        publish.check(spark, lost, rows | {"lineage": rows["lineage"] - 1})
+    twice = with_changed("yield_fact", lambda f: f.unionByName(f.limit(1)))
+    with pytest.raises(publish.CheckFailed, match="once in both"):
+        publish.check(spark, twice, rows | {"yield_fact": rows["yield_fact"] + 1})
+    publish.check(spark, root, rows)
+
+
+def test_targeted_read_takes_lists_and_frames(spark, root):
+    chips = publish.read_wafers(spark, root, "targeted_chip_detail", ["W2", "W2"]).collect()
+    assert {r["physical_wafer_id"] for r in chips} == {"W2"} and len(chips) == 3
+    assert publish.read_wafers(spark, root, "targeted_chip_detail", []).count() == 0
+    with pytest.raises(ValueError):
+        publish.read_wafers(spark, root, "yield_fact", ["W2"])
+    scope = spark.createDataFrame([("W1",), ("W1",)], "physical_wafer_id string")
+    assert publish.read_wafers(spark, root, "targeted_sorting_parameter_detail", scope).count() == 2
+    rows, text = R.wafer_detail(spark, root, "SORTING", "W1")
+    assert rows.count() == 2 and "parameter" in text
+    assert R.wafer_detail(spark, root, "CHIP_INSPECTION", "W1")[0].count() == 3
 
-    def facts(first, good):
-        rows = [(f"Y{first + i}", "S", "SORTING", "Sorting", 90, "W", "WO", "L", 1, "F", "S", ts("2026-01-06 10:00:00"), g, 1.0, g, "")
-                for i, g in enumerate(good)]
-        return spark.createDataFrame(rows, schemas.YIELD_FACT)
 
-    def run(checkpoint):
-        start_weekly_yield(spark, f"{work}/facts", f"{work}/sink", f"{work}/{checkpoint}", max_files_per_trigger=1).awaitTermination()
-        return [(r["numerator"], r["denominator"]) for r in read_weekly_yield(spark, f"{work}/sink").collect()]
+def test_parameter_summary(spark, root):
+    summary = {r["parameter"]: r for r in R.parameter_summary_table(spark, root).collect()}
+    assert summary["DISC"]["good"] == 0 and summary["QTY"]["yield_rate"] == 1.0
 
-    facts(0, [1.0]).coalesce(1).write.mode("append").parquet(f"{work}/facts")
-    facts(1, [1.0]).coalesce(1).write.mode("append").parquet(f"{work}/facts")
-    assert run("one") == [(2.0, 2.0)]
-    facts(2, [0.0]).coalesce(1).write.mode("append").parquet(f"{work}/facts")
-    assert run("two") == [(2.0, 3.0)]  # its batch ids begin at 0 again
 
+def test_a_cell_reads_only_its_partitions(spark, root):
+    cell = Cell("SORTING", "Month", "2026-01")
+    for frame in (
+        views.cell_population(publish.read(spark, root, "yield_fact"), cell),
+        views.cell_pareto(publish.read(spark, root, "failure_fact"), cell),
+        views.cell_trend(publish.read(spark, root, "yield_fact"), "Month", "SORTING", Scope(start="2026-01-01", end="2026-02-01")),
+    ):
+        scan = scan_of(frame)
+        assert "stage_code" in scan["PartitionFilters"] and "event_year" in scan["PartitionFilters"]
+        assert "event_time" in scan["PushedFilters"]
+    records = views.population_records(publish.read(spark, root, "yield_fact"), publish.read(spark, root, "lineage"), cell)
+    pruned = [line for line in plan_of(records).splitlines() if line.startswith("PartitionFilters")]
+    assert len(pruned) == 2 and all("event_year" in line and "stage_code" in line for line in pruned)
+    assert records.count() == 3
 
-def test_new_version_becomes_current(spark, store):
-    manifest = R.refresh(spark, tiny_sources(spark), tiny_details(spark), store)
-    assert store.current_version() == manifest.version
-    assert store.load()[0] == manifest.version
 
+def test_csv_export_round_trip_keeps_empty_and_null(spark):
+    frame = spark.createDataFrame([("a", ""), ("b", None)], "k string, v string")
+    path = R.export_csv(frame, scratch_path(spark, "csv") + "/x.csv")
+    back = {r["k"]: r["v"] for r in R.read_csv_export(spark, path, frame.schema).collect()}
+    assert back == {"a": "", "b": None}
 
-def test_bad_pointer_falls_back_to_newest_valid(store):
-    newest = store.current_version()
-    store.set_pointer(999)
-    assert store.current_version() == newest
 
+# --- weekly stream -----------------------------------------------------------------
+def fact(n, at, good, stage="SORTING"):
+    return (f"Y{n}", "S", stage, "Sorting", 90, "W", "WO", "L", 1, "F", "S", at and ts(at), good, 1.0, good, "")
 
-def test_targeted_read_returns_one_wafer(store):
-    rows = store.read_targeted("targeted_chip_detail", ["W2", "W2"]).collect()
-    assert {r["physical_wafer_id"] for r in rows} == {"W2"} and len(rows) == 3
-    assert store.read_targeted("targeted_chip_detail", []).count() == 0
-    with pytest.raises(ValueError):
-        store.read_targeted("yield_fact", ["W2"])
-    params = store.read_targeted("targeted_sorting_parameter_detail", ["W1"])
-    assert params.count() == 2
 
+def trend(frame):
+    return {(r["stage_code"], r["period"]): (r["numerator"], r["denominator"]) for r in frame.collect()}
 
-def test_parameter_summary_and_truth_metadata(store):
-    summary = {r["parameter"]: r for r in R.parameter_summary_table(store).collect()}
-    assert summary["DISC"]["good"] == 0 and summary["QTY"]["yield_rate"] == 1.0
-    meta = R.truth_metadata(store)
-    assert meta["statistics"]["final_cohort_wafers"] == 3
 
+def test_a_new_checkpoint_is_a_run_of_its_own(spark):
+    work = scratch_path(spark, "two-checkpoints")
 
-def test_missing_dataset_is_rejected(spark, store):
-    with pytest.raises(ValueError):
-        store.publish({"yield_fact": spark.createDataFrame([], schemas.YIELD_FACT)})
+    def put(n, good):
+        spark.createDataFrame([fact(n, "2026-01-06 10:00:00", good)], schemas.YIELD_FACT).coalesce(1).write.mode("append").parquet(f"{work}/facts")
 
+    def run(checkpoint):
+        start_weekly_yield(spark, f"{work}/facts", f"{work}/sink", f"{work}/{checkpoint}", max_files_per_trigger=1).awaitTermination()
+        return list(trend(read_weekly_yield(spark, f"{work}/sink")).values())
 
-def test_csv_export_round_trip_keeps_empty_and_null(spark):
-    frame = spark.createDataFrame([("a", ""), ("b", None)], "k string, v string")
-    path = R.export_csv(frame, scratch_path(spark, "csv") + "/x.csv")
-    back = {r["k"]: r["v"] for r in R.read_csv_export(spark, path, frame.schema).collect()}
-    assert back == {"a": "", "b": None}
+    put(0, 1.0)
+    put(1, 1.0)
+    assert run("one") == [(2.0, 2.0)]
+    put(2, 0.0)
+    assert run("two") == [(2.0, 3.0)]  # its batch ids begin at 0 again
+    put(3, 0.0)
+    assert run("two") == [(2.0, 4.0)]
 
 
-def test_stream_weekly_yield_equals_batch_trend(spark, store):
-    from yieldspark.operators import prepared
+def test_files_out_of_time_order_give_the_batch_trend(spark):
+    times = ["2026-03-02 10:00:00", "2026-01-05 10:00:00", "2026-03-03 10:00:00", "2025-11-05 00:00:00", None, "2026-01-06 01:00:00", "2026-03-20 10:00:00"]
+    work = scratch_path(spark, "late")
+    every = spark.createDataFrame([fact(n, t, float(n % 2)) for n, t in enumerate(times)], schemas.YIELD_FACT)
+    for n in range(len(times)):
+        every.where(F.col("yield_record_id") == f"Y{n}").coalesce(1).write.mode("append").parquet(f"{work}/facts")
+        start_weekly_yield(spark, f"{work}/facts", f"{work}/sink", f"{work}/ckpt", fold_every=3).awaitTermination()
+    assert trend(read_weekly_yield(spark, f"{work}/sink")) == trend(prepared.prebuilt_trend(every))
+    # The facts of January and November came after the watermark (March - 14 days) had passed their weeks.
+    assert read_late(spark, f"{work}/sink").agg(F.sum("denominator")).first()[0] == 3.0
+
+
+def test_stream_weekly_yield_equals_batch_trend(spark, root):
+    rows = publish.read(spark, root, "yield_fact")
+    streamed = run_weekly_yield(spark, rows, scratch_path(spark, "stream"), files=4, max_files_per_trigger=1)
+    assert trend(streamed) == trend(prepared.prebuilt_trend(rows))
+
+
+# --- delta refresh -----------------------------------------------------------------
+def stored_facts(spark, store):
+    return sorted(map(repr, delta.enriched(spark, store).drop(publish.YEAR).collect()))
+
+
+def full_facts(spark, sources):
+    columns = [f.name for f in delta.FACTS.fields if f.name != publish.YEAR]
+    return sorted(map(repr, facts.build(spark, sources).enriched.select(*columns).collect()))
+
+
+def landings(spark):
+    """Changed rows of read sources: a revision, a new process record, a fixed alias claim, a moved year, a new wafer."""
+    t1 = ts("2026-01-07 08:00:00")
+    other_year = ts("2027-02-07 08:00:00")
+    make = lambda rows, name: (name, spark.createDataFrame(rows, schemas.SOURCE_SCHEMAS[name]))
+    return [
+        make([(" sub w1", "CIS-W1-B", t1, 10, 9, "", 3)], "chip_inspection_summary"),
+        make([("INSP-W2", "WI-W2-R2", other_year, 25, 25, "", 2)], "wafer_inspection"),  # its facts leave 2026
+        make([("NOBODY", "PR-X", "SURFACE_PREPARATION", t1, "CELL-1", True, "")], "process_results"),
+        make(alias_rows(("CHIP", "SUB W1", "W2")), "identity_aliases"),  # W1's alias becomes ambiguous
+        make(alias_rows(("MES", "MES/W4", "W4"), ("MES", "NOBODY", "W4")), "identity_aliases"),  # a record that waited is resolved
+    ]
 
-    _, frames = store.load()
-    facts = frames["yield_fact"]
-    streamed = run_weekly_yield(spark, facts, scratch_path(spark, "stream"), max_files_per_trigger=1)
-    batch = prepared.prebuilt_trend(facts)
-    key = ["stage_code", "period"]
-    a = {tuple(r[k] for k in key): (r["numerator"], r["denominator"]) for r in streamed.collect()}
-    b = {tuple(r[k] for k in key): (r["numerator"], r["denominator"]) for r in batch.collect()}
-    assert a == b
 
+def test_landed_rows_change_the_facts_as_a_full_refresh_does(spark):
+    sources = tiny_sources(spark)
+    store = delta.DeltaStore(scratch_path(spark, "delta-test"), buckets=2)
+    delta.start(spark, store, sources)
+    for n, (name, rows) in enumerate(landings(spark)):
+        touched = delta.refresh_delta(spark, store, name, rows, f"L{n}")
+        sources[name] = sources[name].unionByName(rows)
+        if n in (1, 4):
+            assert stored_facts(spark, store) == full_facts(spark, sources), name
+        if n == 2:
+            assert touched == []  # nobody owns the alias: no partition is read or written
+    # Landing again what has landed, also after others, changes nothing.
+    before = stored_facts(spark, store)
+    name, rows = landings(spark)[0]
+    delta.refresh_delta(spark, store, name, rows, "L0")
+    assert stored_facts(spark, store) == before
+    scan = scan_of(delta.enriched(spark, store).where(delta._in_partitions([("SORTING", 2026), ("SORTING", None)])))
+    assert "SORTING" in scan["PartitionFilters"] and "2026" in scan["PartitionFilters"]
+
+
+def test_an_interrupted_landing_is_completed_by_running_it_again(spark, monkeypatch):
+    sources = tiny_sources(spark)
+    store = delta.DeltaStore(scratch_path(spark, "delta-broken"), buckets=2)
+    delta.start(spark, store, sources)
+    name, rows = landings(spark)[0]
+    whole = delta._replace_partitions
+
+    def broken(frame, path, by, order):
+        if path.endswith("/places"):
+            raise RuntimeError("lost")
+        whole(frame, path, by, order)
+
+    monkeypatch.setattr(delta, "_replace_partitions", broken)
+    with pytest.raises(RuntimeError):
+        delta.refresh_delta(spark, store, name, rows, "L0")
+    monkeypatch.undo()
+    delta.refresh_delta(spark, store, name, rows, "L0")
+    sources[name] = sources[name].unionByName(rows)
+    assert stored_facts(spark, store) == full_facts(spark, sources)
 
-def test_stream_drops_facts_behind_the_watermark(spark):
-    rows = [
-        ("Y1", "S", "SORTING", "L", 90, "W", "WO", "L", 1, "F", "S", ts("2026-03-02 10:00:00"), 1.0, 1.0, 1.0, ""),
-        ("Y2", "S", "SORTING", "L", 90, "W", "WO", "L", 1, "F", "S", ts("2026-01-05 10:00:00"), 0.0, 1.0, 0.0, ""),
-    ]
-    work = scratch_path(spark, "late")
-    from yieldspark.streaming.incremental import start_weekly_yield
-
-    landing = f"{work}/facts"
-    first = spark.createDataFrame(rows[:1], schemas.YIELD_FACT)
-    first.write.mode("append").parquet(landing)
-    start_weekly_yield(spark, landing, f"{work}/sink", f"{work}/ckpt").awaitTermination()
-    spark.createDataFrame(rows[1:], schemas.YIELD_FACT).write.mode("append").parquet(landing)
-    start_weekly_yield(spark, landing, f"{work}/sink", f"{work}/ckpt").awaitTermination()
-    periods = {r["period"] for r in read_weekly_yield(spark, f"{work}/sink").collect()}
-    # The January fact arrived after the watermark (March - 14 days) passed its week.
-    assert periods == {"2026-03-02/2026-03-08"}
-    assert F is not None
-
-
-def test_validation_rejects_broken_lineage_and_duplicate_ids(spark, store):
-    import dataclasses
-
-    from yieldspark.plans.publish import ValidationError
-
-    manifest = store.manifest(store.current_version())
-    lineage = spark.read.parquet(manifest.datasets["lineage"]["path"])
-    facts = spark.read.parquet(manifest.datasets["yield_fact"]["path"])
-    root = scratch_path(spark, "broken")
-    first_id = facts.orderBy("yield_record_id").first()["yield_record_id"]
-    lineage.where(F.col("yield_record_id") != first_id).write.parquet(f"{root}/lineage")
-    facts.unionByName(facts.limit(1)).write.parquet(f"{root}/facts")
-
-    def with_path(name, path, rows=None):
-        datasets = {k: dict(v) for k, v in manifest.datasets.items()}
-        datasets[name]["path"] = path
-        if rows is not None:
-            datasets[name]["rows"] = rows
-        return dataclasses.replace(manifest, datasets=datasets)
-
-    with pytest.raises(ValidationError):
-        store.validate(with_path("lineage", f"{root}/lineage"))
-    rows = manifest.datasets["yield_fact"]["rows"] + 1
-    with pytest.raises(ValidationError):
-        store.validate(with_path("yield_fact", f"{root}/facts", rows))
-    assert store.validate(manifest) is manifest
-
-
-def test_incremental_refresh_runs_only_when_files_land(spark):
-    from yieldspark.streaming.incremental import start_incremental_refresh
 
+def test_files_that_land_are_refreshed_once(spark):
+    sources = tiny_sources(spark)
     work = scratch_path(spark, "r1")
-    landing, ckpt = f"{work}/landing", f"{work}/ckpt"
-    calls = []
+    store = delta.DeltaStore(f"{work}/store", buckets=2)
+    delta.start(spark, store, sources)
+    name, rows = landings(spark)[0]
 
     def run():
-        start_incremental_refresh(
-            spark, landing, ckpt, lambda: calls.append(1), trigger_schema=spark.range(0).schema
-        ).awaitTermination()
+        start_delta_refresh(spark, store, name, f"{work}/landing", f"{work}/ckpt").awaitTermination()
 
-    spark.range(3).write.mode("append").parquet(landing)
+    rows.write.parquet(f"{work}/landing")
     run()
-    assert len(calls) == 1
+    sources[name] = sources[name].unionByName(rows)
+    assert stored_facts(spark, store) == full_facts(spark, sources)
     run()  # nothing new landed
-    assert len(calls) == 1
-    spark.range(2).write.mode("append").parquet(landing)
-    run()
-    assert len(calls) == 2
-
-
-def test_targeted_read_takes_lists_and_frames(spark, store):
-    assert store.read_targeted("targeted_chip_detail", ["W1", "W1", "W2"]).count() == 6
-    scope = spark.createDataFrame([("W1",), ("W1",)], "physical_wafer_id string")
-    assert store.read_targeted("targeted_sorting_parameter_detail", scope).count() == 2
+    assert delta._changes_applied(spark, store) == 1

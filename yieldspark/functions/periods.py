@@ -65,9 +65,20 @@ def label_of_start(start: Column, mode: str) -> Column:
     return period_label(start, mode)
 
 
+class NotALabel(ValueError):
+    """A text that is no label of the period mode."""
+
+
 def period_bounds(label: str, mode: str) -> tuple[datetime, datetime]:
     """Half-open ``[start, end)`` instants of a period label (driver-side parameter parsing)."""
     check_mode(mode)
+    try:
+        return _bounds(label, mode)
+    except ValueError as e:
+        raise NotALabel(f"{label!r} is no {mode} label") from e
+
+
+def _bounds(label: str, mode: str) -> tuple[datetime, datetime]:
     if mode == "Day":
         start = datetime.strptime(label, "%Y-%m-%d")
         return start, start + timedelta(days=1)

@@ -1,9 +1,10 @@
 """Detail tables limited to a wafer scope.
 
-The scope is a DataFrame of wafer ids, never a driver-side list: it is turned
-into the exact source aliases of that kind and the detail rows are kept with a
-``left_semi`` join, which AQE runs as a broadcast when the scope is small and
-as a shuffle join otherwise.
+The scope is a DataFrame of wafer ids, never a driver-side list.  It is turned
+into the exact source aliases of that kind, and those mark the rows of the
+resolution table (one per distinct alias) that are in scope.  Scope and
+resolution are then one join of the detail rows on their raw alias, so the
+detail table is exchanged once, salted for its hot aliases.
 """
 
 from __future__ import annotations
@@ -62,24 +63,38 @@ def transform_targeted(
         annotated = identity.resolve_records(detail, aliases, kind, alias_column)
     else:
         annotated = identity.annotate(
-            detail, kind, alias_column, resolution,
+            detail, kind, alias_column, resolution, source=dataset,
             record_column=DETAIL_RECORD_COLUMNS[dataset], hot_keys=hot_keys,
         )
     return identity.resolved_only(annotated).drop("identity_method", *identity.WAFER_ATTRIBUTES)
 
 
+def scoped_resolution(resolution: DataFrame, aliases: DataFrame, wafer_ids: DataFrame, dataset: str) -> DataFrame:
+    """The RESOLVED rows of the detail table's aliases that are exact aliases of a wafer in scope."""
+    kind, _ = detail_identity(dataset)
+    scope = scope_aliases(aliases, wafer_ids, kind)
+    mine = resolution.where((F.col("source") == dataset) & (F.col("identity_status") == rules.RESOLVED))
+    return mine.join(scope, mine["raw_alias"] == scope["_scope_alias"], "left_semi")
+
+
 def targeted_detail_table(
     detail: DataFrame,
     aliases: DataFrame,
     wafer_ids: DataFrame,
     dataset: str,
     resolution: DataFrame | None = None,
-    hot_keys: identity.HotKeyPolicy | None = None,
+    hot_keys: identity.HotKeyPolicy | None = identity.HotKeyPolicy(),
 ) -> DataFrame:
-    """Scoped extract then resolution."""
-    return transform_targeted(
-        extract_targeted(detail, aliases, wafer_ids, dataset), aliases, dataset, resolution, hot_keys
+    """The resolved detail rows in scope, by one join on the raw alias."""
+    kind, alias_column = detail_identity(dataset)
+    if resolution is None:
+        resolution = identity.resolve_keys(aliases, identity.lookup_keys(detail, kind, alias_column, dataset))
+    # A null alias is no exact alias of any wafer; the join key folds it into empty text.
+    annotated = identity.annotate(
+        detail.where(F.col(alias_column).isNotNull()), kind, alias_column, scoped_resolution(resolution, aliases, wafer_ids, dataset),
+        source=dataset, record_column=DETAIL_RECORD_COLUMNS[dataset], hot_keys=hot_keys, how="inner",
     )
+    return annotated.drop("identity_method", *identity.WAFER_ATTRIBUTES)
 
 
 def parameter_yield_summary(parameter_detail: DataFrame) -> DataFrame:

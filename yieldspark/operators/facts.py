@@ -10,6 +10,7 @@ one hash partitioning of the wafer key.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -33,9 +34,25 @@ STAGE_ROW_COLUMNS = (
     "transformation_rule",
     "identity_method",
 )
+FACT_KEY = "yield_record_id"
 LINEAGE_EXTRA = ("source_kind", "source_record_id", "identity_method", "transformation_rule")
 
 
+def fact_key(stage: Column, *parts: Column) -> Column:
+    """Deterministic fact id: the stage and what identifies its record within the source.
+
+    A record id may come with several spellings of the alias, channels or
+    revisions, so these are parts of the key where the source has them.  ``%``
+    and ``:`` inside a part are percent-encoded, so different parts never give
+    the same id; null is an empty part.
+    """
+    def part(c: Column) -> Column:
+        text = F.coalesce(c.cast("string"), F.lit(""))
+        return F.replace(F.replace(text, F.lit("%"), F.lit("%25")), F.lit(":"), F.lit("%3A"))
+
+    return F.concat_ws(":", F.lit("YF"), stage, *map(part, parts))
+
+
 def stage_rows(
     frame: DataFrame,
     *,
@@ -48,6 +65,7 @@ def stage_rows(
     record: Column,
     rule: str,
     method: Column,
+    key: Sequence[str] = (),
 ) -> DataFrame:
     stage_col = F.lit(stage) if isinstance(stage, str) else stage
     time_col = F.col(event_time) if isinstance(event_time, str) else event_time
@@ -64,6 +82,7 @@ def stage_rows(
         record.cast("string").alias("source_record_id"),
         F.lit(rule).alias("transformation_rule"),
         method.alias("identity_method"),
+        fact_key(stage_col, F.lit(source_kind), record, *map(F.col, key)).alias(FACT_KEY),
         *attributes,
     )
 
@@ -82,6 +101,7 @@ def wafer_inspection_rows(latest_inspection: DataFrame) -> DataFrame:
         record=F.col("record_id"),
         rule=rules.RULE_TEXT["WAFER_INSPECTION"],
         method=F.col("identity_method"),
+        key=("inspection_wafer_ref", "revision"),
     )
 
 
@@ -99,6 +119,7 @@ def process_rows(resolved_process: DataFrame, configured_stages) -> DataFrame:
         record=F.col("record_id"),
         rule=rules.RULE_TEXT["PROCESS"],
         method=F.col("identity_method"),
+        key=("mes_wafer_ref", "completed_at"),
     )
 
 
@@ -115,6 +136,7 @@ def chip_inspection_rows(latest_chips: DataFrame) -> DataFrame:
         record=F.col("record_id"),
         rule=rules.RULE_TEXT["CHIP_INSPECTION"],
         method=F.col("identity_method"),
+        key=("chip_wafer_ref", "revision"),
     )
 
 
@@ -137,6 +159,7 @@ def auto_outlier_rows(latest_chips: DataFrame) -> DataFrame:
         record=F.col("record_id"),
         rule=rules.RULE_TEXT["AUTO_OUTLIER"],
         method=F.col("identity_method"),
+        key=("chip_wafer_ref", "revision"),
     )
 
 
@@ -153,6 +176,7 @@ def sorting_rows(resolved_sorting: DataFrame) -> DataFrame:
         record=F.col("record_id"),
         rule=rules.RULE_TEXT["SORTING"],
         method=F.col("identity_method"),
+        key=("sorting_wafer_ref", "channel"),
     )
 
 
@@ -171,6 +195,7 @@ def qualification_rows(latest_quals: DataFrame) -> DataFrame:
         record=F.col("record_id"),
         rule=rules.RULE_TEXT["QUALIFICATION"],
         method=F.col("identity_method"),
+        key=("qualification_wafer_ref", "channel", "revision"),
     )
 
 
@@ -327,11 +352,6 @@ def final_component_fact(cohort: DataFrame, master: DataFrame) -> DataFrame:
 
 
 # --- enrichment and projections --------------------------------------------------
-def yield_record_id(stage: Column, record: Column) -> Column:
-    """Deterministic fact key: stage code and source record id."""
-    return F.concat(F.lit("YF:"), stage, F.lit(":"), record)
-
-
 def enrich(rows: DataFrame, master: DataFrame, rules_df: DataFrame) -> DataFrame:
     """Guard, then attach wafer attributes and display rules.
 
@@ -347,7 +367,7 @@ def enrich(rows: DataFrame, master: DataFrame, rules_df: DataFrame) -> DataFrame
         F.broadcast(rules_df.select("stage_code", "section", "stage_label", "display_order")), "stage_code"
     )
     return joined.select(
-        yield_record_id(F.col("stage_code"), F.col("source_record_id")).alias("yield_record_id"),
+        FACT_KEY,
         "section",
         "stage_code",
         "stage_label",
@@ -386,6 +406,11 @@ def lineage(enriched: DataFrame) -> DataFrame:
     return schemas.conform(enriched, schemas.LINEAGE)
 
 
+def placed_lineage(enriched: DataFrame) -> DataFrame:
+    """Lineage with the stage and time of its fact, by which it is stored and pruned."""
+    return schemas.conform(enriched, schemas.PLACED_LINEAGE)
+
+
 # --- assembly --------------------------------------------------------------------
 @dataclass
 class FactPlan:
@@ -434,7 +459,7 @@ def build(
             annotated[name] = identity.resolve_records(sources[name], aliases, kind, alias_column)
         else:
             annotated[name] = identity.annotate(
-                sources[name], kind, alias_column, resolution, record_column=record_column, hot_keys=hot_keys
+                sources[name], kind, alias_column, resolution, source=name, record_column=record_column, hot_keys=hot_keys
             )
     keep_all = getattr(materialize, "all", None)
     if keep_all is not None:

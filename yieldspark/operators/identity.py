@@ -74,9 +74,9 @@ def resolve_keys(aliases: DataFrame, keys: DataFrame) -> DataFrame:
         F.col("max_id").alias("n_max"),
     )
     if "key_rows" in keys.columns:
-        # Records per source kind: at most one row per kind (a fixed, small set).
-        totals = keys.groupBy("source_kind").agg(F.sum("key_rows").alias("kind_rows"))
-        keys = keys.join(F.broadcast(totals), "source_kind", "left")
+        # Records per source: one row per source table (a fixed, small set).
+        totals = keys.groupBy("source").agg(F.sum("key_rows").alias("source_rows"))
+        keys = keys.join(F.broadcast(totals), "source")
     joined = (
         keys.withColumn("lookup_alias", lookup_alias(F.col("raw_alias")))
         .join(exact, ["source_kind", "lookup_alias"], "left")
@@ -96,13 +96,11 @@ def resolve_keys(aliases: DataFrame, keys: DataFrame) -> DataFrame:
         .otherwise(F.lit(rules.NO_MATCH_METHOD))
     )
     wafer = F.when(status == rules.RESOLVED, F.when(has_exact, F.col("e_min")).otherwise(F.col("n_min")))
-    rows = F.col("key_rows") if "key_rows" in keys.columns else F.lit(None).cast("bigint")
-    kind_rows = F.col("kind_rows") if "kind_rows" in keys.columns else F.lit(None).cast("bigint")
+    counts = [c for c in ("source", "key_rows", "source_rows") if c in keys.columns]
     return joined.select(
         "source_kind",
         "raw_alias",
-        rows.alias("key_rows"),
-        kind_rows.alias("kind_rows"),
+        *counts,
         status.alias("identity_status"),
         wafer.alias("physical_wafer_id"),
         method.alias("identity_method"),
@@ -114,39 +112,40 @@ def ref_key(column: Column) -> Column:
     return F.coalesce(column.cast("string"), F.lit(""))
 
 
-def lookup_keys(records: DataFrame, source_kind: str, alias_column: str) -> DataFrame:
+def lookup_keys(records: DataFrame, source_kind: str, alias_column: str, source: str | None = None) -> DataFrame:
     """Distinct raw aliases of one source with their record counts.
 
     One partial+final aggregation; the count later identifies hot aliases
-    without another pass over the records.
+    without another pass over the records.  ``source`` names the table, as two
+    tables may share a kind and each has hot aliases of its own.
     """
     return records.groupBy(
-        F.lit(source_kind).alias("source_kind"), ref_key(F.col(alias_column)).alias("raw_alias")
+        F.lit(source or source_kind).alias("source"),
+        F.lit(source_kind).alias("source_kind"),
+        ref_key(F.col(alias_column)).alias("raw_alias"),
     ).agg(F.count(F.lit(1)).alias("key_rows"))
 
 
 @dataclass(frozen=True)
 class HotKeyPolicy:
-    """When and how to split hot aliases in the record ⋈ resolution join.
+    """How to split hot aliases in the record ⋈ resolution join.
 
-    A key is hot when it holds at least ``fraction`` of a source's records
-    (and at least ``min_rows``); there can be at most ``1 / fraction`` such
-    keys, which bounds what is broadcast.  The per-source totals travel with
-    the resolution table, so no count is gathered on the driver.  Hot keys are spread over
-    ``buckets`` salted join partitions.
+    A key is hot when it holds at least ``fraction`` of its source's records;
+    there can be at most ``1 / fraction`` such keys, which bounds what is
+    broadcast, whatever the size.  The per-source totals travel with the
+    resolution table, so no count is gathered on the driver.  Hot keys are
+    spread over ``buckets`` salted join partitions.
     """
 
     fraction: float = 0.01
-    min_rows: int = 1_000_000
     buckets: int = 64
 
 
-def _salted_join(records: DataFrame, scoped: DataFrame, record_column: str, policy: HotKeyPolicy) -> DataFrame:
-    threshold = F.greatest(
-        F.lit(policy.min_rows), (F.lit(policy.fraction) * F.col("kind_rows")).cast("bigint")
+def _salted_join(records: DataFrame, scoped: DataFrame, record_column: str, policy: HotKeyPolicy, how: str) -> DataFrame:
+    # Bounded: at most 1/fraction keys of a source can reach the threshold.
+    hot = scoped.where(F.col("key_rows") >= F.lit(policy.fraction) * F.col("source_rows")).select(
+        "_ref", F.lit(policy.buckets).alias("_buckets")
     )
-    # Bounded: at most 1/fraction keys of a kind can reach the threshold.
-    hot = scoped.where(F.col("key_rows") >= threshold).select("_ref", F.lit(policy.buckets).alias("_buckets"))
     salted_records = (
         records.join(F.broadcast(hot), "_ref", "left")
         .withColumn(
@@ -163,7 +162,7 @@ def _salted_join(records: DataFrame, scoped: DataFrame, record_column: str, poli
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_buckets") - 1, F.lit(0)))))
         .drop("_buckets")
     )
-    return salted_records.join(replicated, ["_ref", "_salt"], "left").drop("_salt")
+    return salted_records.join(replicated, ["_ref", "_salt"], how).drop("_salt")
 
 
 def annotate(
@@ -172,8 +171,10 @@ def annotate(
     alias_column: str,
     resolution: DataFrame,
     *,
+    source: str | None = None,
     record_column: str | None = None,
     hot_keys: HotKeyPolicy | None = None,
+    how: str = "left",
 ) -> DataFrame:
     """Append identity_status, physical_wafer_id, identity_method to every record.
 
@@ -181,25 +182,29 @@ def annotate(
     ``hot_keys`` policy (and ``key_rows`` counts in the resolution table),
     aliases that hold a large share of the records are salted so their rows
     are joined by many tasks instead of one; without it, AQE's skew-join
-    splitting is relied on.
+    splitting is relied on.  ``how="inner"`` keeps only records whose alias
+    the resolution table holds.
     """
     def counted(name: str) -> Column:
         return F.col(name) if name in resolution.columns else F.lit(None).cast("bigint")
 
     attributes = list(WAFER_ATTRIBUTES) if carries_attributes(resolution) else []
-    scoped = resolution.where(F.col("source_kind") == source_kind).select(
+    mine = F.col("source_kind") == source_kind
+    if "source" in resolution.columns:
+        mine &= F.col("source") == (source or source_kind)
+    scoped = resolution.where(mine).select(
         F.col("raw_alias").alias("_ref"), counted("key_rows").alias("key_rows"),
-        counted("kind_rows").alias("kind_rows"), *RESOLUTION_COLUMNS, *attributes
+        counted("source_rows").alias("source_rows"), *RESOLUTION_COLUMNS, *attributes
     )
     if "physical_wafer_id" in records.columns:
         records = records.drop("physical_wafer_id")
     keyed = records.withColumn("_ref", ref_key(F.col(alias_column)))
     if hot_keys is not None and record_column is not None:
-        joined = _salted_join(keyed, scoped, record_column, hot_keys)
+        joined = _salted_join(keyed, scoped, record_column, hot_keys, how)
     else:
-        joined = keyed.join(scoped, "_ref", "left")
+        joined = keyed.join(scoped, "_ref", how)
     return (
-        joined.drop("_ref", "key_rows", "kind_rows")
+        joined.drop("_ref", "key_rows", "source_rows")
         .withColumn(
             "identity_status", F.coalesce(F.col("identity_status"), F.lit(rules.UNRESOLVED))
         )
@@ -234,15 +239,13 @@ DETAIL_IDENTITY = {
 
 
 def all_lookup_keys(sources: dict[str, DataFrame], names=None) -> DataFrame:
-    """Distinct lookup keys of several sources in one table."""
+    """Distinct lookup keys of several sources in one table, by source."""
     names = names or list(SOURCE_IDENTITY)
     parts = []
     for name in names:
         kind, alias_column = (SOURCE_IDENTITY.get(name) or DETAIL_IDENTITY[name])[:2]
-        parts.append(lookup_keys(sources[name], kind, alias_column))
-    return reduce(DataFrame.unionByName, parts).groupBy("source_kind", "raw_alias").agg(
-        F.sum("key_rows").alias("key_rows")
-    )
+        parts.append(lookup_keys(sources[name], kind, alias_column, name))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def audit_rows(annotated: DataFrame, source_kind: str, alias_column: str, record_column: str) -> DataFrame:

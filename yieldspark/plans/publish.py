@@ -1,298 +1,186 @@
-"""Versioned publication of the prepared datasets.
+"""Writing, checking and reading the prepared datasets.
 
-Layout under one root (any Hadoop-compatible URI; all IO goes through Spark):
+:func:`publish` writes every dataset below a folder that the caller names (any
+Hadoop-compatible URI), checks the written files, and only then writes the
+``summary`` table with the row counts and statistics.  A folder with a summary
+is a complete publication; a failure before leaves it without one.  Folders
+are never overwritten, so a caller publishes each time into a new one.
 
-* ``versions/version=<n>-<unique>/<dataset>/``  Parquet (zstd) per dataset;
-* ``catalog/``  append-only Parquet, one row per dataset of a *validated*
-  version (the manifest), with row counts, columns and statistics;
-* ``pointer/``  append-only Parquet, one row per switch of the current version.
-
-A version becomes visible only when its catalog rows are appended, which is
-the last step after every dataset has been written and validated; a failure
-before that leaves the current version unchanged.  The catalog and pointer
-grow with the number of publications, not with the data, so reading them to
-the driver is bounded.
+Facts, failures and lineage are partitioned by stage and year and sorted by
+event time across and within files, so a cell or a date range reads only its
+partitions, and of these the files and row groups of its time.  Detail rows and the wafer summary are range-clustered by wafer.
 """
 
 from __future__ import annotations
 
-import json
-import uuid
+from collections.abc import Iterable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timezone
-from typing import Any
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldspark import schemas
-
-SCHEMA_VERSION = 1
-VALIDATED = "VALIDATED"
-
-CATALOG_SCHEMA = T.StructType(
-    [
-        T.StructField("schema_version", T.IntegerType()),
-        T.StructField("version", T.LongType()),
-        T.StructField("published_at", T.StringType()),
-        T.StructField("dataset", T.StringType()),
-        T.StructField("path", T.StringType()),
-        T.StructField("rows", T.LongType()),
-        T.StructField("columns_json", T.StringType()),
-        T.StructField("load_policy", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("statistics_json", T.StringType()),
-    ]
-)
-POINTER_SCHEMA = T.StructType(
-    [T.StructField("version", T.LongType()), T.StructField("set_at", T.StringType())]
-)
-
-
-class ValidationError(ValueError):
-    pass
-
-
-@dataclass
-class Manifest:
-    version: int
-    published_at: str
-    datasets: dict[str, dict[str, Any]]
-    statistics: dict[str, Any] = field(default_factory=dict)
-    schema_version: int = SCHEMA_VERSION
-    status: str = VALIDATED
-
-
-def load_policy(name: str) -> str:
-    return "targeted" if name in schemas.TARGETED_DATASETS else "common"
-
-
-class VersionStore:
-    def __init__(self, spark: SparkSession, root: str, *,
-                 schema_version: int = SCHEMA_VERSION, write_parallelism: int = 4) -> None:
-        self.spark = spark
-        self.write_parallelism = write_parallelism
-        self.root = root.rstrip("/")
-        self.schema_version = schema_version
-
-    # -- paths ------------------------------------------------------------------
-    def version_path(self, version: int) -> str:
-        return f"{self.root}/versions/version={version}"
-
-    @property
-    def catalog_path(self) -> str:
-        return f"{self.root}/catalog"
-
-    @property
-    def pointer_path(self) -> str:
-        return f"{self.root}/pointer"
-
-    # -- catalog ----------------------------------------------------------------
-    def _read_or_empty(self, path: str, schema: T.StructType) -> DataFrame:
-        try:
-            return self.spark.read.schema(schema).parquet(path)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":
-                raise  # only a store without any publication yet is empty
-            return self.spark.createDataFrame([], schema)
-
-    def catalog(self) -> DataFrame:
-        """The manifest rows of every validated version."""
-        return self._read_or_empty(self.catalog_path, CATALOG_SCHEMA)
-
-    def pointer_log(self) -> DataFrame:
-        return self._read_or_empty(self.pointer_path, POINTER_SCHEMA)
-
-    def _valid_versions(self) -> list[int]:
-        """Versions whose catalog lists every required dataset (bounded by publications)."""
-        cat = self.catalog().where(
-            (F.col("status") == VALIDATED)
-            & (F.col("schema_version") == self.schema_version)
-            & F.col("dataset").isin(list(schemas.REQUIRED_DATASETS))
-        )
-        # A version is complete when it lists every required dataset.
-        complete = (
-            cat.groupBy("version")
-            .agg(F.count_distinct("dataset").alias("n"))
-            .where(F.col("n") == len(schemas.REQUIRED_DATASETS))
-        )
-        rows = complete.orderBy(F.desc("version")).collect()
-        return [int(r["version"]) for r in rows]
-
-    def next_version(self) -> int:
-        row = self.catalog().agg(F.max("version").alias("v")).collect()[0]
-        return int(row["v"] or 0) + 1
-
-    # -- publish ------------------------------------------------------------------
-    def publish(self, datasets: dict[str, DataFrame], statistics: dict[str, Any] | None = None) -> Manifest:
-        """B2: write every dataset of a new version, validate it, then make it current."""
-        missing = sorted(set(schemas.REQUIRED_DATASETS) - set(datasets))
-        if missing:
-            raise ValueError(f"Version is missing required datasets: {missing}")
-        version = self.next_version()
-        published_at = datetime.now(timezone.utc).isoformat()
-        # A folder of its own: two publications that take the same number don't meet in one.
-        root = f"{self.version_path(version)}-{uuid.uuid4().hex[:12]}"
-
-        def write(name: str, frame: DataFrame) -> dict[str, Any]:
-            path = f"{root}/{name}"
-            out = frame
-            if name in schemas.TARGETED_DATASETS:
-                # Range-cluster detail rows by wafer so a targeted read skips files and row
-                # groups; the record id splits a wafer that holds many rows.
-                keys = ["physical_wafer_id", schemas.TARGETED_RECORD_COLUMNS[name]]
-                out = out.repartitionByRange(*keys).sortWithinPartitions(*keys)
-            # Observed last: the range exchange reads its input twice, which would count rows twice.
-            observation = Observation(f"rows_{name}_{version}")
-            out = out.observe(observation, F.count(F.lit(1)).alias("rows"))
-            out.write.mode("errorifexists").option("compression", "zstd").parquet(path)
-            return {
-                "path": path,
-                "rows": int(observation.get["rows"]),
-                "columns": list(frame.columns),
-                "load_policy": load_policy(name),
-            }
-
-        # Independent datasets are written as concurrent jobs; any failure
-        # raises here, before the version is made visible.
-        with ThreadPoolExecutor(max_workers=max(1, self.write_parallelism)) as pool:
-            futures = {name: pool.submit(write, name, frame) for name, frame in datasets.items()}
-            entries = {name: future.result() for name, future in futures.items()}
-        manifest = Manifest(version, published_at, entries, dict(statistics or {}), self.schema_version)
-        self.validate(manifest)
-        self._append_catalog(manifest)
-        self.set_pointer(version)
-        return manifest
-
-    def _append_catalog(self, manifest: Manifest) -> None:
-        stats = json.dumps(manifest.statistics, sort_keys=True)
-        rows = [
-            (
-                manifest.schema_version,
-                manifest.version,
-                manifest.published_at,
-                name,
-                meta["path"],
-                int(meta["rows"]),
-                json.dumps(meta["columns"]),
-                meta["load_policy"],
-                VALIDATED,
-                stats,
-            )
-            for name, meta in manifest.datasets.items()
-        ]
-        self.spark.createDataFrame(rows, CATALOG_SCHEMA).coalesce(1).write.mode("append").parquet(
-            self.catalog_path
-        )
-
-    def set_pointer(self, version: int) -> None:
-        row = [(int(version), datetime.now(timezone.utc).isoformat())]
-        self.spark.createDataFrame(row, POINTER_SCHEMA).coalesce(1).write.mode("append").parquet(self.pointer_path)
-
-    # -- validation -------------------------------------------------------------
-    def validate(self, manifest: Manifest) -> Manifest:
-        """Content checks on the written files, run as distributed aggregates."""
-        if manifest.schema_version != self.schema_version:
-            raise ValidationError("Version schema is incompatible")
-        missing = sorted(set(schemas.REQUIRED_DATASETS) - set(manifest.datasets))
-        if missing:
-            raise ValidationError(f"Manifest is missing datasets: {missing}")
-        read = {name: self.spark.read.parquet(meta["path"]) for name, meta in manifest.datasets.items()}
-        for name, meta in manifest.datasets.items():
-            declared = schemas.DECLARED_COLUMNS.get(name, [])
-            absent = [c for c in declared if c not in read[name].columns]
-            if absent:
-                raise ValidationError(f"{name} lacks declared columns {absent}")
-            if int(meta["rows"]) < 0:
-                raise ValidationError(f"Row count is invalid: {name}")
-        if int(manifest.datasets["yield_fact"]["rows"]) == 0:
-            raise ValidationError("A validated version cannot have an empty yield population")
-        for name, meta in manifest.datasets.items():
-            if name != "yield_fact" and read[name].count() != int(meta["rows"]):
-                raise ValidationError(f"{name} row count differs from the manifest")
-        facts = read["yield_fact"]
-        fact_checks = facts.agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.count_if(F.col("yield_record_id").isNull()).alias("null_ids"),
-            F.count_if(~(F.col("denominator") > 0) | F.col("denominator").isNull()).alias("bad_den"),
-        ).collect()[0]
-        if fact_checks["rows"] != manifest.datasets["yield_fact"]["rows"]:
-            raise ValidationError("yield_fact row count differs from the manifest")
-        if fact_checks["null_ids"]:
-            raise ValidationError("yield_record_id has nulls")
-        if fact_checks["bad_den"]:
-            raise ValidationError("yield_fact has non-positive denominators")
-        # One shuffle proves fact ids unique, lineage ids unique and the 1:1 match.
-        ids = facts.select("yield_record_id", F.lit(1).alias("f"), F.lit(0).alias("l")).unionByName(
-            read["lineage"].select("yield_record_id", F.lit(0).alias("f"), F.lit(1).alias("l"))
-        )
-        per_id = ids.groupBy("yield_record_id").agg(F.sum("f").alias("f"), F.sum("l").alias("l"))
-        broken = per_id.where((F.col("f") != 1) | (F.col("l") != 1)).limit(1).count()
-        if broken:
-            raise ValidationError("yield_record_id is not unique, or lineage is not 1:1 with yield_fact")
-        return manifest
-
-    # -- resolution and loading -------------------------------------------------
-    def current_version(self) -> int:
-        """The pointer's version when valid, else the newest valid version."""
-        valid = self._valid_versions()
-        if not valid:
-            raise FileNotFoundError("No valid published version is available")
-        latest = self.pointer_log().orderBy(F.desc("set_at"), F.desc("version")).limit(1).collect()
-        if latest and int(latest[0]["version"]) in valid:
-            return int(latest[0]["version"])
-        return valid[0]
-
-    def manifest(self, version: int) -> Manifest:
-        rows = self.catalog().where(F.col("version") == version).collect()
-        if not rows:
-            raise FileNotFoundError(f"Version {version} is not in the catalog")
-        datasets = {
-            r["dataset"]: {
-                "path": r["path"],
-                "rows": int(r["rows"]),
-                "columns": json.loads(r["columns_json"]),
-                "load_policy": r["load_policy"],
-            }
-            for r in rows
+from yieldspark import rules, schemas
+
+YEAR = "event_year"
+SUMMARY = "summary"
+
+
+@dataclass(frozen=True)
+class Layout:
+    """How a dataset lies on storage: partition folders, then the order of rows across and within files."""
+
+    partition_by: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
+
+
+_BY_CELL = Layout(("stage_code", YEAR), ("event_time", "yield_record_id"))
+LAYOUTS = {
+    "yield_fact": _BY_CELL,
+    "failure_fact": _BY_CELL,
+    "lineage": _BY_CELL,
+    "identity_audit": Layout(order=("source_kind", "source_record_id")),
+    "wafer_summary": Layout(order=("physical_wafer_id",)),
+} | {name: Layout(order=("physical_wafer_id", record)) for name, record in schemas.TARGETED_RECORD_COLUMNS.items()}
+
+
+class CheckFailed(ValueError):
+    """A written dataset is not what it must be."""
+
+
+def audit_counts() -> dict[str, dict]:
+    """Counts taken while a dataset is written, besides its rows."""
+    status = F.col("identity_status")
+    return {
+        "identity_audit": {
+            "ambiguous_records": F.count_if(status == rules.AMBIGUOUS),
+            "unresolved_records": F.count_if(status == rules.UNRESOLVED),
         }
-        first = rows[0]
-        return Manifest(int(version), first["published_at"], datasets,
-                        json.loads(first["statistics_json"] or "{}"), int(first["schema_version"]), first["status"])
-
-    def load(self, version: int | None = None, *, include_targeted: bool = False) -> tuple[int, dict[str, DataFrame]]:
-        """Lazy DataFrames of one version (targeted datasets on request)."""
-        version = self.current_version() if version is None else version
-        manifest = self.manifest(version)
-        frames = {
-            name: self.spark.read.parquet(meta["path"])
-            for name, meta in manifest.datasets.items()
-            if include_targeted or meta["load_policy"] != "targeted"
+    }
+
+
+def year_of(time: str = "event_time") -> Column:
+    return F.year(time)
+
+
+def laid_out(frame: DataFrame, layout: Layout) -> DataFrame:
+    """The rows dealt by ranges of the layout's columns, so a large partition folder is written by several tasks."""
+    if YEAR in layout.partition_by:
+        frame = frame.withColumn(YEAR, year_of())
+    keys = [*layout.partition_by, *layout.order]
+    return frame.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else frame
+
+
+def write_dataset(frame: DataFrame, path: str, layout: Layout = Layout(), extra: dict | None = None) -> dict[str, int]:
+    """Write one dataset; the rows, and what ``extra`` counts, come from the same pass."""
+    seen = Observation()
+    # Observed last: the range exchange samples its input, which would count rows twice.
+    out = laid_out(frame, layout).observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in (extra or {}).items()])
+    writer = out.write.mode("errorifexists").option("compression", "zstd")
+    if layout.partition_by:
+        writer = writer.partitionBy(*layout.partition_by)
+    writer.parquet(path)
+    return {name: int(value) for name, value in seen.get.items()}
+
+
+def publish(spark: SparkSession, datasets: dict[str, DataFrame], root: str, parallelism: int = 4) -> dict[str, int]:
+    """B2: write all datasets below ``root``, check them, and write the summary; returns the rows of each."""
+    absent = sorted(set(schemas.REQUIRED_DATASETS) - set(datasets))
+    if absent:
+        raise ValueError(f"datasets to publish are missing: {absent}")
+    extra = audit_counts()
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        jobs = {
+            name: pool.submit(write_dataset, frame, f"{root}/{name}", LAYOUTS.get(name, Layout()), extra.get(name))
+            for name, frame in datasets.items()
         }
-        return version, frames
-
-    def read_targeted(self, dataset: str, wafer_ids, version: int | None = None) -> DataFrame:
-        """Detail rows of the given wafers from one version.
-
-        ``wafer_ids`` is a short list (pushed to Parquet as an IN filter) or a
-        DataFrame with ``physical_wafer_id`` (left-semi join; broadcast by AQE
-        when small).  An empty list gives an empty, typed frame.
-        """
-        if dataset not in schemas.TARGETED_DATASETS:
-            raise ValueError(f"Dataset is not configured for targeted access: {dataset}")
-        version = self.current_version() if version is None else version
-        frame = self.spark.read.parquet(self.manifest(version).datasets[dataset]["path"])
-        if isinstance(wafer_ids, DataFrame):
-            return frame.join(wafer_ids.select("physical_wafer_id").distinct(), "physical_wafer_id", "left_semi")
-        ids = list(dict.fromkeys(wafer_ids))
-        if not ids:
-            return frame.limit(0)
-        return frame.where(F.col("physical_wafer_id").isin(ids))
-
-
-def statistics_dict(stats: DataFrame) -> dict[str, int]:
-    """The (statistic, value) table as a dict (five rows)."""
-    return {r["statistic"]: int(r["value"]) for r in stats.collect()}
+        counted = {name: job.result() for name, job in jobs.items()}
+    rows = {name: c["rows"] for name, c in counted.items()}
+    check(spark, root, rows)
+    statistics = {
+        "physical_wafers": rows["wafer_summary"],
+        "yield_rows": rows["yield_fact"],
+        "final_cohort_wafers": rows["final_component_fact"],
+        **{name: value for c in counted.values() for name, value in c.items() if name != "rows"},
+    }
+    at = datetime.now(timezone.utc).replace(tzinfo=None)
+    lines = [("rows", name, n, at) for name, n in rows.items()] + [("statistic", name, n, at) for name, n in statistics.items()]
+    summary = spark.createDataFrame(lines, "entry string, name string, value long, published_at timestamp_ntz")
+    summary.coalesce(1).write.mode("errorifexists").parquet(f"{root}/{SUMMARY}")
+    return rows
+
+
+def summary(spark: SparkSession, root: str) -> DataFrame:
+    """``(entry, name, value, published_at)``, the rows of every dataset and the statistics; missing where a publication failed."""
+    return spark.read.parquet(f"{root}/{SUMMARY}")
+
+
+def counts(spark: SparkSession, root: str) -> dict[str, int]:
+    """Rows of each dataset as the summary states them (one row per dataset)."""
+    return {r["name"]: r["value"] for r in summary(spark, root).where("entry = 'rows'").collect()}
+
+
+def check(spark: SparkSession, root: str, rows: dict[str, int]) -> None:
+    """Declared columns, row counts, facts with an id and a positive denominator, and ids that match lineage one to one."""
+    for name in schemas.REQUIRED_DATASETS:
+        stored = set(spark.read.parquet(f"{root}/{name}").columns)
+        lacking = [c for c in schemas.DECLARED_COLUMNS[name] if c not in stored]
+        if lacking:
+            raise CheckFailed(f"{name}: no columns {lacking}")
+    if not rows["yield_fact"]:
+        raise CheckFailed("yield_fact: no rows")
+    # Row counts of Parquet come from the footers.
+    tallies = [read(spark, root, name).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name in schemas.REQUIRED_DATASETS]
+    found = {r["name"]: r["n"] for r in reduce(DataFrame.unionByName, tallies).collect()}
+    wrong = {name: (rows[name], n) for name, n in found.items() if n != rows[name]}
+    if wrong:
+        raise CheckFailed(f"rows counted while writing, and found: {wrong}")
+    facts = read(spark, root, "yield_fact")
+    odd = facts.where(F.col("yield_record_id").isNull() | ~F.coalesce(F.col("denominator") > 0, F.lit(False)))
+    if not odd.isEmpty():
+        raise CheckFailed("yield_fact: a row without an id or a positive denominator")
+    # One shuffle proves fact ids unique, lineage ids unique and the 1:1 match.
+    sides = facts.select("yield_record_id", F.lit(1).alias("fact")).unionByName(
+        read(spark, root, "lineage").select("yield_record_id", F.lit(1 << 32).alias("fact"))
+    )
+    unmatched = sides.groupBy("yield_record_id").agg(F.sum("fact").alias("seen")).where(F.col("seen") != (1 << 32) + 1)
+    if not unmatched.isEmpty():
+        raise CheckFailed("yield_fact and lineage: an id that is not once in both")
+
+
+def stored_schema(name: str) -> T.StructType | None:
+    """The declared columns and those of the layout, where folder names would else be given a type by their look."""
+    declared = {"yield_fact": schemas.YIELD_FACT, "failure_fact": schemas.FAILURE_FACT, "lineage": schemas.PLACED_LINEAGE}.get(name)
+    return T.StructType([*declared.fields, T.StructField(YEAR, T.IntegerType())]) if declared else None
+
+
+def read(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """One dataset; facts, failures and lineage also have the year of their folders."""
+    schema = stored_schema(name)
+    reader = spark.read.schema(schema) if schema else spark.read
+    frame = reader.parquet(f"{root}/{name}")
+    return frame.select(*schema.fieldNames()) if schema else frame
+
+
+def load(spark: SparkSession, root: str, names: Iterable[str] = schemas.COMMON_DATASETS) -> dict[str, DataFrame]:
+    """Lazy frames of a complete publication, the detail tables only by name."""
+    summary(spark, root)
+    return {name: read(spark, root, name) for name in names}
+
+
+def read_wafers(spark: SparkSession, root: str, name: str, wafer_ids: DataFrame | Iterable[str]) -> DataFrame:
+    """The detail rows of some wafers.
+
+    ``wafer_ids`` is a short list (an IN filter that reaches Parquet) or a
+    DataFrame with ``physical_wafer_id`` (a left-semi join).  An empty list
+    gives an empty, typed frame.
+    """
+    if name not in schemas.TARGETED_DATASETS:
+        raise ValueError(f"{name} is not read by wafer; one of {schemas.TARGETED_DATASETS} is")
+    frame = read(spark, root, name)
+    if isinstance(wafer_ids, DataFrame):
+        return frame.join(wafer_ids.select("physical_wafer_id").distinct(), "physical_wafer_id", "left_semi")
+    return frame.where(F.col("physical_wafer_id").isin(sorted(set(wafer_ids))))

@@ -1,4 +1,4 @@
-"""The refresh job (B1): source tables → one validated, published version.
+"""The refresh job (B1): source tables → one checked publication.
 
 Execution plan:
 
@@ -11,8 +11,8 @@ Execution plan:
    Each cut is a Parquet table in a fresh folder under ``spark.checkpoint.dir``
    (shared storage on a cluster), so a lost executor recomputes at most one
    step and no step re-runs the whole lineage.
-3. **Publish** every dataset into a new version; the version becomes current
-   only after validation.  A failure anywhere keeps the previous version.
+3. **Publish** every dataset below a new folder; it is complete only with the
+   summary that follows the checks.  A failure anywhere touches no other folder.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from yieldspark import rules, schemas
 from yieldspark.operators import detail, facts, identity, prepared
-from yieldspark.plans.publish import Manifest, VersionStore, statistics_dict
+from yieldspark.plans import publish
 from yieldspark.session import scratch_path
 
 
@@ -101,8 +101,8 @@ def stage_fact_build(
 
 
 def datasets_of(build: StagedBuild, display_rows: list[rules.DisplayRow] | None = None,
-                hot_keys: identity.HotKeyPolicy | None = identity.HotKeyPolicy()) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The eleven published datasets (lazy over the staged build) and the statistics."""
+                hot_keys: identity.HotKeyPolicy | None = identity.HotKeyPolicy()) -> dict[str, DataFrame]:
+    """The eleven published datasets (lazy over the staged build)."""
     plan, master, aliases, resolution = build.plan, build.master, build.aliases, build.resolution
     enriched = plan.enriched
     yield_fact = facts.yield_fact(enriched)
@@ -110,10 +110,10 @@ def datasets_of(build: StagedBuild, display_rows: list[rules.DisplayRow] | None
     audit = identity.identity_audit(plan.annotated)
     wafers = master.select("physical_wafer_id")
     details = build.detail_sources
-    datasets = {
+    return {
         "yield_fact": yield_fact,
         "failure_fact": failure_fact,
-        "lineage": facts.lineage(enriched),
+        "lineage": facts.placed_lineage(enriched),
         "identity_audit": audit,
         "wafer_summary": prepared.wafer_summary(master, yield_fact, prepared.summary_stage_codes(display_rows)),
         "final_component_fact": plan.components,
@@ -127,8 +127,6 @@ def datasets_of(build: StagedBuild, display_rows: list[rules.DisplayRow] | None
             details["sorting_parameter_detail"], aliases, wafers, "sorting_parameter_detail", resolution, hot_keys
         ),
     }
-    stats = prepared.refresh_statistics(master, enriched, plan.components, audit)
-    return datasets, stats
 
 
 def build_datasets(
@@ -138,8 +136,8 @@ def build_datasets(
     display_rows: list[rules.DisplayRow] | None = None,
     stager: Stager | None = None,
     hot_keys: identity.HotKeyPolicy | None = identity.HotKeyPolicy(),
-) -> tuple[dict[str, DataFrame], DataFrame]:
-    """All eleven published datasets (lazy over staged intermediates) and statistics."""
+) -> dict[str, DataFrame]:
+    """All eleven published datasets (lazy over staged intermediates)."""
     build = stage_fact_build(spark, sources, detail_sources, display_rows, stager, hot_keys)
     return datasets_of(build, display_rows, hot_keys)
 
@@ -148,32 +146,28 @@ def refresh(
     spark: SparkSession,
     sources: dict[str, DataFrame],
     detail_sources: dict[str, DataFrame],
-    store: VersionStore,
+    root: str,
     display_rows: list[rules.DisplayRow] | None = None,
-) -> Manifest:
-    """B1: extract → transform → detail → publish; the current version changes only on success."""
+) -> dict[str, int]:
+    """B1: extract → transform → detail → publish below ``root``; returns the rows of each dataset."""
     # wafer_inventory is part of the common extract but no stage reads it.
     needed = [n for n in schemas.COMMON_SOURCES if n != "wafer_inventory"]
     missing = [n for n in needed if n not in sources]
     if missing:
         raise ValueError(f"Missing source tables: {missing}")
-    datasets, stats = build_datasets(spark, sources, detail_sources, display_rows)
-    return store.publish(datasets, statistics_dict(stats))
+    return publish.publish(spark, build_datasets(spark, sources, detail_sources, display_rows), root)
 
 
-def truth_metadata(store: VersionStore, version: int | None = None) -> dict:
-    """Version id, publication time and refresh statistics."""
-    version = store.current_version() if version is None else version
-    manifest = store.manifest(version)
-    return {"version": manifest.version, "published_at": manifest.published_at, "statistics": manifest.statistics}
+def parameter_summary_table(spark: SparkSession, root: str) -> DataFrame:
+    """V14 on a publication: parameter yield from the targeted sorting detail."""
+    rows = publish.read(spark, root, "targeted_sorting_parameter_detail")
+    return detail.parameter_yield_summary(rows).orderBy("yield_rate", "parameter")
 
 
-def parameter_summary_table(store: VersionStore, version: int | None = None) -> DataFrame:
-    """V14 on a published version: parameter yield from the targeted sorting detail."""
-    _, frames = store.load(version, include_targeted=True)
-    return detail.parameter_yield_summary(frames["targeted_sorting_parameter_detail"]).orderBy(
-        "yield_rate", "parameter"
-    )
+def wafer_detail(spark: SparkSession, root: str, stage_code: str, wafer_id: str) -> tuple[DataFrame, str]:
+    """The published detail rows behind a stage's fact of one wafer, with the text that names them."""
+    rows = {name: publish.read_wafers(spark, root, name, [wafer_id]) for name in schemas.TARGETED_DATASETS}
+    return detail.detail_view(stage_code, rows["targeted_chip_detail"], rows["targeted_sorting_parameter_detail"])
 
 
 def export_csv(frame: DataFrame, path: str) -> str:
@@ -199,4 +193,4 @@ def titled_columns(frame: DataFrame) -> list[str]:
     return [c.replace("_", " ").title() for c in frame.columns]
 
 
-__all__ = ["refresh", "build_datasets", "stage_fact_build", "datasets_of", "Stager", "truth_metadata", "export_csv"]
+__all__ = ["refresh", "build_datasets", "stage_fact_build", "datasets_of", "Stager", "wafer_detail", "export_csv"]

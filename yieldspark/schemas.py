@@ -182,6 +182,8 @@ LINEAGE = _struct(
     ("identity_method", S),
     ("transformation_rule", S),
 )
+# Lineage as published: with what places its fact.
+PLACED_LINEAGE = T.StructType([*LINEAGE.fields, T.StructField("stage_code", S, True), T.StructField("event_time", TS, True)])
 IDENTITY_AUDIT = _struct(
     ("source_kind", S),
     ("source_record_id", S),
@@ -242,7 +244,7 @@ REQUIRED_DATASETS = COMMON_DATASETS + TARGETED_DATASETS
 DECLARED_COLUMNS = {
     "yield_fact": YIELD_FACT.fieldNames(),
     "failure_fact": FAILURE_FACT.fieldNames(),
-    "lineage": LINEAGE.fieldNames(),
+    "lineage": PLACED_LINEAGE.fieldNames(),
     "identity_audit": IDENTITY_AUDIT.fieldNames(),
     "final_component_fact": FINAL_COMPONENT_FACT.fieldNames(),
     "filter_domains": FILTER_DOMAINS.fieldNames(),
