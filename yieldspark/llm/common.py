@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ensure_checkpoint_dir, scratch_path
 
-#: Rows of one Arrow batch; with whole texts in the rows this bounds a worker's memory.
-ROWS_PER_BATCH = 1000
+#: Rows and bytes of one Arrow batch, whichever is reached first; one row is never cut.
+ROWS_PER_BATCH, BYTES_PER_BATCH = 1000, 16 << 20
 
 _SHIPPED: set[str] = set()
 
@@ -22,6 +25,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the operators; ships the package to the Python workers once per application."""
     ensure_checkpoint_dir(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ROWS_PER_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BYTES_PER_BATCH))
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     app = spark.sparkContext.applicationId
@@ -59,10 +63,20 @@ def fresh(taken: list[str], wish: str) -> str:
 _TABLES: list[tuple[str, Callable[[], None]]] = []
 
 
+def _hand_back() -> None:
+    """Give freed memory back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def keep_only(owner: str, drop: Callable[[], None]) -> None:
     """Called in a worker by an operator that keeps tables between tasks: drops those of the operator that ran there before."""
     if _TABLES and _TABLES[0][0] != owner:
         _TABLES.pop()[1]()
+        _hand_back()
     if not _TABLES:
         _TABLES.append((owner, drop))
 

@@ -30,7 +30,8 @@ WINDOW = 2048
 OPEN, LEAST_CUT, MERGED = 16, 32, 64
 #: The id that ends a document.
 END = 1
-TABLE_SIZE = 1_000_000
+#: Bytes that a worker's tables of word ids may hold, each.
+TABLE_BYTES = 64 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Characters that str.split() takes for white space and the vocabulary's word pattern doesn't.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
@@ -66,6 +67,7 @@ class WordIds:
         self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)")
         self.table: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
+        self.held = [0, 0]
 
     def _cut(self, text: str) -> tuple[list[str], bool]:
         """Words of a text, and whether they are the vocabulary's own."""
@@ -95,13 +97,17 @@ class WordIds:
                 self.table[w] = np.array(e.ids, dtype="<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.table) > TABLE_SIZE:
-            self.table = {}
-        if len(self.parts) > TABLE_SIZE:
-            self.parts = {}
+        if self.held[0] > TABLE_BYTES:
+            self.parts, self.held[0] = {}, 0
+        if self.held[1] > TABLE_BYTES:
+            self.table, self.held[1] = {}, 0
         cut = [self._cut(t) for t in texts]
-        self._learn_parts(list(set().union(*[w for w, own in cut if own]).difference(self.parts)))
-        self._learn_words(list(set().union(*[w for w, own in cut if not own]).difference(self.table)))
+        parts = list(set().union(*[w for w, own in cut if own]).difference(self.parts))
+        words = list(set().union(*[w for w, own in cut if not own]).difference(self.table))
+        for i, new in enumerate((parts, words)):  # a word, its ids, and what Python adds to both
+            self.held[i] += sum(220 + 4 * len(w) for w in new)
+        self._learn_parts(parts)
+        self._learn_words(words)
         part, word = self.parts.__getitem__, self.table.__getitem__
         return [b"".join(map(part if own else word, words)) for words, own in cut]
 

@@ -34,7 +34,8 @@ PREFIX, SHAPE_SCALE = 5, 8.0
 GRADES = 3
 #: A document stays if it has the top grade with at least this probability.
 KEEP = 0.5
-TABLE_SIZE = 250_000
+#: Bytes that a table of words may hold; it lives as long as its task.
+TABLE_BYTES = 64 << 20
 _SHAPE = str.maketrans({**dict.fromkeys(map(chr, range(ord("a"), ord("z") + 1)), "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "9")})
 _PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
@@ -82,17 +83,19 @@ class Features:
 
     def __init__(self):
         self.table: dict[str, tuple[int, int, int]] = {}
+        self.held = 0
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Buckets and values of a text: distinct words 1, shapes by share of the words, measures 1."""
         words = text.split()
-        if len(self.table) > TABLE_SIZE:
-            self.table = {}
+        if self.held > TABLE_BYTES:
+            self.table, self.held = {}, 0
         table = self.table
         once = set(words)
         for w in once:
             if w not in table:
                 table[w] = _buckets(w)
+                self.held += 360 + 4 * len(w)
         present = {table[w][0] for w in once} | {table[w][1] for w in once}
         shapes = np.fromiter((table[w][2] for w in words), np.int64, len(words))
         s, n = np.unique(shapes, return_counts=True)
@@ -102,7 +105,6 @@ class Features:
 
 
 def _features(batches):
-    keep_only("quality", lambda: None)
     features = Features()
     for batch in batches:
         out = [(g, s, *features.of(t or "")) for _, t, g, s in text_chunks(batch, ["doc_id", "text", "grade", "shard"])]
@@ -201,32 +203,46 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, shards: int =
     return OrdinalModel({r["bucket"]: r["w"] / n for r in rows if r["bucket"] >= 0}, [c for _, c in cuts])
 
 
-def _score(weights: dict[int, float], cuts: list[float], keep: float):
-    model = OrdinalModel(weights, cuts)
+class Scorer:
+    """Scores of texts under a model, with the parts of the words met kept in a bounded table."""
 
+    def __init__(self, model: OrdinalModel):
+        self.model = model
+        self.table: dict[str, tuple[tuple, float]] = {}
+        self.held = 0
+
+    def tails(self, texts: list[str | None]) -> np.ndarray:
+        """``P(grade >= j)`` of each text, a column for each j from 1; all 1 where the model has no cuts."""
+        if not self.model.cuts:
+            return np.ones((len(texts), GRADES - 1))
+        return self.model.tails(np.array([self._score(t or "") for t in texts]))
+
+    def _score(self, text: str) -> float:
+        if self.held > TABLE_BYTES:
+            self.table, self.held = {}, 0
+        table, get = self.table, self.model.weights.get
+        words = text.split()
+        once = set(words)
+        present: dict[int, float] = {}
+        for w in once:
+            if (got := table.get(w)) is None:
+                a, b, c = _buckets(w)
+                got = table[w] = (tuple((k, x) for k in (a, b) if (x := get(k))), get(c, 0.0))
+                self.held += 360 + 4 * len(w)
+            if got[0]:
+                present.update(got[0])
+        shapes = SHAPE_SCALE * sum([table[w][1] for w in words]) / max(1, len(words))
+        marks = sum(get(_bucket("measure", m), 0.0) for m in _measures(text, words, len(once)))
+        return sum(present.values()) + shapes + marks
+
+
+def _grades(model: OrdinalModel, keep: float):
     def run(batches):
-        keep_only("quality", lambda: None)
-        table: dict[str, tuple[tuple, float]] = {}
-        get = weights.get
+        keep_only("quality", lambda: None)  # another operator's tables go
+        scorer = Scorer(model)
         for batch in batches:
-            rows, scores = list(text_chunks(batch, ["doc_id", "text"])), []
-            if len(table) > TABLE_SIZE:
-                table = {}
-            for _, text in rows:
-                words = (text or "").split()
-                once = set(words)
-                present: dict[int, float] = {}
-                for w in once:
-                    if (got := table.get(w)) is None:
-                        a, b, c = _buckets(w)
-                        got = table[w] = (tuple((k, x) for k in (a, b) if (x := get(k))), get(c, 0.0))
-                    if got[0]:
-                        present.update(got[0])
-                shapes = SHAPE_SCALE * sum([table[w][1] for w in words]) / max(1, len(words))
-                marks = sum(get(_bucket("measure", m), 0.0) for m in _measures(text or "", words, len(once)))
-                scores.append(sum(present.values()) + shapes + marks)
-            tails = model.tails(np.array(scores)) if cuts else np.ones((len(rows), GRADES - 1))
-            columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array(tails.sum(axis=1), pa.float64())]
+            tails = scorer.tails(batch.column("text").to_pylist())
+            columns = [batch.column("doc_id"), pa.array(tails.sum(axis=1), pa.float64())]
             columns += [pa.array(tails[:, j], pa.float64()) for j in range(GRADES - 1)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(tails[:, -1] >= keep, pa.bool_())], names=["doc_id", "expected_grade", "p_ge_1", "p_ge_2", "kept"])
 
@@ -241,20 +257,20 @@ def grade_documents(docs: DataFrame, labels: DataFrame, keep: float = KEEP, mode
     """
     model = model or fit(docs, labels)
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(
-        _score(model.weights, model.cuts, keep), "doc_id long, expected_grade double, p_ge_1 double, p_ge_2 double, kept boolean"
+        _grades(model, keep), "doc_id long, expected_grade double, p_ge_1 double, p_ge_2 double, kept boolean"
     )
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't reject, with all their columns; one pass, no shuffle."""
     model = fit(docs, labels)
-    fields, text_at = docs.schema, next((c for c in docs.columns if c.lower() == "text"))
-    score = _score(model.weights, model.cuts, keep)
+    fields, text_at = docs.schema, next(c for c in docs.columns if c.lower() == "text")
 
     def run(batches: Iterable[pa.RecordBatch]):
+        keep_only("quality", lambda: None)  # another operator's tables go
+        scorer = Scorer(model)
         for batch in batches:
-            slim = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), batch.column(batch.schema.get_field_index(text_at))], names=["doc_id", "text"])
-            kept = next(score([slim])).column(4)
-            yield batch.filter(kept)
+            tails = scorer.tails(batch.column(batch.schema.get_field_index(text_at)).to_pylist())
+            yield batch.filter(pa.array(tails[:, -1] >= keep))
 
     return docs.mapInArrow(run, fields)

@@ -31,24 +31,29 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keep_only, text_chunks, written
+from .common import fresh, keep_only, text_chunks, written
 from .components import connected_components
 
 #: Buckets of the shingle counts (fixed, so their size is bounded), slices in which they are added up, 64-bit words of a parity bitmap.
 BUCKETS, SLICES, WORDS64 = 2**22, 1024, 16
 #: Bits of the map of documents whose sets are compared, which saves reading the others (fixed as well).
 WANTED = 2**24
-TABLE_SIZE = 400_000
+#: Bytes that a worker's table of word hashes may hold.
+TABLE_BYTES = 64 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
 class _Words(dict):
+    held = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= TABLE_SIZE:
+        self.held += 180 + len(word)
+        if self.held > TABLE_BYTES:
             self.clear()
+            self.held = 180 + len(word)
         got = self[word] = xxhash.xxh3_64_intdigest(word)
         return got
 
@@ -110,7 +115,18 @@ def prefix_size(n: int, percent: int) -> int:
     return n + (-(percent * n) // 100) + 1
 
 
-_PROFILE = "uid long, doc_id long, n_shingles long, digest binary, bitmap array<long>, prefix array<long>"
+def size_limits(percent: int) -> np.ndarray:
+    """Least sizes of the size classes: a set links only with sets of its own class and those beside it.
+
+    A class ends where a set that links with its first one still fits, in whole numbers.
+    """
+    limits = [1]
+    while limits[-1] < 2**40:
+        limits.append(100 * limits[-1] // percent + 1)
+    return np.array(limits, np.int64)
+
+
+_PROFILE = "uid long, doc_id long, n_shingles long, digest binary, bitmap array<long>, size_class int, prefix array<long>"
 
 
 def _digest(s: np.ndarray) -> bytes:
@@ -120,24 +136,25 @@ def _digest(s: np.ndarray) -> bytes:
 def _profiles(n: int, percent: int, counts):
     def run(batches):
         keep_only("setjoin", _TABLE.clear)
-        level = counts.value
+        level, limits = counts.value, size_limits(percent)
         for batch in batches:
             out = []
             for uid, doc, text in text_chunks(batch, ["uid", "doc_id", "text"]):
                 s = shingles(text, n)
                 if doc is None or not len(s):
-                    out.append((uid, doc, len(s), None, None, None))
+                    out.append((uid, doc, len(s), None, None, None, None))
                     continue
                 bits = np.bincount((s >> np.uint64(40)).astype(np.int64) & (64 * WORDS64 - 1), minlength=64 * WORDS64) & 1
                 order = np.lexsort((s, level[(s & np.uint64(BUCKETS - 1)).astype(np.int64)]))
                 out.append((
                     uid, doc, len(s), _digest(s),
                     np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64),
+                    int(np.searchsorted(limits, len(s), side="right")),
                     s[order[: prefix_size(len(s), percent)]].view(np.int64),
                 ))
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, types, strict=True)],
+                [pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)],
                 names=[c.split()[0] for c in _PROFILE.split(", ")],
             )
 
@@ -229,15 +246,16 @@ class JaccardJoin:
     def _lists(self, classes: DataFrame) -> DataFrame:
         """Index entries of prefix shingles that several rows have, one row of each set taking part.
 
-        The rows are counted with their repetitions, which spares moving the
-        prefixes twice; a list left with one set gives no pair.
+        The entries of all rows move once, to their shingle, where they are
+        counted with their repetitions and those without company are left out;
+        only what is left is joined with the rows that take part.  A list left
+        with one set gives no pair.
         """
-        reps = self.rows.select("uid", "n_shingles", "prefix").join(classes.select("uid"), "uid", "left_semi")
-        entries = reps.select(
-            F.col("uid").alias("id"), F.col("n_shingles").alias("n"), F.posexplode("prefix").alias("pos", "token")
-        ).withColumn("size_class", F.floor(F.log("n") / F.lit(float(np.log(100.0 / self.percent)))).cast("int"))
-        shared = self.rows.select(F.explode("prefix").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
-        return written(entries.join(shared, "token"), "index-lists")
+        entries = self.rows.where("digest is not null").select(
+            F.col("uid").alias("id"), F.col("n_shingles").cast("int").alias("n"), "size_class", F.posexplode("prefix").alias("pos", "token")
+        )
+        counted = entries.withColumn("m", F.count("*").over(Window.partitionBy("token"))).where("m > 1")
+        return written(counted.join(classes.select(F.col("uid").alias("id")), "id", "left_semi"), "index-lists")
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """Profiles of all rows with their class's ``uid`` and ``rep`` (its smallest document), and components of the classes that link."""
@@ -354,6 +372,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFr
 
 def keep_one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents whose component holds a smaller id; of rows with one id and text, all go or stay."""
-    found = jaccard_components(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = fresh(docs.columns, "__gone")
+    found = jaccard_components(docs, n, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(gone)).distinct()
     id_at = next(c for c in docs.columns if c.lower() == "doc_id")
-    return docs.join(found, docs[id_at].cast("long") == F.col("__gone"), "left_anti")
+    return docs.join(found, docs[id_at].cast("long") == F.col(gone), "left_anti")
