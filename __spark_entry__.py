@@ -409,6 +409,56 @@ def q_stream_weekly_yield(spark, sf):
     )
 
 
+def q_facts_in_display_order(spark, sf):
+    """O1: every fact's position by (display order, event time, wafer, id)."""
+    from yieldspark.operators.ordered import with_position
+
+    rows = _facts(spark, sf).select("yield_record_id", "stage_code", "display_order", "event_time", "physical_wafer_id")
+    return with_position(rows, [F.asc("display_order"), F.asc("event_time"), F.asc("physical_wafer_id"), F.asc("yield_record_id")])
+
+
+def q_pareto_in_order(spark, sf):
+    """O2: stage ascending, quantity descending, family as the tiebreak."""
+    from yieldspark.operators.ordered import with_position
+
+    rows = published(spark, sf, "prebuilt_pareto").withColumn("failure_quantity", F.round("failure_quantity", 6))
+    return with_position(rows, [F.asc("stage_code"), F.desc("failure_quantity"), F.asc("failure_family")])
+
+
+def q_parameters_in_order(spark, sf):
+    """Parameters, the worst first."""
+    from yieldspark.operators.ordered import with_position
+
+    return with_position(q_parameter_yield_summary(spark, sf), [F.asc("yield_rate"), F.asc("parameter")])
+
+
+def q_population_in_order(spark, sf):
+    """A cell's records, the worst first, as its listing shows them."""
+    from yieldspark.operators.ordered import with_position
+
+    order = [F.asc("yield_rate"), F.asc("source_kind"), F.asc("source_record_id")]
+    return with_position(q_cell_lineage(spark, sf), order)
+
+
+def q_matrix_by_settings(spark, sf):
+    """The matrix of settings that differ from the defaults."""
+    from yieldspark.settings import matrix, settings
+
+    return matrix(_facts(spark, sf), settings(spark, period_mode="Quarter", max_periods=4, product_family="BUILDING"))
+
+
+def q_approximate_wafers(spark, sf):
+    """Distinct wafers by stage from merged weekly sketches: the exact count, and whether the sketch keeps its bound."""
+    from yieldspark.operators import sketches
+
+    rows = published(spark, sf, "yield_fact")
+    near = sketches.approximate_wafers(sketches.wafer_sketches(rows, "Week"), ["stage_code"])
+    exact = rows.groupBy("stage_code").agg(F.count_distinct("physical_wafer_id").alias("wafers"))
+    return near.join(exact, "stage_code").select(
+        "stage_code", "wafers", sketches.within_bound(F.col("approximate_wafers"), F.col("wafers")).alias("within_bound")
+    )
+
+
 def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "flagship_chip_weekly_yield": q_flagship_chip_weekly_yield,
@@ -445,6 +495,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "matrix_year": q_matrix("Year"),
         "matrix_filtered": q_matrix_filtered,
         "matrix_wide_month": q_matrix_wide_month,
+        "matrix_by_settings": q_matrix_by_settings,
         "cell_population": q_cell_population,
         "cell_kpis": q_cell_kpis,
         "cell_pareto": q_cell_pareto(rules.DEFAULT_TOP_N),
@@ -465,6 +516,11 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "published_targeted_read": q_published_targeted_read,
         "validate_version": q_validate_version,
         "published_statistics": q_published_statistics,
+        "facts_in_display_order": q_facts_in_display_order,
+        "pareto_in_order": q_pareto_in_order,
+        "parameters_in_order": q_parameters_in_order,
+        "population_in_order": q_population_in_order,
+        "approximate_wafers": q_approximate_wafers,
         "incremental_yield_fact": q_incremental(facts.yield_fact),
         "incremental_failure_fact": q_incremental(facts.failure_fact),
         "incremental_lineage": q_incremental(facts.lineage),
@@ -713,6 +769,21 @@ def oracle_sql() -> dict[str, str]:
     )
     sql["csv_export_roundtrip"] = sql["cell_lineage"]
     sql["published_statistics"] = sql["refresh_statistics"]
+    sql["facts_in_display_order"] = O.with_ctes(
+        "SELECT yield_record_id, stage_code, display_order, event_time, physical_wafer_id, row_number() OVER "
+        "(ORDER BY display_order, event_time NULLS FIRST, physical_wafer_id, yield_record_id) AS position FROM yield_fact"
+    )
+    sql["pareto_in_order"] = (
+        f"SELECT *, row_number() OVER (ORDER BY stage_code, failure_quantity DESC, failure_family) AS position FROM ({sql['prebuilt_pareto']})"
+    )
+    sql["parameters_in_order"] = f"SELECT *, row_number() OVER (ORDER BY yield_rate, parameter) AS position FROM ({sql['parameter_yield_summary']})"
+    sql["population_in_order"] = (
+        f"SELECT *, row_number() OVER (ORDER BY yield_rate, source_kind, source_record_id) AS position FROM ({sql['cell_lineage']})"
+    )
+    sql["matrix_by_settings"] = _matrix_sql("Quarter", "product_family = 'BUILDING'", 4)
+    sql["approximate_wafers"] = O.with_ctes(
+        "SELECT stage_code, count(DISTINCT physical_wafer_id) AS wafers, true AS within_bound FROM yield_fact GROUP BY stage_code"
+    )
     sql["incremental_yield_fact"] = sql["stored_sources_yield_fact"] = sql["yield_fact"]
     sql["incremental_failure_fact"] = sql["failure_fact"]
     sql["incremental_lineage"] = sql["lineage"]
