@@ -222,3 +222,25 @@ def test_pipeline_stages(llm):
     pieces = corpus_pipeline.run(llm, SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(pieces.columns)
     assert pieces.select("doc_id").distinct().count() == out.select("doc_id").distinct().count()
+
+
+def test_size_classes_lose_no_link_at_the_threshold():
+    for percent in (10, 50, 80, 90, 99):
+        limits = setjoin.size_limits(percent)
+        place = lambda n: int(np.searchsorted(limits, n, side="right"))
+        for n in [*range(1, 400), 1000, 12_345, 999_999]:
+            assert place(100 * n // percent) - place(n) in (0, 1)
+
+
+def test_sets_at_a_whole_ratio_are_linked(llm):
+    few = " ".join(f"w{i}" for i in range(100))
+    many = " ".join(f"w{i}" for i in range(1000))
+    docs = llm.createDataFrame([(1, few), (2, many), (3, "other words here")], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in setjoin.jaccard_components(docs, n=1, percent=10).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
+
+
+def test_one_of_each_with_clashing_columns(llm):
+    rows = [(1, "a b c d e f g h", 1, 2), (2, "a b c d e f g h", 3, 4), (3, "z", 5, 6)]
+    docs = llm.createDataFrame(rows, "doc_id long, text string, __gone long, component_id long")
+    assert sorted(r.doc_id for r in setjoin.keep_one_of_each(docs).collect()) == [1, 3]
