@@ -10,6 +10,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from yieldspark.llm import bpe, packing, pii, token_counts
@@ -140,3 +141,28 @@ def test_redaction(llm):
     assert out[1].text == "Call me [PHONE] or mail [EMAIL] now"
     assert out[2].text == "x [EMAIL] [PHONE]" and out[2].n_chars == 17
     assert out[3].text is None and out[4].n_chars == 10
+
+
+def test_a_wrong_check_digit_speaks_against_a_card(llm):
+    random.seed(9)
+    base = [(i, f"card 4111 1111 1111 1111 or mail a{i}@b.com from 10.0.0.{i}") for i in range(40)]
+    wrong = [(100 + i, f"number {random.choice('45')}{random.randrange(10**14, 10**15)}") for i in range(60)]
+    wrong = [(i, t + str((int(t[-1]) + 5) % 10)) for i, t in wrong]
+    wrong = [(i, t) for i, t in wrong if base_spans(t) == []]
+    docs = llm.createDataFrame(base + wrong, "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    assert all(got[i].spans == "" for i, _ in wrong) and all(got[i].n_card == 1 for i, _ in base)
+
+
+def test_reliabilities_follow_planted_votes(llm):
+    """EM rates a labeler that agrees with the others above one that votes at random."""
+    random.seed(3)
+    rows = []
+    for i in range(400):
+        good = i % 2 == 0
+        mail = f"mail {'x' * (i % 7 + 1)}@host{i}.{'com' if good else 'qqzz'}"
+        rows.append((i, mail if good else f"version {i}@{'y' * (i % 5 + 1)}.qqzz"))
+    found = llm.createDataFrame(rows, "doc_id long, text string").select(pii.candidates(F.col("text")).alias("found"))
+    model = pii.fit(found)
+    ratio = lambda name: model.reliability[name][1][0] / model.reliability[name][1][1]
+    assert ratio("gazetteer") > 2 and ratio("context") > 2 and 0.5 < ratio("pattern") < 2

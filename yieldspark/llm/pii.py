@@ -3,7 +3,8 @@
 Base spans follow fixed patterns and checks.  Looser patterns propose further
 candidates: obfuscated addresses, numbers in national form, card numbers with
 a wrong check digit, addresses of version 6.  Labelers vote on every
-candidate: the strict pattern, a gazetteer, the words before it, its format.
+candidate: the strict pattern, a gazetteer, the words before it, its format,
+and its check digit where the kind has one.
 Expectation-maximisation over the table of vote patterns (its size doesn't
 depend on the data) estimates how reliable each labeler is and how likely each
 pattern is personal data; these likelihoods train the final classifier of
@@ -64,12 +65,12 @@ CUES = {
 AGAINST = "version|isbn|order|serial|ticket|invoice|figure|section|build|sku|doi"
 TOP_LEVEL = "com|org|net|edu|gov|info|biz|io|de|fr|es|uk|us|eu|it|nl|ch|at|ca|au|jp|cn|br|mx|in"
 ISSUERS = "4|5[1-5]|2[2-7]|3[47]|6011|65"
-LABELERS = ("pattern", "gazetteer", "context", "format")
+LABELERS = ("pattern", "gazetteer", "context", "format", "check")
 #: Characters before a span that the context labeler reads; rounds of EM and of the classifier; its bar.
 BEFORE, ROUNDS, STEPS, ACCEPT = 32, 30, 300, 0.5
 
 _SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
-_CANDIDATE = "array<struct<start:int,kind:int,end:int,form:int,pattern:int,gazetteer:int,context:int,format:int,left:int,right:int>>"
+_CANDIDATE = "array<struct<start:int,kind:int,end:int,form:int,pattern:int,gazetteer:int,context:int,format:int,check:int,left:int,right:int>>"
 
 
 def _let(value: Column, body) -> Column:
@@ -174,6 +175,11 @@ def _format(kind: str, v: Column) -> Column:
     return _vote(v.rlike(r"[\x20.()-]"), v.rlike(r"[\x20.()-]{4}"))
 
 
+def _check(kind: str, v: Column) -> Column:
+    """The check digit speaks for a card or against it; other kinds have none."""
+    return _vote(luhn(_digits(v))) if kind == "card" else F.lit(0)
+
+
 def _class(c: Column) -> Column:
     """0 end of text or space, 1 letter, 2 digit, 3 other."""
     return F.when((c == "") | c.rlike(r"^\s"), 0).when(c.rlike(r"^\p{L}"), 1).when(c.rlike("^[0-9]"), 2).otherwise(3)
@@ -187,6 +193,7 @@ def _candidate(kind: str, form: int):
             F.lit(1 if form == 0 else 0).alias("pattern"), _gazetteer(kind, x["value"]).alias("gazetteer"),
             _vote(before.rlike(rf"\b(?:{CUES[kind]})"), before.rlike(rf"\b(?:{AGAINST})\P{{L}}*$")).alias("context"),
             _format(kind, x["value"]).alias("format"),
+            _check(kind, x["value"]).alias("check"),
             _class(F.right(x["before"], F.lit(1))).alias("left"),
             _class(x["after"]).alias("right"),
         )
