@@ -184,6 +184,18 @@ def test_urls(llm):
     }
 
 
+def test_a_list_beyond_one_constant_is_split_into_shares(llm):
+    rows = [(i, f"http://{'m.' if i % 3 == 0 else ''}h{i % 400}.org/{i}", "x") for i in range(1200)] + [(None, None, None), (7, "http://x.net/fr/", "x")]
+    pages = llm.createDataFrame(rows, "page_id long, url string, verdict string")
+    hosts = url_filter.mobile_hosts(pages)
+    judged = lambda **k: sorted(map(repr, url_filter.judge(pages, hosts, **k).collect()))
+    whole = judged()
+    many = url_filter.build_cascades(hosts, pages.select(url_filter.host_and_path(F.col("url"))[0].alias("key")), 3, most_bits=4096)
+    assert len(many) > 1 and judged(most_bits=4096) == whole
+    assert sum("verdict='block'" in r for r in whole) == 401
+    assert url_filter.judge(pages.limit(0), hosts).count() == 0
+
+
 def test_ordinal_regression_recovers_order():
     rng = np.random.default_rng(0)
     n, size = 600, 12

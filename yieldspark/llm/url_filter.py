@@ -4,7 +4,10 @@ The first level holds the listed keys; the second those other keys of the
 corpus that pass the first by mistake; the third the listed keys that pass the
 second; and so on, until no key passes by mistake.  Over the complete universe
 of the corpus's keys the cascade's answer is exact, and it is a constant of
-the plan: looking a key up needs no join.
+the plan: looking a key up needs no join.  A list too long for one constant
+is split by a hash of the key into as many cascades as it needs, each over its
+share of the keys; a url goes to the cascade of its host's share, one pass a
+share, so no size fails and no plan holds more than one share's constant.
 
 Rules are keys too: a url's possible rules are its host's suffixes with as
 many labels as some rule has, with its path's prefixes as long as some rule's.
@@ -13,6 +16,7 @@ many labels as some rule has, with its path's prefixes as long as some rule's.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +31,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Hash functions of a level after the first (its false positive rate is two to the power of minus that); bits of all levels at most.
-HASHES, MOST_BITS = 4, 2**26
+#: Hash functions of a level after the first (its false positive rate is two to the power of minus that); bits that the largest level of a cascade is planned to have at most.
+HASHES, MOST_HASHES, MOST_BITS = 4, 16, 2**25
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,8 +57,6 @@ class Level:
 
 def _level(keys: DataFrame, n: int, hashes: int, salt: int) -> Level:
     level = Level(64 * max(1, -(-int(n * hashes * 1.45) // 64)), hashes, [], salt)
-    if level.bits > MOST_BITS:
-        raise ValueError(f"a level of {n} keys needs {level.bits} bits; {MOST_BITS} are allowed for a constant of the plan")
     word = F.floor(F.col("p") / 64)
     rows = (
         keys.select(F.explode(level.places(F.col("key"))).alias("p"))
@@ -91,7 +93,7 @@ def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 0) -> Casc
     levels: list[Level] = []
     while sizes[len(levels) % 2]:
         i = len(levels)
-        hashes = HASHES if i else min(16, max(2, (sizes[1] // sizes[0]).bit_length() + 1))
+        hashes = HASHES if i else min(MOST_HASHES, max(2, (sizes[1] // sizes[0]).bit_length() + 1))
         levels.append(_level(sides[i % 2], sizes[i % 2], hashes, 1000 * salt + i))
         # the other side's keys that pass by mistake come next
         sides[1 - i % 2] = written(sides[1 - i % 2].where(levels[-1].holds(F.col("key"))), "filter-keys")
@@ -99,6 +101,19 @@ def build_cascade(listed: DataFrame, universe: DataFrame, salt: int = 0) -> Casc
     return Cascade(levels)
 
 
+def share(key: Column, shares: int) -> Column:
+    return F.pmod(F.xxhash64(key, F.lit(-7)), F.lit(shares))
+
+
+def build_cascades(listed: DataFrame, universe: DataFrame, salt: int = 0, most_bits: int = MOST_BITS) -> list[Cascade]:
+    """A cascade for each share of the keys, of a number that keeps every level near ``most_bits`` or below."""
+    n = listed.select("key").where("key is not null").distinct().count()
+    shares = max(1, -(-int(n * MOST_HASHES * 1.45) // most_bits))
+    if shares == 1:
+        return [build_cascade(listed, universe, salt)]
+    return [build_cascade(listed.where(share(F.col("key"), shares) == i), universe.where(share(F.col("key"), shares) == i), salt) for i in range(shares)]
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """Host (A-Z lowered) and path of a url; both empty without ``://``."""
     rest = F.substring(url, F.instr(url, "://") + 3, F.length(url))
@@ -117,7 +132,7 @@ def rule_keys(host: Column, path: Column, rules=RULES) -> Column:
     return F.array_distinct(F.array_compact(F.array(*keys)))
 
 
-def judge(pages: DataFrame, listed_hosts: DataFrame | None = None, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, listed_hosts: DataFrame | None = None, rules=RULES, most_bits: int = MOST_BITS) -> DataFrame:
     """``(page_id, host, path, rule, verdict)`` per row.
 
     The longest rule that fits decides.  Urls without a rule are blocked if
@@ -134,12 +149,19 @@ def judge(pages: DataFrame, listed_hosts: DataFrame | None = None, rules=RULES)
     any_rule = build_cascade(named, keys, 1)
     blocked = build_cascade(named.where("v = 'block'"), keys, 2)
     hosts = rows.select(F.col("host").alias("key"))
-    listed = build_cascade(listed_hosts if listed_hosts is not None else hosts.limit(0), hosts, 3)
+    listed = build_cascades(listed_hosts if listed_hosts is not None else hosts.limit(0), hosts, 3, most_bits)
     fit = F.filter(rule_keys(F.col("host"), F.col("path"), rules), any_rule.listed)
     longest = F.array_max(F.transform(fit, lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"))))["rule"]
     judged = rows.withColumn("rule", longest)
-    block = F.when(F.col("rule").isNotNull(), blocked.listed(F.col("rule"))).otherwise(listed.listed(F.col("host")))
-    return judged.withColumn("verdict", F.when(block, "block").otherwise("allow"))
+
+    def with_verdict(rows: DataFrame, cascade: Cascade) -> DataFrame:
+        block = F.when(F.col("rule").isNotNull(), blocked.listed(F.col("rule"))).otherwise(cascade.listed(F.col("host")))
+        return rows.withColumn("verdict", F.when(block, "block").otherwise("allow"))
+
+    if len(listed) == 1:
+        return with_verdict(judged, listed[0])
+    mine = share(F.col("host"), len(listed))
+    return reduce(DataFrame.unionByName, [written(with_verdict(judged.where(mine == i), c), "judged-urls") for i, c in enumerate(listed)])
 
 
 def mobile_hosts(pages: DataFrame) -> DataFrame:
