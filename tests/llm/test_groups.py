@@ -114,19 +114,65 @@ def test_hot_filter_is_split_into_blocks(llm, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(59, 0)}
 
 
-def test_top_k(llm, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK", 150)
-    monkeypatch.setattr(topk, "RESOLVE", 4)
-    rows = near_rows(700) + [(701, None, 1), (702, [float("inf")] * 16, 1), (703, [None] + [1.0] * 15, 1)]
-    q = topk.quantized(vectors(llm, rows))
+def ranked_by_score(rows, queries, k=5):
+    """Brute force over ``(id, whole numbers)``."""
+    out = {}
+    for i, q in dict(queries).items():
+        scores = sorted((-sum(int(a) * int(b) for a, b in zip(q, v, strict=True)), j) for j, v in rows if j != i and len(v) == len(q))
+        out[i] = [(j, -s) for s, j in scores[:k]]
+    return {i: got for i, got in out.items() if got}
+
+
+def found_by_query(frame):
     got: dict[int, list] = {}
-    for r in topk.top_k(q, q.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect():
+    for r in frame.orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
-    x = np.floor(256 * np.array([r[1] for r in rows[:700]]))
-    for i in range(0, 700, 50):
-        s = x @ x[i]
-        best = [j for j in np.lexsort((np.arange(700), -s)) if j != i][:5]
-        assert got[i] == [(int(j), int(s[j])) for j in best]
+        assert r.rank == len(got[r.query_id])
+    return got
+
+
+def test_top_k(llm):
+    rows = near_rows(700) + [(701, None, 1), (702, [float("inf")] * 16, 1), (703, [None] + [1.0] * 15, 1)]
+    whole = np.floor(256 * np.array([r[1] for r in rows[:700]]))
+    best = rows[1 + int(np.argmax((whole @ whole[0])[1:]))][1]
+    rows += [(710, best, 1), (711, best, 1), (711, best, 1), (712, [2.0, 3.0], 1), (750, [1.0, 1.0], 1), (800, [], 1)]  # ties, repeats, other dimensions
+    q = topk.quantized(vectors(llm, rows))
+    want = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in rows if i < 700 or i > 703]
+    for block in (150, 4096):
+        got = found_by_query(topk.top_k(q, q.where("vec_id % 50 = 0"), block=block))
+        assert got == {i: g for i, g in ranked_by_score([w for w in want if w[1]], [w for w in want if w[0] % 50 == 0 and w[1]]).items()}
+    assert len({s for _, s in got[0][:4]}) == 1 and [i for i, _ in got[0]][1:4] == [710, 711, 711]
+    clash = q.withColumn("block", F.lit(1)).withColumn("bar", F.lit(2.0)).withColumn("score", F.lit("x"))
+    assert found_by_query(topk.top_k(clash, clash.where("vec_id % 50 = 0"))) == got
+
+
+def test_top_k_of_large_numbers_is_exact_or_an_error(llm):
+    big = [(i, [3e12 + i / 256, -2e12, 0.25 * i], 1) for i in range(12)]
+    q = topk.quantized(vectors(llm, big))
+    with pytest.raises(Exception, match="too large for a long"):
+        topk.top_k(q, q.where("vec_id % 50 = 0")).collect()
+    large = [(i, [1.1e6 + i / 256, -1e6 + i / 128, 0.25 * i], 1) for i in range(80)]
+    q = topk.quantized(llm.createDataFrame(large, "vec_id long, embedding array<double>, label int"))
+    want = [(i, [int(np.floor(256 * x)) for x in v]) for i, v, _ in large]
+    assert found_by_query(topk.top_k(q, q.where("vec_id % 50 = 0"))) == ranked_by_score(want, [w for w in want if w[0] % 50 == 0])
+    with pytest.raises(Exception, match="too large"):
+        topk.quantized(llm.createDataFrame([(1, [1e300])], "vec_id long, embedding array<double>")).collect()
+
+
+def test_bounds_decide_before_the_lists_are_read():
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/sf0.01/embeddings.parquet")
+    x, ids = np.floor(256 * np.array(table["embedding"].to_pylist(), np.float64)).astype(np.int64), np.array(table["vec_id"])
+    alone, barred = topk.Block(x, ids), topk.Block(x, ids)
+    for i in np.flatnonzero(ids % 50 == 0):
+        got = alone.search(x[i], int(ids[i]), 5)
+        assert barred.search(x[i], int(ids[i]), 5, float(got[-1][1])) == got
+    assert alone.cells_read < 0.75 * alone.cells and barred.cells_read < 0.55 * barred.cells
+
+
+def test_top_k_of_empty_tables(llm):
+    q = topk.quantized(vectors(llm, near_rows(20)))
     assert topk.top_k(q.limit(0), q).count() == 0
 
 
