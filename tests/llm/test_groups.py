@@ -253,6 +253,33 @@ def test_ordinal_regression_recovers_order():
     assert cuts[0] < cuts[1] and np.corrcoef(w, np.linspace(-3, 3, size))[0, 1] > 0.95
 
 
+def test_scores_equal_the_sum_over_features():
+    """The scorer's table of words against the model applied to the features that it was fitted on."""
+    rng = np.random.default_rng(4)
+    texts = ["One two two, three. 12", "", None, "zz " * 300, "línea\nlínea\nlínea x", "a\tb  c\x85d", "UPPER lower Mixed 1st 2nd!!"]
+    features = quality.Features()
+    seen = sorted({int(b) for t in texts for b in features.of(t or "")[0]})
+    weights = {b: float(w) for b, w in zip(seen, rng.standard_normal(len(seen)), strict=True) if rng.random() < 0.8}
+    model = quality.OrdinalModel(weights, [-0.5, 0.75])
+    scorer = quality.Scorer(model)
+    want = []
+    for t in texts:
+        at, value = features.of(t or "")
+        score = sum(weights.get(int(b), 0.0) * v for b, v in zip(at, value, strict=True))
+        want.append([1 - 1 / (1 + np.exp(-(cut - score))) for cut in model.cuts])
+    for _ in range(2):  # words new, then from the table
+        assert np.allclose(scorer.tails(texts), want, atol=1e-12)
+    assert (quality.Scorer(quality.OrdinalModel({}, [])).tails(texts) == 1).all()
+
+
+def test_quality_of_empty_and_odd_tables(llm):
+    docs = llm.createDataFrame([(1, "good text here", 5), (1, "good text here", 6), (None, None, 7)], "doc_id long, text string, kept int")
+    none = llm.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.grade_documents(docs.limit(0), none).count() == 0
+    assert [r.kept for r in quality.grade_documents(docs, none).collect()] == [True] * 3  # nothing to learn from
+    assert quality.keep_good(docs, none).columns == docs.columns and quality.keep_good(docs, none).count() == 3
+
+
 def test_quality_on_held_out_documents(llm):
     docs, labels = (llm.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rated = quality.grades(labels)

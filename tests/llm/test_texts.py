@@ -53,6 +53,13 @@ def test_row_and_list_trees_merge_alike():
         at += n
 
 
+def test_decoded_digests_equal_the_librarys_decode(llm, odd_texts, byte_level):
+    def decoded(text):
+        return hashlib.sha256(byte_level.decode(plain(byte_level, text), skip_special_tokens=False).encode()).hexdigest()
+
+    assert sorted((str(r.doc_id), r.decoded_sha256) for r in bpe.token_digests(odd_texts).collect()) == sorted((str(r.doc_id), decoded(r.text)) for r in odd_texts.collect())
+
+
 def test_token_digests(llm, odd_texts, byte_level):
     docs = odd_texts
     want = sorted((str(r.doc_id), len(i := plain(byte_level, r.text)), hashlib.sha256(",".join(map(str, i)).encode()).hexdigest()) for r in docs.collect())

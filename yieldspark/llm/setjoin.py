@@ -162,7 +162,7 @@ def _profiles(n: int, percent: int, counts):
 
 
 def _sets(n: int, wanted):
-    """Sets of the rows whose place is in the map, each set once a task."""
+    """Sets of the rows whose place is in the map, by document and digest; repeated rows once a task."""
 
     def run(batches):
         keep_only("setjoin", _TABLE.clear)
@@ -170,12 +170,13 @@ def _sets(n: int, wanted):
         for batch in batches:
             out = []
             use = places[batch.column(batch.schema.get_field_index("place")).to_numpy(zero_copy_only=False)]
-            for (text,) in text_chunks(batch.filter(pa.array(use)), ["text"]):
+            for doc, text in text_chunks(batch.filter(pa.array(use)), ["doc_id", "text"]):
                 s = shingles(text, n)
-                if len(s) and (d := _digest(s)) not in seen:
-                    seen.add(d)
-                    out.append((d, s.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.binary()), pa.array([r[1] for r in out], pa.list_(pa.int64()))], names=["digest", "items"])
+                if len(s) and (key := (doc, _digest(s))) not in seen:
+                    seen.add(key)
+                    out.append((*key, s.view(np.int64)))
+            types = [pa.int64(), pa.binary(), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["doc_id", "digest", "items"])
 
     return run
 
@@ -204,31 +205,31 @@ class JaccardJoin:
         """Pairs ``(a, b)`` of class ids with their sizes and their intersection.
 
         The texts are read again, but only the wanted documents' sets are made
-        and dealt out; those are known by a map of fixed size.
+        and dealt out; those are known by a map of fixed size.  A pair names
+        both documents, so the sets move straight to their documents, once for
+        both sides, and then one side of each pair to the other.
         """
+        who = self.rows.select("uid", "doc_id", "digest")
         ids = pairs.select(F.col("a").alias("uid")).unionByName(pairs.select(F.col("b").alias("uid"))).distinct()
-        ids = written(self.rows.select("uid", "doc_id", "digest").join(ids, "uid", "left_semi"), "pair-ids")
+        ids = written(who.join(ids, "uid", "left_semi"), "pair-ids")
         wanted = np.zeros(WANTED, bool)
         place = _place("doc_id")
         word = F.floor(place / 64).alias("w")
         for r in ids.groupBy(word).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, 7), {WANTED}) % 64 as int))")).alias("bits")).toLocalIterator():
             bits = r["bits"] & (2**64 - 1)
             wanted[64 * r["w"] + np.flatnonzero([bits >> i & 1 for i in range(64)])] = True
-        sets = (
-            self.docs.select("text", place.alias("place"))
-            .mapInArrow(_sets(self.n, self.spark.sparkContext.broadcast(wanted)), "digest binary, items array<long>")
-            .groupBy("digest")
-            .agg(F.first("items").alias("items"))  # first, so that the join needs no other shuffle of the sets
-            .join(ids.select("uid", "digest"), "digest")
-            .select("uid", "items")
+        sets = self.docs.select("doc_id", "text", place.alias("place")).mapInArrow(
+            _sets(self.n, self.spark.sparkContext.broadcast(wanted)), "doc_id long, digest binary, items array<long>"
         )
-        sets = written(sets, "pair-sets")
+        end = lambda k: ids.select(F.col("uid").alias(k), F.col("doc_id").alias(f"doc_{k}"), F.col("digest").alias(f"digest_{k}"))
+        side = lambda k: sets.select(F.col("doc_id").alias(f"doc_{k}"), F.col("digest").alias(f"digest_{k}"), F.col("items").alias(f"items_{k}"))
+        named = written(pairs.join(end("a"), "a").join(end("b"), "b"), "named-pairs")
         got = (
-            pairs.join(sets.select(F.col("uid").alias("a"), F.col("items").alias("x")), "a")
-            .join(sets.select(F.col("uid").alias("b"), F.col("items").alias("y")), "b")
-            .select("a", "b", F.size("x").alias("na"), F.size("y").alias("nb"), F.size(F.array_intersect("x", "y")).alias("inter"))
+            named.join(side("a"), ["doc_a", "digest_a"])
+            .join(side("b"), ["doc_b", "digest_b"])
+            .select("a", "b", F.size("items_a").alias("na"), F.size("items_b").alias("nb"), F.size(F.array_intersect("items_a", "items_b")).alias("inter"))
         )
-        return written(got, label)
+        return written(got.dropDuplicates(["a", "b"]), label)  # rows repeated in several tasks give a pair several times
 
     def _plausible(self, pairs: DataFrame) -> DataFrame:
         """Pairs that their parity bitmaps don't rule out."""
