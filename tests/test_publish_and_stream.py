@@ -58,6 +58,16 @@ def test_a_failed_check_leaves_no_complete_publication(spark, monkeypatch):
         publish.load(spark, path)
 
 
+def test_a_publication_without_failures_is_complete(spark, root):
+    datasets = publish.load(spark, root, schemas.REQUIRED_DATASETS)
+    datasets = {name: frame.drop(publish.YEAR) for name, frame in datasets.items()}
+    path = scratch_path(spark, "no-failures")
+    rows = publish.publish(spark, datasets | {"failure_fact": datasets["failure_fact"].limit(0)}, path)
+    assert rows["failure_fact"] == 0
+    empty = publish.load(spark, path)["failure_fact"]
+    assert empty.count() == 0 and views.cell_pareto(empty, Cell("SORTING", "Month", "2026-01")).count() == 0
+
+
 def test_a_folder_is_never_overwritten(spark, root):
     before = publish.counts(spark, root)
     with pytest.raises(Exception, match="(?i)exists"):
@@ -225,6 +235,17 @@ def test_landed_rows_change_the_facts_as_a_full_refresh_does(spark):
     assert "SORTING" in scan["PartitionFilters"] and "2026" in scan["PartitionFilters"]
 
 
+def test_a_store_may_start_empty(spark):
+    store = delta.DeltaStore(scratch_path(spark, "delta-empty"), buckets=2)
+    sources = tiny_sources(spark)
+    delta.start(spark, store, {name: frame.limit(0) for name, frame in sources.items()})
+    assert stored_facts(spark, store) == []
+    for name in ("identity_aliases", "sorting_summary"):
+        delta.refresh_delta(spark, store, name, sources[name], "first")
+    found = delta.enriched(spark, store).select("stage_code", "physical_wafer_id").collect()
+    assert sorted(map(tuple, found)) == [("SORTING", "W1"), ("SORTING", "W2"), ("SORTING", "W3")]
+
+
 def test_an_interrupted_landing_is_completed_by_running_it_again(spark, monkeypatch):
     sources = tiny_sources(spark)
     store = delta.DeltaStore(scratch_path(spark, "delta-broken"), buckets=2)

@@ -126,6 +126,8 @@ def counts(spark: SparkSession, root: str) -> dict[str, int]:
 def check(spark: SparkSession, root: str, rows: dict[str, int]) -> None:
     """Declared columns, row counts, facts with an id and a positive denominator, and ids that match lineage one to one."""
     for name in schemas.REQUIRED_DATASETS:
+        if not rows[name] and LAYOUTS.get(name, Layout()).partition_by:
+            continue  # partition folders without rows are no files
         stored = set(spark.read.parquet(f"{root}/{name}").columns)
         lacking = [c for c in schemas.DECLARED_COLUMNS[name] if c not in stored]
         if lacking:
