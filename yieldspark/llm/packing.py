@@ -31,7 +31,7 @@ OPEN, LEAST_CUT, MERGED = 16, 32, 64
 #: The id that ends a document.
 END = 1
 #: Bytes that a worker's tables of word ids may hold, each.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Characters that str.split() takes for white space and the vocabulary's word pattern doesn't.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")

@@ -35,7 +35,7 @@ GRADES = 3
 #: A document stays if it has the top grade with at least this probability.
 KEEP = 0.5
 #: Bytes that a table of words may hold; it lives as long as its task.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 _SHAPE = str.maketrans({**dict.fromkeys(map(chr, range(ord("a"), ord("z") + 1)), "a"), **dict.fromkeys("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "A"), **dict.fromkeys("0123456789", "9")})
 _PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 
@@ -105,6 +105,7 @@ class Features:
 
 
 def _features(batches):
+    keep_only("quality", lambda: None)  # another operator's tables go
     features = Features()
     for batch in batches:
         out = [(g, s, *features.of(t or "")) for _, t, g, s in text_chunks(batch, ["doc_id", "text", "grade", "shard"])]

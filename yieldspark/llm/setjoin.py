@@ -42,7 +42,7 @@ BUCKETS, SLICES, WORDS64 = 2**22, 1024, 16
 #: Bits of the map of documents whose sets are compared, which saves reading the others (fixed as well).
 WANTED = 2**24
 #: Bytes that a worker's table of word hashes may hold.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
