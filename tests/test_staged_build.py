@@ -78,3 +78,34 @@ def test_a_layout_needs_no_exchange(spark):
         sort = [*layout.partition_by, *layout.order]
         for part in out.withColumn("_p", F.spark_partition_id()).groupBy("_p").agg(F.collect_list(F.struct(*sort)).alias("rows")).collect():
             assert part["rows"] == sorted(part["rows"])
+
+
+def test_stored_sources_are_built_in_steps(spark, monkeypatch):
+    import __spark_entry__ as entry
+    from yieldspark.session import scratch_path
+    from yieldspark.sources import stored
+
+    sources = tiny_sources(spark)
+    root = scratch_path(spark, "stored-steps")
+    stored.write_sources(sources | {"wafer_inventory": spark.createDataFrame([], schemas.WAFER_INVENTORY)}, root)
+    monkeypatch.setattr(entry, "stored_sources", lambda *_: root)
+    found = entry.q_stored_sources_yield_fact(spark, "unused")
+    assert "Join" not in plan_of(found)  # the plan that the driver holds is a read of the staged facts
+    assert rows(found) == rows(facts.yield_fact(facts.build(spark, sources).enriched))
+
+
+def test_stored_facts_are_replaced_without_an_exchange(spark, monkeypatch):
+    from yieldspark.plans import delta
+    from yieldspark.session import scratch_path
+
+    frame = spark.createDataFrame([(n, ts(f"2026-01-0{n} 07:00:00"), "SORTING", 2026) for n in (3, 1, 2)], f"yield_record_id int, event_time timestamp, stage_code string, {publish.YEAR} int")
+    path = scratch_path(spark, "replaced")
+
+    def dealt(*_):
+        raise AssertionError("exchanged")
+
+    monkeypatch.setattr(type(frame), "repartitionByRange", dealt)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    delta._replace_partitions(frame.coalesce(1), path, ["stage_code", publish.YEAR], ["event_time", "yield_record_id"])
+    assert [r["yield_record_id"] for r in spark.read.parquet(path).collect()] == [1, 2, 3]
+    assert spark.conf.get("spark.sql.files.maxPartitionBytes") == size
