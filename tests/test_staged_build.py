@@ -109,3 +109,47 @@ def test_stored_facts_are_replaced_without_an_exchange(spark, monkeypatch):
     delta._replace_partitions(frame.coalesce(1), path, ["stage_code", publish.YEAR], ["event_time", "yield_record_id"])
     assert [r["yield_record_id"] for r in spark.read.parquet(path).collect()] == [1, 2, 3]
     assert spark.conf.get("spark.sql.files.maxPartitionBytes") == size
+
+
+def test_records_without_a_hot_alias_are_joined_without_a_salt(spark, monkeypatch):
+    aliases = spark.createDataFrame(alias_rows(*[("INSPECTION", f"INSP-{n}", f"W{n}") for n in range(40)]), schemas.IDENTITY_ALIASES)
+    t0 = ts("2026-01-05 07:00:00")
+    salted, plain = [], identity._salted_join
+    monkeypatch.setattr(identity, "_salted_join", lambda *a: salted.append(a) or plain(*a))
+
+    def annotated(refs):
+        records = spark.createDataFrame([(r, f"R{n}", t0, 25, 24, "", 1) for n, r in enumerate(refs)], schemas.WAFER_INSPECTION)
+        stager = Recorder(spark)
+        got = identity.annotate_in_steps(records, aliases, "wafer_inspection", stager, identity.HotKeyPolicy(fraction=0.1, buckets=4))
+        hot = spark.read.parquet(f"{stager.root}/hot_wafer_inspection")
+        return sorted(map(tuple, got.select("record_id", "physical_wafer_id").collect())), sorted(r["_ref"] for r in hot.collect())
+
+    spread = [f"INSP-{n}" for n in range(40)]
+    rows_, hot = annotated(spread)
+    assert rows_ == sorted((f"R{n}", f"W{n}") for n in range(40)) and not hot and not salted
+    # An alias that holds its share is in the list, whatever its partition; so is one of rows without a text.
+    rows_, hot = annotated(spread + ["INSP-7"] * 10 + [None] * 10)
+    assert hot == ["", "INSP-7"] and salted
+    assert rows_ == sorted([(f"R{n}", f"W{n}") for n in range(40)] + [(f"R{n}", "W7") for n in range(40, 50)] + [(f"R{n}", None) for n in range(50, 60)], key=lambda r: r[0])
+
+
+def test_the_master_is_found_without_a_sort_of_the_alias_rows(spark):
+    aliases = alias_rows(("CHIP", "C-1", "W1"), ("MES", "M-1", "W1"), ("CHIP", "C-2", "W2"), ("MES", "M-3", None))
+    aliases += [("CHIP", "A-2", "A-2", "W2", "WO-FIRST", "L", 1, None, "S"), ("CHIP", "A-3", "A-3", None, "WO-FIRST", "L", 1, None, "S")]
+    aliases = spark.createDataFrame(aliases, schemas.IDENTITY_ALIASES)
+    stager = Recorder(spark)
+    master = identity.checked_master(aliases, stager)
+    assert rows(master.drop("mixed")) == rows(identity.wafer_master(aliases))
+    # A wafer without an id is one like any other.
+    assert rows(master.where("mixed"), ["physical_wafer_id", "work_order"]) == rows(spark.createDataFrame([("W2", "WO-FIRST"), (None, "WO-FIRST")], "physical_wafer_id string, work_order string"))
+    assert "SortAggregate" not in plan_of(master.where("not mixed"))
+
+
+def test_details_without_a_hot_alias_are_joined_without_a_salt(spark):
+    sources, details = tiny_sources(spark), tiny_details(spark)
+    build = R.stage_fact_build(spark, sources, details)
+    name = "sorting_parameter_detail"
+    many, few = identity.HotKeyPolicy(fraction=0.01), identity.HotKeyPolicy(fraction=1.1)
+    assert identity.policy_for(build.resolution[name], name, many) == many and identity.policy_for(build.resolution[name], name, few) is None
+    salted, plain = (R.datasets_of(build, hot_keys=p)["targeted_sorting_parameter_detail"] for p in (many, few))
+    assert rows(salted) == rows(plain) and "_salt" in plan_of(salted) and "_salt" not in plan_of(plain)
