@@ -118,3 +118,31 @@ def test_scoped_detail_takes_exact_aliases_only(spark):
     assert [(r["chip_record_id"], r["physical_wafer_id"]) for r in got] == [("C0", "W1")]
     old = detail.transform_targeted(detail.extract_targeted(chips, aliases, wafers, "chip_detail"), aliases, "chip_detail").collect()
     assert [r["chip_record_id"] for r in old] == ["C0"]
+
+
+def test_a_table_is_stored_by_work_order_without_a_sample(spark, monkeypatch):
+    from yieldspark.sources.database import BUCKET_SHARES
+
+    refs = [f"SORT_{n}" for n in range(60)]
+    aliases = spark.createDataFrame(alias_rows(*[("SORTING", r, f"W{n}") for n, r in enumerate(refs)]), schemas.IDENTITY_ALIASES)
+    t0 = ts("2026-01-06 08:00:00")
+    params = spark.createDataFrame([(f"P{n}", r, 1, "QTY", 1.0, 0.0, 2.0, True, t0) for n, r in enumerate(refs * 2)], schemas.SORTING_PARAMETER_DETAIL)
+
+    def dealt(*_):
+        raise AssertionError("ranges join the rows once more to sample them")
+
+    monkeypatch.setattr(type(params), "repartitionByRange", dealt)
+    path = scratch_path(spark, "by-work-order")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        database.store_by_work_order(params, aliases, rules.SORTING, "sorting_wafer_ref", path)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    from pyspark.sql import functions as F
+
+    table = spark.read.parquet(path)
+    assert sorted(r[0] for r in table.select("parameter_record_id").collect()) == sorted(f"P{n}" for n in range(120))
+    # One work order: one folder, in more than one file and no more than it has shares, each sorted.
+    files = table.groupBy("work_order_bucket", F.input_file_name().alias("file")).agg(F.collect_list("sorting_wafer_ref").alias("refs")).collect()
+    assert len({f["work_order_bucket"] for f in files}) == 1 and 1 < len(files) <= BUCKET_SHARES
+    assert all(f["refs"] == sorted(f["refs"]) for f in files)
