@@ -329,3 +329,15 @@ def test_one_of_each_with_clashing_columns(llm):
     rows = [(1, "a b c d e f g h", 1, 2), (2, "a b c d e f g h", 3, 4), (3, "z", 5, 6)]
     docs = llm.createDataFrame(rows, "doc_id long, text string, __gone long, component_id long")
     assert sorted(r.doc_id for r in setjoin.keep_one_of_each(docs).collect()) == [1, 3]
+
+
+def test_a_fit_drops_the_tables_of_the_operator_before(monkeypatch):
+    from yieldspark.llm import common
+
+    dropped = []
+    monkeypatch.setattr(common, "_TABLES", [("packing", lambda: dropped.append(True))])
+    part = pd.DataFrame({"grade": [0, 2] * 20, "at": [np.array([1, 2]), np.array([3, 2])] * 20, "value": [np.array([1.0, 1.0])] * 40})
+    weights = dict(quality._fit_part(5)(part).itertuples(index=False))
+    assert dropped and [owner for owner, _ in common._TABLES] == ["quality"]
+    assert weights[1] < 0 < weights[3]
+    assert "at" not in part and "value" not in part  # not held besides the arrays made of them

@@ -63,7 +63,7 @@ def fresh(taken: list[str], wish: str) -> str:
 _TABLES: list[tuple[str, Callable[[], None]]] = []
 
 
-def _hand_back() -> None:
+def hand_back() -> None:
     """Give freed memory back to the system, where the C library can."""
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -76,7 +76,7 @@ def keep_only(owner: str, drop: Callable[[], None]) -> None:
     """Called in a worker by an operator that keeps tables between tasks: drops those of the operator that ran there before."""
     if _TABLES and _TABLES[0][0] != owner:
         _TABLES.pop()[1]()
-        _hand_back()
+        hand_back()
     if not _TABLES:
         _TABLES.append((owner, drop))
 

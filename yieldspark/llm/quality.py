@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keep_only, text_chunks
+from .common import hand_back, keep_only, text_chunks
 
 #: Rated documents used for fitting at most; parts fitted side by side; hash buckets; documents of a part that a bucket needs.
 SAMPLE, SHARDS, BUCKETS, LEAST_DOCS = 20_000, 2, 2**18, 5
@@ -153,9 +153,15 @@ def fit_ordinal(
 
 def _fit_part(least: int):
     def run(part: pd.DataFrame) -> pd.DataFrame:
+        keep_only("quality", lambda: None)  # another operator's tables go, and what the features of this worker's documents took
+        hand_back()
         grade = part["grade"].to_numpy()
+        count = len(part)
+        # Each column goes as soon as it lies in one array: this task's peak is an executor's peak.
         sizes = part["at"].map(len).to_numpy()
-        row, at, value = np.repeat(np.arange(len(part)), sizes), np.concatenate(part["at"].to_list()), np.concatenate(part["value"].to_list())
+        at = np.concatenate(part.pop("at").to_list()).astype(np.int32)
+        value = np.concatenate(part.pop("value").to_list())
+        row = np.repeat(np.arange(count, dtype=np.int32), sizes)
         docs = np.bincount(at, minlength=BUCKETS)
         top = grade == GRADES - 1
         a, b = max(1, top.sum()), max(1, (~top).sum())
