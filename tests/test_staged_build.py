@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import gc
+import time
+from concurrent.futures import ThreadPoolExecutor
+
 from factory_support import alias_rows, plan_of, ts
 from pyspark.sql import functions as F
 from test_facts_and_views import tiny_sources
@@ -11,6 +15,7 @@ from yieldspark import schemas
 from yieldspark.operators import facts, identity, revisions
 from yieldspark.plans import publish
 from yieldspark.plans import refresh as R
+from yieldspark.session import SHUFFLE_CLEANUP, scratch_path, shuffles_dropped
 
 
 class Recorder(R.Stager):
@@ -153,3 +158,51 @@ def test_details_without_a_hot_alias_are_joined_without_a_salt(spark):
     assert identity.policy_for(build.resolution[name], name, many) == many and identity.policy_for(build.resolution[name], name, few) is None
     salted, plain = (R.datasets_of(build, hot_keys=p)["targeted_sorting_parameter_detail"] for p in (many, few))
     assert rows(salted) == rows(plain) and "_salt" in plan_of(salted) and "_salt" not in plan_of(plain)
+
+
+def shuffle_files(spark) -> set[str]:
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in files.mkString("\n").split("\n") if f.endswith(".data") and "shuffle_" in f}
+
+
+def left_after(spark, work, wait=20.0) -> set[str]:
+    """Shuffle files that ``work`` added and that don't go while its frames are held."""
+    gc.disable()
+    try:
+        before = shuffle_files(spark)
+        held = work()
+        until = time.monotonic() + wait
+        while (left := shuffle_files(spark) - before) and time.monotonic() < until:
+            time.sleep(0.2)
+        assert held is not None
+        return left
+    finally:
+        gc.enable()
+
+
+def test_staged_tables_and_a_publication_leave_no_shuffle_files(spark):
+    counted = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    assert left_after(spark, lambda: (counted, counted.write.format("noop").mode("overwrite").save()), 1.0)  # as Spark does it
+    stager = R.Stager(spark)
+    assert not left_after(spark, lambda: (counted, stager("counted", counted)))
+    assert stager("again", counted).count() == 7  # the frame can still be used
+    datasets = R.build_datasets(spark, tiny_sources(spark), tiny_details(spark))
+    assert not left_after(spark, lambda: (datasets, publish.publish(spark, datasets, scratch_path(spark, "dropped"))))
+
+
+def test_shuffle_cleanup_is_set_back_by_the_last_of_several_threads(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+
+    def inside(n):
+        with shuffles_dropped(spark):
+            time.sleep(0.02 * n)
+            return spark.conf.get(SHUFFLE_CLEANUP)
+
+    with ThreadPoolExecutor(max_workers=4) as pool:
+        assert set(pool.map(inside, range(4))) == {"true"}
+    try:
+        with shuffles_dropped(spark):
+            raise KeyError
+    except KeyError:
+        pass
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == before
