@@ -12,7 +12,7 @@ from test_facts_and_views import tiny_sources
 from test_publish_and_stream import tiny_details
 
 from yieldspark import schemas
-from yieldspark.operators import facts, identity, revisions
+from yieldspark.operators import facts, identity, prepared, revisions
 from yieldspark.plans import publish
 from yieldspark.plans import refresh as R
 from yieldspark.session import SHUFFLE_CLEANUP, scratch_path, shuffles_dropped
@@ -206,3 +206,37 @@ def test_shuffle_cleanup_is_set_back_by_the_last_of_several_threads(spark):
     except KeyError:
         pass
     assert spark.conf.get(SHUFFLE_CLEANUP, "false") == before
+
+
+def test_unstaged_facts_are_written_once_as_the_published_ones(spark):
+    def published(prepare):
+        stager = Recorder(spark)
+        build = R.stage_fact_build(spark, tiny_sources(spark), tiny_details(spark), stager=stager)
+        prepare(build)
+        path = scratch_path(spark, "once")
+        counted = R.publish_build(spark, build, path)
+        return stager.names, counted, {name: rows(publish.read(spark, path, name)) for name in schemas.REQUIRED_DATASETS}, build, path
+
+    names, counted, found, build, path = published(lambda build: None)
+    assert "enriched" not in names and len(names) == len(set(names))
+    assert counted == publish.counts(spark, path)
+    staged_names, staged_counted, staged, _, _ = published(lambda build: build.plan.enriched)
+    assert "enriched" in staged_names and staged_counted == counted and staged == found
+    # Later queries read the facts where they were published, with their lineage.
+    assert rows(build.plan.enriched) == rows(facts.build(spark, tiny_sources(spark)).enriched)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    assert size != "32m"
+
+
+def test_the_wafer_summary_sorts_numbers_not_ids(spark):
+    t0, t1 = ts("2026-01-05 07:00:00"), ts("2026-01-06 07:00:00")
+    made = [("Y3", "W1", "SORTING", t1, 0.1), ("Y2", "W1", "SORTING", t0, 0.2), ("Y1", "W1", "SORTING", t0, 0.3), ("Y4", "W1", "OTHER", None, 0.4),
+            ("Y5", "W2", "SORTING", None, None), ("Y6", "W2", "SORTING", t0, 0.6), ("Y7", None, "SORTING", t0, 0.7)]
+    found = spark.createDataFrame(made, "yield_record_id string, physical_wafer_id string, stage_code string, event_time timestamp, yield_rate double")
+    master = spark.createDataFrame([("W1", "WO", "L", 1, "F", "S"), ("W2", "WO", "L", 1, "F", "S"), ("W3", "WO", "L", 1, "F", "S")], "physical_wafer_id string, work_order string, lot_id string, wafer_number int, product_family string, wafer_size string")
+    summary = prepared.wafer_summary(master, found, ["OTHER", "SORTING"])
+    assert summary.columns == [*schemas.MASTER_COLUMNS, "OTHER", "SORTING"]
+    got = {r["physical_wafer_id"]: (r["OTHER"], r["SORTING"]) for r in summary.collect()}
+    assert got == {"W1": (0.4, 0.3), "W2": (None, None), "W3": (None, None)}
+    sorts = [line for line in plan_of(summary).splitlines() if line.startswith("Arguments: [") and " ASC " in line]
+    assert sorts and all(line.startswith("Arguments: [_hash") for line in sorts)
