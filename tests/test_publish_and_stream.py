@@ -283,3 +283,44 @@ def test_files_that_land_are_refreshed_once(spark):
     assert stored_facts(spark, store) == full_facts(spark, sources)
     run()  # nothing new landed
     assert delta._changes_applied(spark, store) == 1
+
+
+def test_a_landing_moves_its_staged_facts_and_goes_on_where_it_stopped(spark, monkeypatch):
+    sources = tiny_sources(spark)
+    store = delta.DeltaStore(scratch_path(spark, "delta-moved"), buckets=2)
+    written, whole, move = [], delta._write_partitions, delta._move_partitions
+    monkeypatch.setattr(delta, "_write_partitions", lambda frame, path, *a, **k: written.append(path) or whole(frame, path, *a, **k))
+    delta.start(spark, store, sources)
+    name, rows = landings(spark)[1]  # its facts leave 2026
+
+    def broken(spark_, staged, path, parts):
+        move(spark_, staged, path, parts[:2])
+        raise RuntimeError("lost")
+
+    written.clear()
+    monkeypatch.setattr(delta, "_move_partitions", broken)
+    with pytest.raises(RuntimeError):
+        delta.refresh_delta(spark, store, name, rows, "L0")
+    monkeypatch.setattr(delta, "_move_partitions", move)
+    touched = delta.refresh_delta(spark, store, name, rows, "L0")
+    sources[name] = sources[name].unionByName(rows)
+    assert stored_facts(spark, store) == full_facts(spark, sources)
+    assert {year for _, year in touched} == {2026, 2027} and ("WAFER_INSPECTION", 2027) in touched
+    # The facts are written once, where they are staged, and nothing of them stays there.
+    assert [p for p in written if p.endswith("/facts")] == [store.path(f"changes/{name}/L0/facts")]
+    assert not list(delta._partitions(spark.read.schema(delta.FACTS).parquet(store.path(f"changes/{name}/L0/facts"))))
+
+
+def test_buckets_are_written_without_a_sample(spark, monkeypatch):
+    frame = spark.createDataFrame([(n % 2, f"W{n:02d}") for n in range(40)], "wafer_bucket int, physical_wafer_id string")
+    path = scratch_path(spark, "buckets")
+
+    def sampled(*_):
+        raise AssertionError("made twice")
+
+    monkeypatch.setattr(type(frame), "repartitionByRange", sampled)
+    delta._replace_partitions(frame, path, ["wafer_bucket"], ["physical_wafer_id"])
+    back = spark.read.parquet(path)
+    assert sorted(map(tuple, back.select("wafer_bucket", "physical_wafer_id").collect())) == sorted(map(tuple, frame.collect()))
+    for part in back.groupBy(F.input_file_name()).agg(F.collect_list("physical_wafer_id").alias("ids")).collect():
+        assert part["ids"] == sorted(part["ids"])
